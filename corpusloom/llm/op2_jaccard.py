@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +24,10 @@ from corpusloom.llm.components import components
 
 #: Threshold as a ratio of integers, and words in a shingle.
 NUM, DEN, WORDS = 4, 5, 5
-#: At most so many shingles are held as frequent: those with more than 1/HOT of all occurrences.
-HOT = 200_000
+#: Shingles with more than 1 of 2 * HOT occurrences come last in the order; so there are at most 2 * HOT of them.
+HOT = 1_000_000
 #: Shingles of a block's chunk (8 bytes each), and of a block of which frequent ones are counted.
-CHUNK, COUNTED = 1_500_000, 2_000_000
+CHUNK, COUNTED = 1_500_000, 4_000_000
 #: Class representatives that are broadcast at most (8 bytes each); beyond, they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 FANOUT = 8
@@ -89,10 +90,11 @@ def _frequent(k: int):
     return f
 
 
-def _signed(hot: np.ndarray, k: int):
+def _signed(frequent: Broadcast, k: int):
     """For each document: n, set_id, and the prefix keys."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = frequent.value
         for batch in batches:
             ids = batch.column(0)
             for a, b, data, at in slices(batch.column(1)):
@@ -310,24 +312,27 @@ def jaccard_components(docs: DataFrame, k: int = WORDS) -> DataFrame:
     counts = by_arrow(text.select("text"), _frequent(k), "h long, n long, total long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     counts = stored(counts)
     total = counts.agg(F.sum("total")).first()[0] or 0
-    # at most 2 * HOT values of 8 bytes by the floor on n
-    hot = np.array([r.h for r in counts.where(F.col("n") >= max(2, total // (2 * HOT))).select("h").toLocalIterator()], np.int64).view(np.uint64)
+    # at most 2 * HOT values of 8 bytes, by the floor on n
+    hot = np.sort(counts.where(F.col("n") >= max(2, total // (2 * HOT))).select("h").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
     dropped(counts)
-    hot.sort()
-    sig = stored(by_arrow(text, _signed(hot, k), "doc_id long, n_shingles long, set_id long, keys array<long>"))
-    keyed = sig.select("set_id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("set_id").alias("lead"), F.max("set_id").alias("top")).where("lead < top").select("key", "lead")
-    members = stored(keyed.join(shared.hint("shuffle_hash"), "key").select("lead", "set_id").distinct())
+    sig = stored(by_arrow(text, _signed(spark.sparkContext.broadcast(hot), k), "doc_id long, n_shingles long, set_id long, keys array<long>"))
+    keyed = sig.select("set_id", "n_shingles", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("set_id").alias("lead"), F.max("set_id").alias("top")).where("lead < top").select("key")
+    # sizes of a linked pair differ by 1/NUM at most, so both lie in one band of two neighbouring powers of DEN/NUM
+    step = F.floor(F.log("n_shingles") / float(np.log(DEN / NUM)) + 1e-9)
+    banded = keyed.join(shared.hint("shuffle_hash"), "key").select("key", "set_id", F.explode(F.array(step, step + 1)).alias("band"))
+    leads = banded.groupBy("key", "band").agg(F.min("set_id").alias("lead"), F.max("set_id").alias("top")).where("lead < top").select("key", "band", "lead")
+    members = stored(banded.join(leads, ["key", "band"]).select("lead", "set_id").distinct())
     released(spark)
     classes = sig.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     wanted = stored(classes.join(members.select("set_id").distinct(), "set_id", "left_semi").select("doc_id"))
     few = wanted.count() <= BROADCAST_IDS
     texts = text.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").select("text")
     sets = by_arrow(texts, _sets(k), "set_id long, n long, members binary")
-    sets = stored(sets.dropDuplicates(["set_id"]) if not few else sets)
+    sets = stored(sets)
     blocks = members.join(sets.select("set_id", "n").distinct(), "set_id").groupBy("lead").agg((F.floor(F.sum("n") / CHUNK) + 1).alias("chunks")).where("chunks > 1")
     blocks = stored(blocks)
-    full = members.join(sets.dropDuplicates(["set_id"]), "set_id").join(blocks, "lead", "left")
+    full = members.join(sets, "set_id").join(blocks, "lead", "left")
     chunk = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).when(F.col("set_id") == F.col("lead"), F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).otherwise(F.array(F.pmod(F.xxhash64("set_id"), "chunks").cast("int")))
     dealt = full.select("lead", F.explode(chunk).alias("chunk"), F.col("chunks").isNotNull().alias("many"), "set_id", "members")
     dealt = dealt.repartition("lead", "chunk").sortWithinPartitions("lead", "chunk", "set_id")
@@ -336,9 +341,9 @@ def jaccard_components(docs: DataFrame, k: int = WORDS) -> DataFrame:
     if blocks.limit(1).count():
         # members that no chunk linked to their block's lead meet all its chunks
         own = F.pmod(F.xxhash64("set_id"), "chunks").cast("int")
-        far = edges.where("v is null").select(F.col("block").alias("lead"), F.col("u").alias("set_id")).distinct().join(sets.dropDuplicates(["set_id"]), "set_id").join(blocks, "lead")
+        far = edges.where("v is null").select(F.col("block").alias("lead"), F.col("u").alias("set_id")).distinct().join(sets, "set_id").join(blocks, "lead")
         parts = far.select("lead", own.alias("part")).distinct()
-        near = members.join(sets.dropDuplicates(["set_id"]), "set_id").join(blocks, "lead").withColumn("chunk", own).join(parts, "lead")
+        near = members.join(sets, "set_id").join(blocks, "lead").withColumn("chunk", own).join(parts, "lead")
         cross = far.select("lead", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).alias("chunk"), own.alias("part"), F.lit(1).alias("side"), "set_id", "members")
         cross = cross.union(near.select("lead", "chunk", "part", F.lit(0), "set_id", "members")).where("chunk <> part")
         links = links.union(by_arrow(cross.repartition("lead", "chunk", "part").sortWithinPartitions("lead", "chunk", "part"), _solve_across, "u long, v long, block long").select("u", "v"))
