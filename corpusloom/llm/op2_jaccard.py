@@ -28,8 +28,8 @@ NUM, DEN, WORDS = 4, 5, 5
 HOT = 1_000_000
 #: Shingles of a block's chunk (8 bytes each), and of a block of which frequent ones are counted.
 CHUNK, COUNTED = 1_500_000, 4_000_000
-#: Class representatives that are broadcast at most (8 bytes each); beyond, they are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+#: Rows of one or two longs that are broadcast at most; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 FANOUT = 8
 
 
@@ -120,9 +120,9 @@ def _signed(frequent: Broadcast, k: int):
 def _sets(k: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, at in slices(batch.column(0)):
+            for a, b, data, at in slices(batch.column(1)):
                 sets = shingle_sets(data, at, k)
-                yield pa.RecordBatch.from_arrays([pa.array(map(set_id, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "n", "members"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "members"])
 
     return f
 
@@ -273,10 +273,10 @@ def _edge_batch(edges: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lead, chunk, many, set_id, members): edges; where a block has many chunks, members that aren't linked to its lead as rows with v null."""
+    """Rows (lead, chunk, many, doc_id, members): edges; where a block has many chunks, members that aren't linked to its lead as rows with v null."""
     edges: list = []
     for (lead, chunk, many), t in groups(batches, ["lead", "chunk", "many"]):
-        ids = t.column("set_id").to_pylist()
+        ids = t.column("doc_id").to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in t.column("members").to_pylist()]
         at = ids.index(lead)
         found, labels = linked(sets, at)
@@ -290,9 +290,9 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _solve_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lead, chunk, part, side, set_id, members): edges between side 0 and side 1."""
+    """Rows (lead, chunk, part, side, doc_id, members): edges between side 0 and side 1."""
     for _, t in groups(batches, ["lead", "chunk", "part"]):
-        side, ids = t.column("side").to_pylist(), t.column("set_id").to_pylist()
+        side, ids = t.column("side").to_pylist(), t.column("doc_id").to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in t.column("members").to_pylist()]
         x, y = [i for i, s in enumerate(side) if s], [i for i, s in enumerate(side) if not s]
         if x and y:
@@ -300,12 +300,14 @@ def _solve_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def jaccard_components(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, set_id, component_id) for each row of docs (doc_id, text).
+    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text).
 
     Rows whose sets have Jaccard similarity of at least NUM/DEN are linked;
-    component_id is the least doc_id reachable. Equal sets are linked. A null
-    or empty text has an empty set and is its own component; repeated rows
-    give repeated rows; an empty table gives none. Other columns are ignored.
+    component_id is the least doc_id reachable. A null or empty text has an
+    empty set and is its own component. Rows with one doc_id count as one
+    document. A row without a doc_id gets the component of an equal set, or
+    null. Repeated rows give repeated rows, an empty table none; other columns
+    are ignored.
     """
     spark = docs.sparkSession
     text = docs.select("doc_id", "text")
@@ -316,44 +318,45 @@ def jaccard_components(docs: DataFrame, k: int = WORDS) -> DataFrame:
     hot = np.sort(counts.where(F.col("n") >= max(2, total // (2 * HOT))).select("h").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
     dropped(counts)
     sig = stored(by_arrow(text, _signed(spark.sparkContext.broadcast(hot), k), "doc_id long, n_shingles long, set_id long, keys array<long>"))
-    keyed = sig.select("set_id", "n_shingles", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("set_id").alias("lead"), F.max("set_id").alias("top")).where("lead < top").select("key")
-    # sizes of a linked pair differ by 1/NUM at most, so both lie in one band of two neighbouring powers of DEN/NUM
+    # one document of each class of equal sets takes part; rows without a doc_id only belong to classes
+    classes = stored(sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")))
+    few = classes.count() <= BROADCAST_IDS
+    keyed = sig.join(F.broadcast(classes) if few else classes, ["doc_id", "set_id"], "left_semi").select("doc_id", "n_shingles", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").count().where("count > 1").select("key")
+    # sizes of a linked pair differ by DEN/NUM at most, so both lie in one band of two neighbouring powers of it
     step = F.floor(F.log("n_shingles") / float(np.log(DEN / NUM)) + 1e-9)
-    banded = keyed.join(shared.hint("shuffle_hash"), "key").select("key", "set_id", F.explode(F.array(step, step + 1)).alias("band"))
-    leads = banded.groupBy("key", "band").agg(F.min("set_id").alias("lead"), F.max("set_id").alias("top")).where("lead < top").select("key", "band", "lead")
-    members = stored(banded.join(leads, ["key", "band"]).select("lead", "set_id").distinct())
+    banded = keyed.join(shared.hint("shuffle_hash"), "key").select("key", "doc_id", F.explode(F.array(step, step + 1)).alias("band"))
+    leads = banded.groupBy("key", "band").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("top")).where("lead < top").select("key", "band", "lead")
+    members = stored(banded.join(leads, ["key", "band"]).select("lead", "doc_id").distinct())
     released(spark)
-    classes = sig.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    wanted = stored(classes.join(members.select("set_id").distinct(), "set_id", "left_semi").select("doc_id"))
-    few = wanted.count() <= BROADCAST_IDS
-    texts = text.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").select("text")
-    sets = by_arrow(texts, _sets(k), "set_id long, n long, members binary")
-    sets = stored(sets)
-    blocks = members.join(sets.select("set_id", "n").distinct(), "set_id").groupBy("lead").agg((F.floor(F.sum("n") / CHUNK) + 1).alias("chunks")).where("chunks > 1")
+    few = members.count() <= BROADCAST_IDS
+    dealt_to = F.broadcast(members) if few else members
+    wanted = members.select("doc_id").distinct()
+    texts = text.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    sets = by_arrow(texts, _sets(k), "doc_id long, members binary")
+    sizes = sig.select("doc_id", F.col("n_shingles").alias("n")).where("doc_id is not null")
+    blocks = sizes.join(dealt_to, "doc_id").groupBy("lead").agg((F.floor(F.sum("n") / CHUNK) + 1).alias("chunks")).where("chunks > 1")
     blocks = stored(blocks)
-    full = members.join(sets, "set_id").join(blocks, "lead", "left")
-    chunk = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).when(F.col("set_id") == F.col("lead"), F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).otherwise(F.array(F.pmod(F.xxhash64("set_id"), "chunks").cast("int")))
-    dealt = full.select("lead", F.explode(chunk).alias("chunk"), F.col("chunks").isNotNull().alias("many"), "set_id", "members")
-    dealt = dealt.repartition("lead", "chunk").sortWithinPartitions("lead", "chunk", "set_id")
+    full = sets.join(dealt_to, "doc_id").join(blocks, "lead", "left")
+    chunk = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).when(F.col("doc_id") == F.col("lead"), F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), "chunks").cast("int")))
+    dealt = full.select("lead", F.explode(chunk).alias("chunk"), F.col("chunks").isNotNull().alias("many"), "doc_id", "members")
+    dealt = dealt.repartition("lead", "chunk").sortWithinPartitions("lead", "chunk", "doc_id")
     edges = stored(by_arrow(dealt, _solve, "u long, v long, block long"))
     links = edges.where("v is not null").select("u", "v")
     if blocks.limit(1).count():
         # members that no chunk linked to their block's lead meet all its chunks
-        own = F.pmod(F.xxhash64("set_id"), "chunks").cast("int")
-        far = edges.where("v is null").select(F.col("block").alias("lead"), F.col("u").alias("set_id")).distinct().join(sets, "set_id").join(blocks, "lead")
+        own = F.pmod(F.xxhash64("doc_id"), "chunks").cast("int")
+        far = edges.where("v is null").select(F.col("block").alias("lead"), F.col("u").alias("doc_id")).distinct().join(sets, "doc_id").join(blocks, "lead")
         parts = far.select("lead", own.alias("part")).distinct()
-        near = members.join(sets, "set_id").join(blocks, "lead").withColumn("chunk", own).join(parts, "lead")
-        cross = far.select("lead", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).alias("chunk"), own.alias("part"), F.lit(1).alias("side"), "set_id", "members")
-        cross = cross.union(near.select("lead", "chunk", "part", F.lit(0), "set_id", "members")).where("chunk <> part")
+        near = sets.join(dealt_to, "doc_id").join(blocks, "lead").withColumn("chunk", own).join(parts, "lead")
+        cross = far.select("lead", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).alias("chunk"), own.alias("part"), F.lit(1).alias("side"), "doc_id", "members")
+        cross = cross.union(near.select("lead", "chunk", "part", F.lit(0), "doc_id", "members")).where("chunk <> part")
         links = links.union(by_arrow(cross.repartition("lead", "chunk", "part").sortWithinPartitions("lead", "chunk", "part"), _solve_across, "u long, v long, block long").select("u", "v"))
-    found = components(links).withColumnRenamed("node", "set_id").withColumnRenamed("component", "root")
+    found = components(links).toDF("rep", "root")
     released(spark)
-    rows = sig.select("doc_id", "n_shingles", "set_id").join(found, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    rows = stored(rows)
-    least = rows.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    joined = rows.join(least, "root", "left")
-    return joined.select("doc_id", "n_shingles", "set_id", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    rows = sig.select("doc_id", "n_shingles", "set_id").join(classes.withColumnRenamed("doc_id", "rep"), "set_id", "left").join(found, "rep", "left")
+    # components() names a component by its least member, here its least doc_id
+    return rows.select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"))
 
 
 def near_duplicates_removed(docs: DataFrame) -> DataFrame:
