@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import op2_jaccard, op9_packing
+from corpusloom.llm import op2_jaccard, op3_quality, op9_packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,14 +18,19 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and host verdicts for all documents."""
+    return op3_quality.quality(table(spark, sf_dir, "documents")).drop("host", "host_rate")
+
+
 def op9_packing_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of at most 4096 tokens."""
     return op9_packing.packed(table(spark, sf_dir, "documents"), op9_packing.tokenizer_path()).drop("padded")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op9_packing_pieces)}
+    return {f.__name__: f for f in (op2_jaccard_join, op3_quality_rules, op9_packing_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": op3_quality.ORACLE}
