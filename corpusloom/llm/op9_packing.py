@@ -55,7 +55,7 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
         self.closing = np.array(sorted(v for k, v in self.tokenizer.get_vocab().items() if re.fullmatch(r"[.!?]+[\"')]*</w>", k)), np.int64)
 
     def _parts(self, text: str) -> list[str] | None:
@@ -76,30 +76,23 @@ class WordBpe:
             got: list[list[int]] = [[] for _ in some]
             for i, word in zip(e.ids, e.word_ids):
                 got[word].append(i)
-            self.known.update(zip(some, got))
+            self.known.update(zip(some, (np.array(x, np.uint32).tobytes() if len(x) > 1 else x[0].to_bytes(4, "little") if x else b"" for x in got)))
         rest = [p for p in new if p not in self.known]
         for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.known[p] = e.ids
+            self.known[p] = np.array(e.ids, np.uint32).tobytes()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, unsigned 32-bit."""
         parts = [self._parts(t) for t in texts]
-        known = self.known
-        new = {p for x in parts if x for p in x if p not in known}
+        new = set().union(*(x for x in parts if x)).difference(self.known)
         if new:
-            if len(known) + len(new) > MEMORY:
-                known.clear()
-                new = {p for x in parts if x for p in x}
+            if len(self.known) + len(new) > MEMORY:
+                self.known.clear()
+                new = set().union(*(x for x in parts if x))
             self._learn(list(new))
-        out = []
-        for text, x in zip(texts, parts):
-            if x is None:
-                out.append(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            else:
-                ids: list[int] = []
-                for p in x:
-                    ids += known[p]
-                out.append(ids)
-        return out
+        known = self.known.__getitem__
+        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+        return [whole(t) if x is None else np.frombuffer(b"".join(map(known, x)), np.uint32) for t, x in zip(texts, parts)]
 
 
 _LOADED: dict[str, WordBpe] = {}
@@ -246,8 +239,7 @@ def packed(docs: DataFrame, path: str) -> DataFrame:
             for a in range(0, len(ids), 200):
                 texts = [x or "" for x in batch.column(1).slice(a, 200).to_pylist()]
                 for doc_id, x in zip(ids[a : a + 200], encoder.encode(texts)):
-                    x.append(END_ID)
-                    packer.add(doc_id, np.array(x, np.uint32))
+                    packer.add(doc_id, np.append(x, np.uint32(END_ID)))
             yield packer.batch()
         packer.pack(True)
         yield packer.batch()
