@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import op2_jaccard, op3_quality, op9_packing
+from corpusloom.llm import op2_jaccard, op3_quality, op9_packing, op10_licenses
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +28,14 @@ def op9_packing_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_packing.packed(table(spark, sf_dir, "documents"), op9_packing.tokenizer_path()).drop("padded")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in all documents."""
+    return op10_licenses.licenses(table(spark, sf_dir, "documents")).drop("blocks")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op3_quality_rules, op9_packing_pieces)}
+    return {f.__name__: f for f in (op2_jaccard_join, op3_quality_rules, op9_packing_pieces, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": op3_quality.ORACLE}
+    return {"op3_quality_rules": op3_quality.ORACLE, "op10_license_scan": op10_licenses.oracle_sql()}
