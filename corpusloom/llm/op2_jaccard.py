@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import BYTE_VALUES, Words, by_arrow, dropped, groups, lists, mix, released, slices, stored
@@ -31,6 +31,8 @@ CHUNK, COUNTED = 1_500_000, 4_000_000
 #: Rows of one or two longs that are broadcast at most; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 FANOUT = 8
+#: Prefixes are longer by a share of 1/LONGER, so that similar sets share as many of their keys.
+LONGER = 20
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int = WORDS) -> list[np.ndarray]:
@@ -103,7 +105,7 @@ def _signed(frequent: Broadcast, k: int):
                     n = len(s)
                     ns.append(n)
                     names.append(set_id(s))
-                    p = n - -(-NUM * n // DEN) + 1 if n else 0
+                    p = n - -(-NUM * n // DEN) + 1 + n // LONGER if n else 0
                     if len(hot) and n:
                         where = np.searchsorted(hot, s)
                         where[where == len(hot)] = 0
@@ -278,11 +280,11 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (lead, chunk, many), t in groups(batches, ["lead", "chunk", "many"]):
         ids = t.column("doc_id").to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in t.column("members").to_pylist()]
-        at = ids.index(lead)
+        at = ids.index(lead) if lead in ids else 0
         found, labels = linked(sets, at)
         edges += [(ids[a], ids[b], None) for a, b in found]
         if many:
-            edges += [(ids[i], None, lead) for i in np.flatnonzero(labels != labels[at]).tolist()]
+            edges += [(ids[i], None, lead) for i in np.flatnonzero((labels != labels[at]) | (ids[at] != lead)).tolist()]
         if len(edges) > 50_000:
             yield _edge_batch(edges)
             edges = []
@@ -325,9 +327,17 @@ def jaccard_components(docs: DataFrame, k: int = WORDS) -> DataFrame:
     shared = keyed.groupBy("key").count().where("count > 1").select("key")
     # sizes of a linked pair differ by DEN/NUM at most, so both lie in one band of two neighbouring powers of it
     step = F.floor(F.log("n_shingles") / float(np.log(DEN / NUM)) + 1e-9)
-    banded = keyed.join(shared.hint("shuffle_hash"), "key").select("key", "doc_id", F.explode(F.array(step, step + 1)).alias("band"))
+    banded = keyed.join(shared.hint("shuffle_hash"), "key").select("key", "doc_id", "n_shingles", F.explode(F.array(step, step + 1)).alias("band"))
     leads = banded.groupBy("key", "band").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("top")).where("lead < top").select("key", "band", "lead")
-    members = stored(banded.join(leads, ["key", "band"]).select("lead", "doc_id").distinct())
+    weights = banded.join(leads, ["key", "band"]).groupBy("doc_id", "n_shingles", "lead").agg(F.count("*").alias("w"))
+    # Similar sets share at least as many prefix keys as the smaller one's prefix is longer. So a document that
+    # shares fewer has no partner, and one may leave blocks that hold less than half of them: two documents
+    # that both do still meet in another.
+    least = 1 + F.floor(F.col("n_shingles") * NUM / (DEN * LONGER))
+    of_doc = Window.partitionBy("doc_id")
+    up_to = F.sum("w").over(of_doc.orderBy("w", "lead").rowsBetween(Window.unboundedPreceding, 0))
+    weights = stored(weights.withColumn("c", up_to).withColumn("all", F.sum("w").over(of_doc)).where((F.col("all") >= least) & (F.col("c") * 2 > least - 1)).select("lead", "doc_id"))
+    members = stored(weights.join(weights.groupBy("lead").count().where("count > 1").select("lead"), "lead", "left_semi"))
     released(spark)
     few = members.count() <= BROADCAST_IDS
     dealt_to = F.broadcast(members) if few else members
