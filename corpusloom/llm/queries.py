@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import op2_jaccard, op3_quality, op9_packing, op10_licenses
+from corpusloom.llm import op2_jaccard, op3_quality, op5_language, op9_packing, op10_licenses
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_quality.quality(table(spark, sf_dir, "documents")).drop("host", "host_rate")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return op5_language.languages(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_packing_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of at most 4096 tokens."""
     return op9_packing.packed(table(spark, sf_dir, "documents"), op9_packing.tokenizer_path()).drop("padded")
@@ -34,7 +40,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op3_quality_rules, op9_packing_pieces, op10_license_scan)}
+    return {f.__name__: f for f in (op2_jaccard_join, op3_quality_rules, op5_language_id, op9_packing_pieces, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
