@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import op2_jaccard, op3_quality, op5_language, op9_packing, op10_licenses
+from corpusloom.llm import op2_jaccard, op3_quality, op4_repeats, op5_language, op9_packing, op10_licenses
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_quality.quality(table(spark, sf_dir, "documents")).drop("host", "host_rate")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without long repeats."""
+    out = op4_repeats.without_repeats(table(spark, sf_dir, "documents"), ["doc_id", "text"])
+    return out.select("doc_id", "n_bytes", F.col("n_removed").cast("long").alias("n_removed"), "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -40,7 +47,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op3_quality_rules, op5_language_id, op9_packing_pieces, op10_license_scan)}
+    return {f.__name__: f for f in (op2_jaccard_join, op3_quality_rules, op4_suffix_dedup, op5_language_id, op9_packing_pieces, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
