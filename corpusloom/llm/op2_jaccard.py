@@ -26,8 +26,8 @@ from corpusloom.llm.components import components
 NUM, DEN, WORDS = 4, 5, 5
 #: Shingles with more than 1 of 2 * HOT occurrences come last in the order; so there are at most 2 * HOT of them.
 HOT = 1_000_000
-#: Shingles of a block's chunk (8 bytes each), and of a block of which frequent ones are counted.
-CHUNK, COUNTED = 1_500_000, 4_000_000
+#: Shingles (8 bytes each) and sets of a block's chunk, and shingles of a run of which frequent ones are counted.
+CHUNK, CHUNK_SETS, COUNTED = 1_500_000, 256, 4_000_000
 #: Rows of one or two longs that are broadcast at most; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 FANOUT = 8
@@ -345,7 +345,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS) -> DataFrame:
     texts = text.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
     sets = by_arrow(texts, _sets(k), "doc_id long, members binary")
     sizes = sig.select("doc_id", F.col("n_shingles").alias("n")).where("doc_id is not null")
-    blocks = sizes.join(dealt_to, "doc_id").groupBy("lead").agg((F.floor(F.sum("n") / CHUNK) + 1).alias("chunks")).where("chunks > 1")
+    blocks = sizes.join(dealt_to, "doc_id").groupBy("lead").agg((F.floor(F.greatest(F.sum("n") / CHUNK, F.count("*") / CHUNK_SETS)) + 1).alias("chunks")).where("chunks > 1")
     blocks = stored(blocks)
     full = sets.join(dealt_to, "doc_id").join(blocks, "lead", "left")
     chunk = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).when(F.col("doc_id") == F.col("lead"), F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), "chunks").cast("int")))
