@@ -106,12 +106,12 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets from 0) of runs of rows with at most so many bytes, or a single longer row."""
+def slices(column: pa.Array, most: int = SLICE_BYTES, rows: int = 4096) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets from 0) of at most so many rows with at most so many bytes, or a single longer row."""
     data, at = buffers(column)
     first, n = 0, len(at) - 1
     while first < n:
-        end = max(first + 1, int(np.searchsorted(at, at[first] + most, "right")) - 1)
+        end = min(n, first + rows, max(first + 1, int(np.searchsorted(at, at[first] + most, "right")) - 1))
         yield first, end, data[at[first] : at[end]], at[first : end + 1] - at[first]
         first = end
 
