@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import op2_jaccard, op3_quality, op4_repeats, op5_language, op6_katz, op9_packing, op10_licenses
+from corpusloom.llm import op1_pieces, op2_jaccard, op3_quality, op4_repeats, op5_language, op6_katz, op9_packing, op10_licenses
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and hash of the piece ids of all documents, and whether decoding gives each text back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = op1_pieces.model_path()
+    rows = op1_pieces.decoded(op1_pieces.encoded(docs, path), path)
+    same = F.coalesce("decoded", F.lit("")) == F.translate(F.coalesce("text", F.lit("")), op1_pieces.SPACE, " ")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), same.alias("round_trip"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return op2_jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
@@ -52,7 +61,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op3_quality_rules, op4_suffix_dedup, op5_language_id, op6_katz_scores, op9_packing_pieces, op10_license_scan)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_jaccard_join, op3_quality_rules, op4_suffix_dedup, op5_language_id, op6_katz_scores, op9_packing_pieces, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
