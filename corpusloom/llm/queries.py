@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import op1_pieces, op2_jaccard, op3_quality, op4_repeats, op5_language, op6_katz, op9_packing, op10_licenses
+from corpusloom.llm import op1_pieces, op2_jaccard, op3_quality, op4_repeats, op5_language, op6_katz, op7_embeddings, op8_cotraining, op9_packing, op10_licenses
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,16 @@ def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_katz.scored(table(spark, sf_dir, "documents"))
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return op7_embeddings.vector_components(table(spark, sf_dir, "embeddings"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by co-trained views."""
+    return op8_cotraining.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_packing_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of at most 4096 tokens."""
     return op9_packing.packed(table(spark, sf_dir, "documents"), op9_packing.tokenizer_path()).drop("padded")
@@ -61,7 +71,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_jaccard_join, op3_quality_rules, op4_suffix_dedup, op5_language_id, op6_katz_scores, op9_packing_pieces, op10_license_scan)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_jaccard_join, op3_quality_rules, op4_suffix_dedup, op5_language_id, op6_katz_scores, op7_vector_dedup, op8_quality_classifier, op9_packing_pieces, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
