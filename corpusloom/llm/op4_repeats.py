@@ -65,39 +65,79 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[lo], p - begun, lo - begun, hi - begun, g[p], mix(around)
 
 
-ANCHORS = "anchor long, around long, text_id long, p int, lo int, hi int"
+#: Rows of a scan that are looked at together, and rows of an anchor there from which on they are spread.
+HELD, SPREAD = 400_000, 64
+NAMES = ["route", "anchor", "around", "text_id", "p", "lo", "hi", "state"]
+ANCHORS = "route long, anchor long, around long, text_id long, p int, lo int, hi int, state int"
+
+
+def _typed(x: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int32 if k in ("p", "lo", "hi", "state") else np.int64)) for k, v in x.items()], list(x))
+
+
+def _spread(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Settles, within a scan, much of what belongs to frequent anchors, so that none gathers in one task.
+
+    Of more than two rows with one surroundings the others are repeats as a
+    whole (state 1, dealt at random). Of more than two surroundings of an
+    anchor the others are known to be among several (state 2) and dealt by
+    anchor and surroundings; should the same ones come by the anchor alone
+    elsewhere, both go on and meet when they are settled.
+    """
+    order = np.lexsort((x["around"], x["anchor"]))
+    x = {k: v[order] for k, v in x.items()}
+    n = len(order)
+    new_group = np.diff(x["anchor"], prepend=~x["anchor"][:1]) != 0
+    new_run = new_group | (np.diff(x["around"], prepend=~x["around"][:1]) != 0)
+    group, run = np.cumsum(new_group) - 1, np.cumsum(new_run) - 1
+    group_at, run_at = np.flatnonzero(new_group), np.flatnonzero(new_run)
+    hot = (np.diff(group_at, append=n) > SPREAD)[group]
+    again = hot & (np.arange(n) - run_at[run] >= 2)
+    more = hot & ~again & (run - run[group_at][group] >= 2)
+    x["state"] = np.where(again, 1, np.where(more, 2, 0))
+    route = x["anchor"].copy()
+    text = (x["text_id"] + x["lo"]).view(np.uint64)
+    route[again] = mix(text[again]).view(np.int64)
+    route[more] = mix(x["anchor"][more].view(np.uint64) ^ mix(x["around"][more].view(np.uint64))).view(np.int64)
+    return {"route": route, **x}
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    size = 0
+    names = NAMES[1:-1]
     for batch in batches:
         ids = batch.column(0).to_numpy()
         for a, b, data, at in slices(batch.column(1)):
             row, p, lo, hi, g, around = anchors(data, at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(g.view(np.int64)), pa.array(around.view(np.int64)), pa.array(ids[a:b][row], pa.int64()), *(pa.array(x.astype(np.int32)) for x in (p, lo, hi))],
-                ["anchor", "around", "text_id", "p", "lo", "hi"],
-            )
+            held.append((g.view(np.int64), around.view(np.int64), ids[a:b][row], p, lo, hi))
+            size += len(p)
+            if size >= HELD:
+                yield _typed(_spread({k: np.concatenate(c) for k, c in zip(names, zip(*held))}))
+                held, size = [], 0
+    if size:
+        yield _typed(_spread({k: np.concatenate(c) for k, c in zip(names, zip(*held))}))
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by anchor and surroundings: repeats as a whole (mixed null), and one row for each surroundings of an anchor that has several (mixed: whether it is alone).
+    """From rows sorted by route and surroundings: repeats as a whole (mixed null), and one row for each surroundings of an anchor that has several (mixed: whether it is alone).
 
     Two rows are held over between batches, however large a group is.
     """
-    names = ["anchor", "around", "text_id", "p", "lo", "hi"]
-    held = {k: np.zeros(0, np.int64) for k in names}
+    held = {k: np.zeros(0, np.int64) for k in NAMES}
     held_known = np.zeros(0, bool)
     several = False  # the held run's anchor had another run before it
 
     def rows(x: dict, at: np.ndarray, mixed: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x[k][at].astype(np.int32 if k in ("p", "lo", "hi") else np.int64)) for k in names if k != "around"] + [mixed], [k for k in names if k != "around"] + ["mixed"])
+        out = _typed({k: x[k][at] for k in ("anchor", "text_id", "p", "lo", "hi")})
+        return pa.RecordBatch.from_arrays([*out.columns, mixed], [*out.schema.names, "mixed"])
 
     def taken(x: dict, known: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal held, held_known, several
         n = len(known)
         if not n:
             return
-        new_group = np.diff(x["anchor"], prepend=~x["anchor"][:1]) != 0
+        new_group = np.diff(x["route"], prepend=~x["route"][:1]) != 0
         new_run = new_group | (np.diff(x["around"], prepend=~x["around"][:1]) != 0)
         run_at = np.flatnonzero(new_run)
         run = np.cumsum(new_run) - 1
@@ -111,7 +151,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if again.any():
             at = np.flatnonzero(again)
             yield rows(x, at, pa.nulls(len(at), pa.bool_()))
-        mixed = np.flatnonzero(runs[group[:open_]] >= 2)
+        mixed = np.flatnonzero((runs[group[:open_]] >= 2) | (x["state"][run_at[:open_]] == 2))
         if len(mixed):
             yield rows(x, run_at[mixed], pa.array(length[mixed] == 1))
         if not last:
@@ -121,8 +161,14 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held_known = (length[-1] >= 2) | known[rest]
 
     for batch in batches:
-        x = {k: np.concatenate((held[k], batch.column(k).to_numpy().astype(np.int64))) for k in names}
-        yield from taken(x, np.concatenate((held_known, np.zeros(batch.num_rows, bool))), False)
+        x = {k: batch.column(k).to_numpy().astype(np.int64) for k in NAMES}
+        settled = x["state"] == 1
+        if settled.any():
+            at = np.flatnonzero(settled)
+            yield rows(x, at, pa.nulls(len(at), pa.bool_()))
+            x = {k: v[~settled] for k, v in x.items()}
+        x = {k: np.concatenate((held[k], v)) for k, v in x.items()}
+        yield from taken(x, np.concatenate((held_known, np.zeros(len(x["route"]) - len(held_known), bool))), False)
     yield from taken(held, held_known, True)
 
 
@@ -310,7 +356,7 @@ def without_repeats(docs: DataFrame, columns: list[str] | None = None) -> DataFr
     one = text.join(copied, "text_id", "left_semi").dropDuplicates(["text_id"])
     texts = single.unionByName(one)
     found = by_arrow(texts.select("text_id", "text"), _anchored, ANCHORS)
-    met = stored(by_arrow(found.repartition("anchor").sortWithinPartitions("anchor", "around"), _met, "anchor long, text_id long, p int, lo int, hi int, mixed boolean"))
+    met = stored(by_arrow(found.repartition("route").sortWithinPartitions("route", "around"), _met, "anchor long, text_id long, p int, lo int, hi int, mixed boolean"))
     released(spark)
     mixed = met.where("mixed is not null")
     crowded = stored(mixed.groupBy("anchor").count().where(F.col("count") > GROUP_LIMIT).select("anchor"))
