@@ -48,7 +48,7 @@ def segments(corpus: Corpus, wanted: DataFrame) -> DataFrame:
     hit = files.join(few, "path")
     last = F.least(F.size("all").cast("long"), F.coalesce(F.col("offset") + F.col("limit") - 1, F.lit((1 << 31) - 1).cast("long")))
     hit = hit.withColumn("n", F.greatest(last - F.col("offset") + 1, F.lit(0)))
-    lines = F.when(F.col("n") > 0, F.transform(F.slice("all", F.col("offset").cast("int"), F.col("n").cast("int")), truncated)).otherwise(F.array().cast("array<string>"))
+    lines = F.when(F.col("n") > 0, F.transform(F.slice("all", F.col("offset").cast("int"), F.col("n").cast("int")), lambda x: truncated(x))).otherwise(F.array().cast("array<string>"))
     hit = hit.select("ord", F.col("total_lines"), F.when(F.col("n") > 0, F.col("offset")).alias("first_line"), F.when(F.col("n") > 0, F.col("offset") + F.col("n") - 1).alias("last_line"), lines.alias("lines"))
     out = wanted.join(hit, "ord", "left")
     error = F.when(F.col("lines").isNull(), F.lit("no such file"))

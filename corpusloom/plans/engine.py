@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import SparkSession
@@ -89,8 +90,6 @@ class Engine:
         self.spark, self.root, self.count, self.env = spark, root, counter or TokenCounter(), env
 
     def _path(self, path: str | None) -> str:
-        import os
-
         found = resolved(self.root, from_windows(path)) if path else self.root
         if not os.path.exists(found):
             raise ConfigError(f"no such path: {path}")
@@ -108,6 +107,8 @@ class Engine:
         target = self._path(path)
         corpus = tree_corpus(self.spark, target, "search", encoding, fallback_encoding)
         s = Search(pattern, **options)
+        if os.path.isfile(target) and (lost := corpus.skips.first()):
+            raise EncodingError(f"{path} can't be searched: {lost.reason}")
         args = {"pattern": pattern} | ({"path": path} if path else {}) | {k: v for k, v in options.items()} | ({"head_limit": head_limit} if head_limit != ENTRIES else {})
         return self.search_corpus(corpus, s, head_limit, offset, budget, args, line_numbers)
 
@@ -128,6 +129,7 @@ class Engine:
         entries = [r for r in rows if not content or "is_match" not in r or r["is_match"]]
         total = None if more else offset + len(entries)
         if not entries:
+            total = search.result(corpus, s).count() if offset else 0
             note = "No matches." if not offset else f"Nothing at offset {offset}; {plural(total or 0, unit)} in all."
             return self._finish(Page(None, Terminal("complete", unit, 0, 0, total, note + self._skip_note(skipped)), skip_report=skipped), budget, "search")
 
