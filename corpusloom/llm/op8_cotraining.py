@@ -23,7 +23,9 @@ from corpusloom.llm.common import BYTE_VALUES, by_arrow, powers, slices
 #: Rows that the classifiers are fitted on, about: labelled ones and unlabelled ones.
 LABELLED, UNLABELLED = 8_000, 6_000
 #: Buckets of hashed words, and of metadata.
-BUCKETS, META = 1 << 16, 1 << 11
+BUCKETS, META = 1 << 20, 1 << 11
+#: Words that the text view knows at most, and how sure their log odds ratio must differ from 0, in standard errors.
+CHOSEN, STRIKING = 4_096, 3.5
 #: Rounds, pseudo-labels of a class that a view gives in one, and their least probability.
 ROUNDS, GIVEN, SURE = 3, 400, 0.97
 #: Every so many'th labelled row is kept apart to calibrate.
@@ -38,7 +40,8 @@ _UP = np.zeros(256, bool)
 _UP[0x41:0x5B] = True
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, 9, 10, 11, 12, 13]] = True
-SHAPE = 7
+#: Numbers of a text's shape, and bins of each.
+SHAPE, BINS = 7, 64
 
 
 def text_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,7 +57,7 @@ def text_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     np.cumsum(BYTE_VALUES[low] * powers(len(data)), out=prefix[1:])
     h = (prefix[ends] - prefix[starts]) * powers(len(data) + 1, "down")[starts]
     h ^= h >> np.uint64(29)
-    bucket = ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)).astype(np.int64) % BUCKETS
+    bucket = ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(44)).astype(np.int64) % BUCKETS
     doc = np.searchsorted(at, starts, "right") - 1
     n = np.bincount(doc, minlength=rows)
     pairs = np.unique(doc * BUCKETS + bucket)
@@ -83,18 +86,17 @@ class Linear:
 
     def logits(self, flat: np.ndarray, counts: np.ndarray, dense: np.ndarray) -> np.ndarray:
         row = np.repeat(np.arange(len(counts)), counts)
-        return np.bincount(row, self.w[flat], minlength=len(counts)) / np.sqrt(np.maximum(1, counts)) + dense @ self.d + self.b
+        return np.bincount(row, self.w[flat], minlength=len(counts)) + dense @ self.d + self.b
 
     def fit(self, flat: np.ndarray, counts: np.ndarray, dense: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 120, rate: float = 0.5, decay: float = 1e-5) -> Linear:
-        """Adagrad over all rows; the weights of a row sum over classes as `weight` says."""
+        """Adagrad over all rows, each with its weight."""
         row = np.repeat(np.arange(len(counts)), counts)
-        norm = 1 / np.sqrt(np.maximum(1, counts))
         g2w, g2d, g2b = np.full(len(self.w), 1e-8), np.full(len(self.d), 1e-8), 1e-8
         total = weight.sum()
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(self.logits(flat, counts, dense), -30, 30)))
             e = (p - y) * weight / total
-            gw = np.bincount(flat, (e * norm)[row], minlength=len(self.w)) + decay * self.w
+            gw = np.bincount(flat, e[row], minlength=len(self.w)) + decay * self.w
             gd, gb = e @ dense + decay * self.d, e.sum()
             g2w += gw * gw
             g2d += gd * gd
@@ -127,19 +129,50 @@ def calibration(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a / scale, b
 
 
+def striking(words: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Buckets of words whose presence goes with a class, the most striking ones, in order."""
+    ones = np.bincount(np.concatenate([np.zeros(0, np.uint32), *(w for w, t in zip(words, y) if t > 0)]).astype(np.int64), minlength=BUCKETS)
+    none = np.bincount(np.concatenate([np.zeros(0, np.uint32), *(w for w, t in zip(words, y) if t <= 0)]).astype(np.int64), minlength=BUCKETS)
+    n1, n0 = (y > 0).sum(), (y <= 0).sum()
+    cells = [x + 0.5 for x in (ones, n1 - ones, none, n0 - none)]
+    z = np.abs(np.log(cells[0] / cells[1]) - np.log(cells[2] / cells[3])) / np.sqrt(sum(1 / c for c in cells))
+    some = np.flatnonzero(z >= STRIKING)
+    return np.sort(some[np.argsort(-z[some], kind="stable")[:CHOSEN]])
+
+
+class Known:
+    """Features of the text view by number: words that are known, and bins of the shape."""
+
+    def __init__(self, buckets: np.ndarray):
+        self.words = len(buckets)
+        self.size = self.words + SHAPE * BINS
+        self.table = np.full(BUCKETS, -1, np.int32)
+        self.table[buckets] = np.arange(len(buckets))
+
+    def of(self, flat: np.ndarray, counts: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features of rows with these words and shapes, how many each has, and the shapes."""
+        at = self.table[flat]
+        row = np.repeat(np.arange(len(counts)), counts)
+        on = at >= 0
+        bins = np.clip((shape * BINS).astype(np.int64), 0, BINS - 1) + self.words + np.arange(SHAPE) * BINS
+        row = np.concatenate((row[on], np.repeat(np.arange(len(counts)), SHAPE)))
+        order = np.argsort(row, kind="stable")
+        return np.concatenate((at[on], bins.ravel()))[order], np.bincount(row, minlength=len(counts)), shape
+
+
 class Rows:
     """Features of sampled rows, both views."""
 
     def __init__(self, t: pa.Table):
         of = lambda c, kind: [np.frombuffer(x, kind) for x in t.column(c).to_pylist()]
-        self.words, self.shape = of("words", np.uint16), np.array(of("shape", np.float32), np.float64).reshape(-1, SHAPE)
+        self.words, self.shape = of("words", np.uint32), np.array(of("shape", np.float32), np.float64).reshape(-1, SHAPE)
         self.meta = np.array(of("meta", np.int32)).reshape(-1, 3)
 
-    def view(self, k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def view(self, k: int, at: np.ndarray, known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if k:
             return self.meta[at].ravel(), np.full(len(at), 3), np.zeros((len(at), 0))
         some = [self.words[i] for i in at]
-        return np.concatenate([np.zeros(0, np.uint16), *some]).astype(np.int64), np.array([len(x) for x in some], np.int64), self.shape[at]
+        return known.of(np.concatenate([np.zeros(0, np.uint32), *some]), np.array([len(x) for x in some], np.int64), self.shape[at])
 
 
 class CoTrained:
@@ -153,27 +186,29 @@ class CoTrained:
         self.fits = [(0.0, self.log_prior)] * 2
         self.given = [0, 0]
         if len(np.unique(y[labelled])) < 2:
-            self.views = [Linear(BUCKETS, SHAPE), Linear(META, 0)]
+            self.known = Known(np.zeros(0, np.int64))
+            self.views = [Linear(self.known.size, SHAPE), Linear(META, 0)]
             return
         apart = labelled[::APART] if len(np.unique(y[labelled[::APART]])) == 2 else labelled
         train = np.setdiff1d(labelled, apart) if len(apart) < len(labelled) else labelled
         if len(np.unique(y[train])) < 2:
             train = labelled
         pool = np.flatnonzero(np.isnan(y))
+        self.known = Known(striking([rows.words[i] for i in train], y[train]))
         known = [(train, y[train])] * 2
         for turn in range(ROUNDS + 1):
             self.views, self.fits = [], []
             for k in (0, 1):
                 at, t = known[k]
-                model = Linear(*((BUCKETS, SHAPE), (META, 0))[k]).fit(*rows.view(k, at), t, np.ones(len(at)))
+                model = Linear(*((self.known.size, SHAPE), (META, 0))[k]).fit(*rows.view(k, at, self.known), t, np.ones(len(at)))
                 self.views.append(model)
-                self.fits.append(calibration(model.logits(*rows.view(k, apart)), y[apart]))
+                self.fits.append(calibration(model.logits(*rows.view(k, apart, self.known)), y[apart]))
             if turn == ROUNDS or not len(pool):
                 break
             new = []
             for k in (0, 1):
                 a, b = self.fits[k]
-                z = a * self.views[k].logits(*rows.view(k, pool)) + b
+                z = a * self.views[k].logits(*rows.view(k, pool, self.known)) + b
                 gain = z - self.log_prior  # confident, and because of the row rather than the prior
                 limit = np.log(SURE / (1 - SURE))
                 up = np.argsort(-z, kind="stable")[:GIVEN]
@@ -189,7 +224,8 @@ class CoTrained:
         return float(np.log(self.prior / (1 - self.prior)))
 
     def scores(self, views: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Probabilities: what each calibrated view adds to the prior's log odds."""
+        """Probabilities: what each calibrated view adds to the prior's log odds. views: words in all buckets with the shape, metadata."""
+        views = [self.known.of(*views[0]), views[1]]
         z = np.full(len(views[0][1]), self.log_prior)
         for (a, b), model, x in zip(self.fits, self.views, views):
             z = z + a * model.logits(*x) + b - self.log_prior
@@ -202,7 +238,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, data, at in slices(batch.column("text")):
             flat, counts, shape = text_features(data, at)
             cut = np.concatenate(([0], np.cumsum(counts)))
-            words = [flat[x:y].astype(np.uint16).tobytes() for x, y in zip(cut, cut[1:])]
+            words = [flat[x:y].astype(np.uint32).tobytes() for x, y in zip(cut, cut[1:])]
             meta = [np.array(meta_buckets(*(c[i] for c in extra)), np.int32).tobytes() for i in range(a, b)]
             shapes = [x.astype(np.float32).tobytes() for x in shape]
             yield pa.RecordBatch.from_arrays([batch.column(t).slice(a, b - a) for t in TARGETS] + [pa.array(x, pa.binary()) for x in (words, shapes, meta)], [*TARGETS, "words", "shape", "meta"])
