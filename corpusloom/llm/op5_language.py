@@ -28,8 +28,8 @@ WORD_FLOOR, NGRAM_FLOOR, LENGTHS = 3, 2, (4, 3, 2, 1)
 MOST_WORDS, MOST_NGRAMS = 50_000, 50_000
 #: Weight of a word that is scored by n-grams, and what is added to counts.
 BACKOFF, ADDED = 0.5, 0.5
-#: Unknown words whose scores a Python worker remembers.
-MEMORY = 300_000
+#: Scores of unknown words, one for each language, that a Python worker remembers.
+MEMORY = 1_000_000
 UNKNOWN = "und"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -59,37 +59,47 @@ class Model:
             logs = np.log(table / np.where(total > 0, total, 1))
             logs[-1] = 0  # the row of items that aren't there
             self.rows[kind], self.logs[kind] = at, logs
-        self.seen: dict[str, np.ndarray] = {}
+        self.known = len(self.rows["w"])
+        self.at: dict[str, int] = {}
+        self.scores: np.ndarray | None = None
+
+    def opened(self) -> None:
+        """Words by row of one table, made where it is used: known ones, and behind them unknown ones as they come."""
+        self.at = self.rows["w"]
+        self.scores = np.zeros((self.known + max(20_000, MEMORY // len(self.langs)), len(self.langs)))
+        self.scores[: self.known] = self.logs["w"][: self.known]
+
+    def row_of_unknown(self, word: str) -> int:
+        """Its row, in which its score is kept."""
+        i = len(self.at)
+        self.scores[i] = self.of_unknown(word)
+        self.at[word] = i
+        return i
 
     def of_unknown(self, word: str) -> np.ndarray:
         """Mean log frequency of its longest known n-grams, weighed down."""
-        found = self.seen.get(word)
-        if found is None:
-            found = np.zeros(len(self.langs))
-            for n in LENGTHS:
-                at = [i for g in ngrams(word, n) if (i := self.rows[str(n)].get(g)) is not None]
-                if at:
-                    found = BACKOFF * self.logs[str(n)][at].mean(0)
-                    break
-            if len(self.seen) >= MEMORY:
-                self.seen.clear()
-            self.seen[word] = found
-        return found
+        for n in LENGTHS:
+            at = [i for g in ngrams(word, n) if (i := self.rows[str(n)].get(g)) is not None]
+            if at:
+                return BACKOFF * self.logs[str(n)][at].mean(0)
+        return np.zeros(len(self.langs))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = _LETTERS.findall(text.lower()) if text else []
         # the pattern also takes numerals such as superscripts
         if not self.langs or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
-        at = list(map(self.rows["w"].get, words))
+        if self.scores is None:
+            self.opened()
         total = np.zeros(len(self.langs))
-        if None in at:
-            for w, i in zip(words, at):
-                if i is None:
-                    total = total + self.of_unknown(w)
-            at = [i for i in at if i is not None]
-        if at:
-            total = total + self.logs["w"][at].sum(0)
+        for a in range(0, len(words), 10_000):  # fewer than fit, so that rows stay while they are summed
+            some = words[a : a + 10_000]
+            if len(self.at) + len(some) > len(self.scores):
+                self.at = {w: i for w, i in self.at.items() if i < self.known}
+            at = list(map(self.at.get, some))
+            if None in at:
+                at = [self.at[w] if w in self.at else self.row_of_unknown(w) for w in some]
+            total += self.scores[at].sum(0)
         k = int(total.argmax())
         return self.langs[k], float(1 / np.exp(np.clip(total - total[k], -700, 0)).sum())
 
