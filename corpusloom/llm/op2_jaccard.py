@@ -25,9 +25,9 @@ from corpusloom.llm.components import components
 #: Threshold as a ratio of integers, and words in a shingle.
 NUM, DEN, WORDS = 4, 5, 5
 #: Shingles with more than 1 of 2 * HOT occurrences come last in the order; so there are at most 2 * HOT of them.
-HOT = 1_000_000
+HOT = 500_000
 #: Shingles (8 bytes each) and sets of a block's chunk, and shingles of a run of which frequent ones are counted.
-CHUNK, CHUNK_SETS, COUNTED = 1_500_000, 256, 4_000_000
+CHUNK, CHUNK_SETS, COUNTED = 1_500_000, 256, 2_000_000
 #: Rows of one or two longs that are broadcast at most; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 FANOUT = 8

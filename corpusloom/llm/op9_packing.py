@@ -30,7 +30,7 @@ SENTENCE_CUT, INNER_CUT = 2, 24
 #: Tokens that are packed at once.
 BLOCK = 1 << 19
 #: Pretokens whose ids a Python worker remembers.
-MEMORY = 1_500_000
+MEMORY = 600_000
 
 _ASCII_SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 # what the tokenizer's own pattern means for Latin-1 text in lower case
