@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.errors import ConfigError
@@ -129,14 +129,26 @@ def occurrences(corpus: Corpus, s: Search) -> DataFrame:
     files = selected(corpus, replace(s, only_matching=True))
     p = F.lit(s.regex(files.sparkSession))
     if s.multiline:
-        parts = files.select("rel", "mtime_ns", "text", F.posexplode(F.regexp_extract_all("text", p, F.lit(0))).alias("k", "matched"))
-        # where each match starts: after the ones before it, in order
-        return parts.select("rel", "mtime_ns", (F.col("k") + 1).cast("long").alias("ordinal"), "matched")
+        # what stands between the matches, and these, tell the lines before each
+        feeds = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+        rows = files.select("rel", "mtime_ns", F.regexp_extract_all("text", p, F.lit(0)).alias("m"), F.split("text", p, -1).alias("gaps")).where(F.size("m") > 0)
+        rows = rows.select("rel", "mtime_ns", F.posexplode(F.arrays_zip("m", "gaps")).alias("k", "x")).where("x.m is not null")
+        w = Window.partitionBy("rel").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+        start = 1 + F.sum(feeds(F.col("x.gaps")) + feeds(F.col("x.m"))).over(w) - feeds(F.col("x.m"))
+        out = rows.select("rel", "mtime_ns", start.cast("long").alias("line_no"), (F.col("k") + 1).cast("long").alias("ordinal"), F.col("x.m").alias("matched"))
+        return out
     rows = files.select("rel", "mtime_ns", F.posexplode(search_lines(F.col("text"))).alias("k", "line")).where(F.rlike("line", p))
     rows = rows.select("rel", "mtime_ns", (F.col("k") + 1).cast("long").alias("line_no"), F.posexplode(F.regexp_extract_all("line", p, F.lit(0))).alias("j", "matched"))
     return rows.select("rel", "mtime_ns", "line_no", (F.col("j") + 1).cast("long").alias("ordinal"), "matched")
 
 
+def touched_lines(found: DataFrame) -> DataFrame:
+    """rel, ordinal, line_no of each line that a match of occurrences() covers; a line break at its end touches no further line."""
+    body = F.regexp_replace("matched", r"\r?\n\z", "")
+    last = F.col("line_no") + F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit("")))
+    return found.select("rel", "ordinal", F.explode(F.sequence("line_no", last.cast("long"))).alias("line_no"))
+
+
 def result(corpus: Corpus, s: Search) -> DataFrame:
     """The rows of a search in its output mode, unordered."""
     if s.output_mode == "content":

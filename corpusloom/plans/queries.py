@@ -19,6 +19,10 @@ DOCS = f"d as (select doc_id, {REL} rel, coalesce(text, '') text, strlen(coalesc
 LINES = f"{DOCS}, l as (select rel, doc_id, generate_subscripts(x, 1) line_no, unnest(x) line from (select rel, doc_id, string_split(text, chr(10)) x from d))"
 THE, RARE, SENTENCE = "the", "Eano|Thha", r"\.\n[A-Z]"
 
+MULTILINE = f"""with {DOCS}, m as (select rel, regexp_extract_all(text, '{SENTENCE}') m, string_split_regex(text, '{SENTENCE}') g from d),
+    e as (select rel, k, m[k] matched, len(array_to_string(g[1:k], '')) - len(replace(array_to_string(g[1:k], ''), chr(10), '')) before from (select *, unnest(range(1, len(m) + 1)) k from m)),
+    o as (select rel, (before + k)::bigint line_no, k::bigint ordinal, matched from e)"""
+
 
 def q(f: Callable[[Corpus], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: f(documents_corpus(spark, sf_dir))
@@ -155,6 +159,14 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         q(lambda c: search.counts(c, Search(SENTENCE, output_mode="count", multiline=True)).select("rel", "occurrences")),
         f"with {DOCS} select rel, len(regexp_extract_all(text, '{SENTENCE}'))::bigint occurrences from d where occurrences > 0",
     ),
+    "search_multiline_content": (
+        q(lambda c: search.occurrences(c, Search(SENTENCE, output_mode="content", multiline=True)).drop("mtime_ns")),
+        MULTILINE + " select rel, line_no, ordinal, matched from o",
+    ),
+    "search_touched_lines": (
+        q(lambda c: search.touched_lines(search.occurrences(c, Search(SENTENCE, output_mode="content", multiline=True)))),
+        MULTILINE + " select rel, ordinal, line_no + unnest([0, 1])::bigint line_no from o",
+    ),
     "search_icase": (
         q(lambda c: search.counts(c, Search("WITH", output_mode="count", case_insensitive=True)).select("rel", "occurrences")),
         f"with {LINES} select rel, sum(len(regexp_extract_all(line, '(?i)WITH')))::bigint occurrences from l group by rel having occurrences > 0",

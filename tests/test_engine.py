@@ -216,3 +216,10 @@ def test_queries_have_names_and_columns(spark):
     assert set(q.oracle_sql()) <= set(q.queries())
     for f in q.queries().values():
         assert f(spark, "/root/testdata/sf0.001").columns
+
+
+def test_multiline_places(spark):
+    c = corpus(spark, [("x", 1, "a\r\nfoo\r\nbar\nfoo\nbar foo\nbar\n")])
+    found = search.occurrences(c, Search("foo\nbar", output_mode="content", multiline=True))
+    assert [(r.line_no, r.ordinal) for r in found.orderBy("ordinal").collect()] == [(2, 1), (4, 2), (5, 3)]
+    assert sorted((r.ordinal, r.line_no) for r in search.touched_lines(found).collect()) == [(1, 2), (1, 3), (2, 4), (2, 5), (3, 5), (3, 6)]
