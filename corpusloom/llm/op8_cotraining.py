@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import BYTE_VALUES, by_arrow, powers, slices
 
 #: Rows that the classifiers are fitted on, about: labelled ones and unlabelled ones.
-LABELLED, UNLABELLED = 8_000, 6_000
+LABELLED, UNLABELLED = 12_000, 6_000
 #: Buckets of hashed words, and of metadata.
 BUCKETS, META = 1 << 20, 1 << 11
-#: Words that the text view knows at most, and how sure their log odds ratio must differ from 0, in standard errors.
-CHOSEN, STRIKING = 4_096, 3.5
+#: Words that the text view knows at most, and how far their share of a class must be off, in standard errors.
+CHOSEN, STRIKING = 4_096, 5.0
 #: Rounds, pseudo-labels of a class that a view gives in one, and their least probability.
 ROUNDS, GIVEN, SURE = 3, 400, 0.97
 #: Every so many'th labelled row is kept apart to calibrate.
@@ -134,8 +134,9 @@ def striking(words: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     ones = np.bincount(np.concatenate([np.zeros(0, np.uint32), *(w for w, t in zip(words, y) if t > 0)]).astype(np.int64), minlength=BUCKETS)
     none = np.bincount(np.concatenate([np.zeros(0, np.uint32), *(w for w, t in zip(words, y) if t <= 0)]).astype(np.int64), minlength=BUCKETS)
     n1, n0 = (y > 0).sum(), (y <= 0).sum()
-    cells = [x + 0.5 for x in (ones, n1 - ones, none, n0 - none)]
-    z = np.abs(np.log(cells[0] / cells[1]) - np.log(cells[2] / cells[3])) / np.sqrt(sum(1 / c for c in cells))
+    n = ones + none
+    off = ones * (n0 / (n0 + n1)) - none * (n1 / (n0 + n1))  # above what is to be expected
+    z = np.abs(off) * np.sqrt((n0 + n1) ** 3 / np.maximum(1.0, n * (n0 + n1 - n) * float(n0) * n1))
     some = np.flatnonzero(z >= STRIKING)
     return np.sort(some[np.argsort(-z[some], kind="stable")[:CHOSEN]])
 
