@@ -41,3 +41,23 @@ def page(corpus: Corpus, pattern: str, sort: str = "modified", offset: int = 0,
     if total > MOST_FILES:
         raise ConfigError(f"more than {MOST_FILES} files match; narrow the pattern")
     return ordered(rows, sort).offset(offset).limit(limit).collect(), total
+
+
+#: Rows of a table of globs, at most; it is broadcast.
+MOST_GLOBS = 10_000
+
+
+def kept_by_table(files: DataFrame, patterns: DataFrame) -> DataFrame:
+    """files (rel) that some glob of patterns (regex, veto) keeps and none vetoes; without any that keeps, all are kept.
+
+    For lists too long to write out: one semi and one anti join whose condition
+    is the match. The regexes are those of as_regex().
+    """
+    n = patterns.limit(MOST_GLOBS + 1).count()
+    if n > MOST_GLOBS:
+        raise ConfigError(f"more than {MOST_GLOBS} globs")
+    good, bad = patterns.where("not veto"), patterns.where("veto")
+    hit = F.expr("rel rlike regex")
+    if good.limit(1).count():
+        files = files.join(F.broadcast(good), hit, "left_semi")
+    return files.join(F.broadcast(bad), hit, "left_anti")

@@ -115,9 +115,10 @@ class Engine:
     def search_corpus(self, corpus: Corpus, s: Search, head_limit: int = ENTRIES, offset: int = 0, budget: int | None = None, args: dict | None = None, line_numbers: bool = True) -> Page:
         budget = budget or resolve("search", self.env)
         skipped = self._skips(corpus)
+        notes = "".join(f" {n}" for n in corpus.notes())
         if s.output_mode == "summary":
             r = search.summary(corpus, s).first()
-            note = f"{plural(r.occurrences, 'occurrence')} in {plural(r.files, 'file')}." + self._skip_note(skipped)
+            note = f"{plural(r.occurrences, 'occurrence')} in {plural(r.files, 'file')}." + notes + self._skip_note(skipped)
             return self._finish(Page(None, Terminal("complete", "files", min(1, r.files), r.files, r.files, note), skip_report=skipped), budget, "search")
         limit = page_rows(head_limit, budget)
         content = s.output_mode == "content"
@@ -131,14 +132,14 @@ class Engine:
         if not entries:
             total = search.result(corpus, s).count() if offset else 0
             note = "No matches." if not offset else f"Nothing at offset {offset}; {plural(total or 0, unit)} in all."
-            return self._finish(Page(None, Terminal("complete", unit, 0, 0, total, note + self._skip_note(skipped)), skip_report=skipped), budget, "search")
+            return self._finish(Page(None, Terminal("complete", unit, 0, 0, total, note + notes + self._skip_note(skipped)), skip_report=skipped), budget, "search")
 
         def render(k: int, around: bool = True, most: int = 2000) -> str:
             part = more or k < len(entries)
             body = self._content(rows, entries[:k], s, line_numbers, around, most) if content else "\n".join(r.rel if s.output_mode == "files_with_matches" else f"{r.rel}:{r.occurrences}" for r in entries[:k])
             if s.output_mode == "count":
                 body += f"\n\n{plural(sum(r.occurrences for r in entries[:k]), 'occurrence')} shown"
-            return f"{body}\n\n({self._shown(unit, offset + 1, offset + k, None if more else total, part)}{self._skip_note(skipped)})"
+            return f"{body}\n\n({self._shown(unit, offset + 1, offset + k, None if more else total, part)}{notes}{self._skip_note(skipped)})"
 
         around, most = True, 2000
         k = largest_fitting(len(entries), lambda n: self.count(render(n)) <= budget)

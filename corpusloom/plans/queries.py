@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.decode import decode_files
+from corpusloom.functions.globs import as_regex
 from corpusloom.functions.lines import SEARCH_BYTES, search_lines
 from corpusloom.operators import glob as globs
 from corpusloom.operators import intervals, outline, read, report, search, turns
@@ -71,6 +72,14 @@ def glob_page(c: Corpus) -> DataFrame:
     return globs.ordered(globs.found(c, "src[1-3]/{en,de}/*.txt"), "path").offset(3).limit(12).select("rel", "size")
 
 
+def glob_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths kept by a table of globs made from another table: one for each nation."""
+    n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") % 10).cast("string").alias("k"))
+    patterns = n.select(F.concat(F.lit(r"(?s)\Asrc"), "k", F.lit(r"/[^/]*/[^/]*\.txt\z")).alias("regex"), F.lit(False).alias("veto")).distinct()
+    vetoes = spark.createDataFrame([(as_regex("**/fr/*"), True)], "regex string, veto boolean")
+    return globs.kept_by_table(documents_corpus(spark, sf_dir).files.select("rel"), patterns.unionByName(vetoes))
+
+
 def glob_details(c: Corpus) -> DataFrame:
     return globs.details(globs.found(c, "src7/**")).select("rel", "entry")
 
@@ -214,6 +223,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         q(glob_page),
         f"with {DOCS} select rel, size::bigint size from d where regexp_full_match(rel, 'src[1-3]/(en|de)/[^/]*\\.txt') order by rel collate \"C\" limit 12 offset 3",
     ),
+    "glob_table": (glob_table, f"with {DOCS} select rel from d where regexp_full_match(rel, 'src[0-9]/[^/]*/[^/]*\\.txt') and not contains(rel, '/fr/')"),
     "glob_details": (
         q(glob_details),
         f"with {DOCS} select rel, '{{\"path\":\"' || rel || '\",\"bytes\":' || size || ',\"modified\":\"1970-01-01T00:00:00.' || lpad(doc_id::varchar, 9, '0') || 'Z\"}}' entry from d where starts_with(rel, 'src7/')",

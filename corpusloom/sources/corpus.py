@@ -10,10 +10,18 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Corpus:
-    """files: rel STRING, mtime_ns LONG, size LONG, text STRING; skips: path, reason, kind of what couldn't be read."""
+    """files: rel STRING, mtime_ns LONG, size LONG, text STRING; skips: path, reason, kind of what couldn't be read; encodings: rel, encoding, rescued of what wasn't UTF-8."""
 
     files: DataFrame
     skips: DataFrame | None = None
+    encodings: DataFrame | None = None
+
+    def notes(self) -> list[str]:
+        """What was decoded from other encodings, each once, in order."""
+        if self.encodings is None:
+            return []
+        rows = self.encodings.agg(F.array_sort(F.collect_set("encoding")).alias("e"), F.count_if("rescued").alias("n")).first()
+        return [f"Decoded from {e}." for e in rows.e] + ([f"{rows.n} by the fallback encoding."] if rows.n else [])
 
     @property
     def ordered_by(self) -> list[Column]:

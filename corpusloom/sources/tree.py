@@ -143,7 +143,8 @@ def tree_corpus(spark: SparkSession, root: str, policy: str = "search", encoding
     files = good.where("kind = 'text'").select("rel", "mtime_ns", "size", "text")
     bad = good.where("kind = 'rejected'").select(F.col("rel").alias("path"), F.concat_ws(": ", "reason", F.array_join("candidates", ", ")).alias("reason"), F.lit("encoding").alias("kind"))
     lost = rows.where("error is not null").select(F.col("rel").alias("path"), F.col("error").alias("reason"), F.when(F.startswith("error", F.lit("unreachable")), "unreachable").otherwise("file").alias("kind"))
-    return Corpus(files, lost.unionByName(bad))
+    other = good.where("kind = 'text' and encoding <> 'utf-8'").select("rel", "encoding", "rescued")
+    return Corpus(files, lost.unionByName(bad), other)
 
 
 __all__ = ["NAMES", "TreeSource", "tree_corpus", "tree_files"]

@@ -223,3 +223,19 @@ def test_multiline_places(spark):
     found = search.occurrences(c, Search("foo\nbar", output_mode="content", multiline=True))
     assert [(r.line_no, r.ordinal) for r in found.orderBy("ordinal").collect()] == [(2, 1), (4, 2), (5, 3)]
     assert sorted((r.ordinal, r.line_no) for r in search.touched_lines(found).collect()) == [(1, 2), (1, 3), (2, 4), (2, 5), (3, 5), (3, 6)]
+
+
+def test_notes_of_encodings(spark, tmp_path):
+    (tmp_path / "u.txt").write_bytes(b"\xff\xfe" + "needle\n".encode("utf-16-le"))
+    (tmp_path / "w.txt").write_bytes("needle é".encode("cp1252"))
+    e = Engine(spark, str(tmp_path), env={})
+    p = e.search("needle")
+    assert p.text.startswith("u.txt\n") and "Decoded from utf-16-le." in p.text and p.skip_report["files"] == 1
+    p = e.search("needle", fallback_encoding="windows-1252")
+    assert p.terminal.total == 2 and "Decoded from windows-1252." in p.text and "1 by the fallback" in p.text
+
+
+def test_schemas_are_portable():
+    from corpusloom.plans.schemas import TOOLS, portable
+
+    assert all(map(portable, TOOLS.values()))
