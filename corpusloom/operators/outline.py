@@ -111,7 +111,8 @@ RULES: dict[str, list[tuple[str, str]]] = {
         ("enum", _JAVA_HEAD + r"enum\s+(?P<name>\w+)"),
         ("record", _JAVA_HEAD + r"record\s+(?P<name>\w+)\s*[<(]"),
         ("method", _JAVA_HEAD + r"(?:<[^>]+>\s+)?" + _NOT_CALLS + r"[\w.]+(?:<.*?>)?(?:\[\])*\s+(?P<name>\w+)\s*\([^;=]*(?:\{|;|$|\bthrows\b)"),
-        ("constructor", _JAVA_HEAD + _NOT_CALLS + r"(?P<name>[A-Z]\w*)\s*\([^;=]*\{"),
+        ("constructor", _JAVA_HEAD + _NOT_CALLS + r"(?P<name>[A-Z]\w*)\s*\([^;=]*(?:\{|,|\($)"),
+        ("method", _JAVA_HEAD + r"(?:<[^>]+>\s+)?" + _NOT_CALLS + r"[\w.]+(?:<.*?>)?(?:\[\])*\s+(?P<name>\w+)\s*\([^);=]*$"),
     ],
     "typescript": [
         ("function", _TS_HEAD + r"(?:async\s+)?function\s*\*?\s*(?P<name>\w+)"),
@@ -121,6 +122,7 @@ RULES: dict[str, list[tuple[str, str]]] = {
         ("enum", _TS_HEAD + r"(?:const\s+)?enum\s+(?P<name>\w+)"),
         ("namespace", _TS_HEAD + r"namespace\s+(?P<name>[\w.]+)"),
         ("module", _TS_HEAD + r"module\s+(?P<name>[\w.\"']+)\s*\{"),
+        ("method", r"^\s+(?:(?:public|protected|private|static|override|readonly|async|get|set)\s+)*\*?" + _NOT_CALLS + r"(?P<name>[#\w]+)\s*(?:<[^>]*>)?\([^)]*$"),
         ("method", r"^\s+(?:(?:public|protected|private|static|override|readonly|async|get|set)\s+)*\*?" + _NOT_CALLS + r"(?P<name>[#\w]+)\s*(?:<[^>]*>)?\([^;]*\)\s*(?::\s*[^={;]+)?\{"),
     ],
     "cpp": [
