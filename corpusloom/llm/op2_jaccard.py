@@ -364,7 +364,10 @@ def jaccard_components(docs: DataFrame, k: int = WORDS) -> DataFrame:
         links = links.union(by_arrow(cross.repartition("lead", "chunk", "part").sortWithinPartitions("lead", "chunk", "part"), _solve_across, "u long, v long, block long").select("u", "v"))
     found = components(links).toDF("rep", "root")
     released(spark)
-    rows = sig.select("doc_id", "n_shingles", "set_id").join(classes.withColumnRenamed("doc_id", "rep"), "set_id", "left").join(found, "rep", "left")
+    plain = stored(sig.select("doc_id", "n_shingles", "set_id"))
+    for t in (sig, weights, members, blocks, edges):
+        dropped(t)
+    rows = plain.join(classes.withColumnRenamed("doc_id", "rep"), "set_id", "left").join(found, "rep", "left")
     # components() names a component by its least member, here its least doc_id
     return rows.select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"))
 
