@@ -29,7 +29,7 @@ MOST_WORDS, MOST_NGRAMS = 50_000, 50_000
 #: Weight of a word that is scored by n-grams, and what is added to counts.
 BACKOFF, ADDED = 0.5, 0.5
 #: Scores of unknown words, one for each language, that a Python worker remembers.
-MEMORY = 1_000_000
+MEMORY = 400_000
 UNKNOWN = "und"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
