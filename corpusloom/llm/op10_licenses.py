@@ -5,7 +5,9 @@ their frequency over all documents, rare ones first. A line can hold THRESHOLD
 of a template's words only if it has one of the template's rarest words (prefix
 filter), enough words of templates at all (length filter), and enough words
 left behind the first common one (positional filter); what passes is compared
-exactly. Phrases are found beside that, by place.
+exactly. A notice that is wrapped over lines is found by the same prefix words:
+around each, runs of as many words as the template may have at that threshold
+are compared. Phrases are found beside that, by place.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words, once A-Z are lower case.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.8
+#: Words of templates that are looked at together when runs are compared.
+CHUNK = 256
 
 # fixed values: phrases and their labels
 PHRASES = {
@@ -48,6 +52,11 @@ def need(size: int, threshold: float = THRESHOLD) -> int:
     return max(1, math.ceil(threshold * size - 1e-9))
 
 
+def reach(words: int, threshold: float = THRESHOLD) -> int:
+    """Words of a run that is compared with a template of that many words: where they are the template's, others may be THRESHOLD's share less."""
+    return max(words, math.floor(words / threshold + 1e-9))
+
+
 def lowered(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -68,32 +77,88 @@ def word_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
 
 
+def once(value: Column, f) -> Column:
+    """f(value), with value computed once wherever f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def placed(text: Column, vocabulary: list[str]) -> Column:
+    """(at, line, w) of each word of the vocabulary, at counted over all words of the text."""
+    lines = F.transform(F.split(text, "\n", -1), lambda line, i: F.transform(split_words(line), lambda w: F.struct(i.alias("line"), w.alias("w"))))
+    every = F.transform(F.flatten(lines), lambda x, at: F.struct(at.alias("at"), x["line"].alias("line"), x["w"].alias("w")))
+    return F.filter(every, lambda x: x["w"].isin(vocabulary))
+
+
+def wrapped(spots: DataFrame, prefixes: DataFrame, heads: list[str], least: int, most: int) -> DataFrame:
+    """row, label, line, last_line, lines, containment of the best run around each prefix word, if it meets the threshold and spans lines.
+
+    spots: row and what placed() gives. Rows are cut in chunks that overlap by
+    the longest run, so none is longer than that, whatever the text.
+    """
+    chunks = F.transform(F.sequence(F.lit(0), F.size("spots") - 1, F.lit(CHUNK)), lambda a: F.struct(F.least(a, F.lit(most)).alias("a"), F.slice("spots", F.greatest(a - most, F.lit(0)) + 1, F.least(a, F.lit(most)) + CHUNK + most).alias("p")))
+    out = spots.select("row", F.explode(chunks).alias("chunk")).select("row", F.col("chunk.a").alias("a"), F.col("chunk.p").alias("p"))
+    places = F.filter(F.sequence(F.lit(0), F.size("p") - 1), lambda k: (k >= F.col("a")) & (k < F.col("a") + CHUNK) & F.get("p", k)["w"].isin(heads))
+
+    def around(k: Column) -> Column:
+        here = F.get("p", k)
+        near = F.filter(F.slice("p", F.greatest(k - most, F.lit(0)) + 1, 2 * most + 1), lambda x: F.abs(x["at"] - here["at"]) < most)
+        return F.struct(here["w"].alias("w"), here["at"].alias("at"), near.alias("near"))
+
+    several = lambda x: F.size(F.array_distinct(F.transform(x["near"], lambda y: y["w"]))) >= least
+    out = out.select("row", F.explode(F.filter(F.transform(places, around), several)).alias("x")).select("row", "x.*")
+    # one row for each of the few words in prefixes of templates: its size doesn't depend on docs
+    out = out.join(F.broadcast(prefixes), "w")
+
+    def run(near: Column, s: Column) -> Column:
+        """From one word on, up to where the last of the different words first stands."""
+        within = F.filter(near, lambda y: (y["at"] >= s["at"]) & (y["at"] < s["at"] + F.col("reach")))
+        new = once(within, lambda c: once(F.transform(c, lambda y: y["w"]), lambda names: F.filter(c, lambda y, i: F.array_position(names, y["w"]) == i + 1)))
+        return once(new, lambda c: once(F.element_at(c, -1), lambda end: F.struct(F.size(c).alias("share"), (s["at"] - end["at"]).alias("short"), (-s["at"]).alias("early"), s["line"].alias("line"), end["line"].alias("last_line"))))
+
+    def good(near: Column, best: Column) -> Column:
+        lines = F.array_distinct(F.transform(F.filter(near, lambda x: x["line"].between(best["line"], best["last_line"])), lambda x: x["line"]))
+        found = F.struct(best["line"].alias("line"), best["last_line"].alias("last_line"), lines.alias("lines"), (best["share"] / F.size("words")).alias("containment"))
+        return F.when((best["share"] >= F.col("need")) & (best["line"] < best["last_line"]), found)
+
+    def best(near: Column) -> Column:
+        starts = F.filter(near, lambda x: x["at"] <= F.col("at"))
+        enough = F.size(F.array_distinct(F.transform(near, lambda x: x["w"]))) >= F.col("need")
+        return F.when(enough, once(F.array_max(F.transform(starts, lambda s: run(near, s))), lambda b: good(near, b)))
+
+    mine = F.filter("near", lambda x: (F.abs(x["at"] - F.col("at")) < F.col("reach")) & F.array_contains("words", x["w"]))
+    return out.select("row", "label", once(mine, best).alias("best")).where("best is not null").select("row", "label", "best.*")
+
+
 def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks for each row of docs (doc_id, text).
 
-    blocks: (line, label, containment) of each line that meets the threshold
-    for a template, lines counted from 0; score: the best containment, 0
-    without any. A null or empty text has no words, labels or blocks; repeated
-    rows give repeated rows; an empty table gives none; other columns are
-    ignored. Long lines are judged whole.
+    blocks: (line, label, containment, last_line) of each line that meets the
+    threshold for a template, lines counted from 0, and of each run of reach()
+    words over several lines that meets it with more than any of its lines (for
+    each prefix word the best run, then the shortest); score: the best
+    containment, 0 without any. A null or empty text has no words, labels or
+    blocks; repeated rows give repeated rows; an empty table gives none; other
+    columns are ignored. Long lines are judged whole.
     """
     spark = docs.sparkSession
-    sets = {label: sorted(set(t.split())) for t, label in templates.items()}
+    templates_of = {label: t for t, label in templates.items()}
+    sets = {label: sorted(set(t.split())) for label, t in templates_of.items()}
     order = word_order(docs, sorted({w for s in sets.values() for w in s}))
     rank = {w: i for i, w in enumerate(order)}
     rows = []
     for label, s in sets.items():
         s.sort(key=rank.__getitem__)
         n = need(len(s), threshold)
-        rows += [(w, label, i, n, s) for i, w in enumerate(s[: len(s) - n + 1])]
-    prefixes = spark.createDataFrame(rows, "w string, label string, i int, need int, words array<string>")
-    least = min(r[3] for r in rows)
+        far = reach(len(templates_of[label].split()), threshold)
+        rows += [(w, label, i, n, s, far) for i, w in enumerate(s[: len(s) - n + 1])]
+    prefixes = spark.createDataFrame(rows, "w string, label string, i int, need int, words array<string>, reach int")
+    least, heads_of, most = min(r[3] for r in rows), sorted({r[0] for r in rows}), max(r[5] for r in rows)
 
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.select("doc_id", F.col("text")).withColumn("_w", F.split(F.lower(text), BREAK, -1))
     out = out.withColumn("n_words", (F.size("_w") - F.when(F.element_at("_w", 1) == "", 1).otherwise(0) - F.when((F.size("_w") > 1) & (F.element_at("_w", -1) == ""), 1).otherwise(0)).cast("long"))
     heads = sorted({p.split()[0] for p in PHRASES})
-    out = out.withColumn("_base", F.arrays_overlap("_w", literals(heads))).withColumn("_near", F.arrays_overlap("_w", literals(sorted({r[0] for r in rows}))))
+    out = out.withColumn("_base", F.arrays_overlap("_w", literals(heads))).withColumn("_near", F.arrays_overlap("_w", literals(heads_of)))
     out = out.withColumn("_w", F.when(F.col("_base"), split_words(lowered(text))))
 
     def starts(phrase: str) -> Column:
@@ -118,6 +183,7 @@ def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold:
         F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", sum(sizes).cast("long").alias("n_base"),
         F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), F.array_distinct(base).alias("base"),
         F.when(F.col("_near"), F.filter(known, lambda x: F.size(x["r"]) >= least)).alias("near"),
+        F.when(F.col("_near"), placed(lowered(text), order)).alias("spots"),
     )
     out = stored(out)
 
@@ -127,8 +193,13 @@ def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold:
     pairs = pairs.where(1 + F.least(F.size("words") - F.col("i") - 1, F.size("r") - F.col("j") - 1) >= F.col("need"))
     share = F.size(F.array_intersect("words", "r"))
     blocks = pairs.withColumn("share", share).where("share >= need").groupBy("row", "line", "label").agg(F.first(F.col("share") / F.size("words")).alias("containment"))
-    # bounded by lines that hold a template
-    found = blocks.groupBy("row").agg(F.max("containment").alias("best"), F.collect_set("label").alias("more"), F.sort_array(F.collect_list(F.struct("line", "label", "containment"))).alias("blocks"))
+    runs = wrapped(out.where(F.size("spots") >= least).select("row", "spots"), prefixes, heads_of, least, most)
+    # of a run and the lines that it touches, the run counts where it holds more
+    runs = runs.withColumn("t", F.explode("lines")).join(blocks.select("row", "label", F.col("line").alias("t"), F.col("containment").alias("c")), ["row", "label", "t"], "left")
+    runs = runs.groupBy("row", "line", "label", "last_line").agg(F.max("containment").alias("containment"), F.max("c").alias("c")).where("c is null or c < containment").drop("c")
+    blocks = blocks.withColumn("last_line", F.col("line")).unionByName(runs)
+    # bounded by lines and runs that hold a template
+    found = blocks.groupBy("row").agg(F.max("containment").alias("best"), F.collect_set("label").alias("more"), F.sort_array(F.collect_list(F.struct("line", "label", "containment", "last_line"))).alias("blocks"))
     out = out.join(found, "row", "left")
     joined = lambda c: F.array_join(F.sort_array(c), ",")
     return out.select(
@@ -139,7 +210,7 @@ def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold:
 
 
 def oracle_sql() -> str:
-    """SQL that compares each line with each template."""
+    """SQL that compares each line with each template; it knows no runs over several lines."""
     quoted = lambda s: "'" + s + "'"
     phrases = ", ".join(f"({quoted(p)}, {quoted(v)})" for p, v in PHRASES.items())
     templates = ", ".join(f"({quoted(' '.join(sorted(set(t.split()))))}, {quoted(v)})" for t, v in TEMPLATES.items())

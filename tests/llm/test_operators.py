@@ -276,6 +276,46 @@ def test_licenses(docs, rows, nothing):
     assert op10_licenses.licenses(nothing).count() == 0
 
 
+def test_licenses_wrapped_over_lines(spark, monkeypatch):
+    monkeypatch.setattr(op10_licenses, "CHUNK", 4)
+    text_of = {v: t for t, v in op10_licenses.TEMPLATES.items()}
+
+    def wrap(words, k, mark=""):
+        return "\n".join(mark + " ".join(words[i : i + k]) for i in range(0, len(words), k))
+
+    rng = random.Random(5)
+    other = lambda n: " ".join(rng.choice(["the", "license", "of", "bada", "kodu", "\n"]) for _ in range(n))
+    texts = [wrap(text_of[label].upper().split(), k, mark) for label in ("mit-text", "apache-2.0-header", "gpl-header") for k, mark in ((13, ""), (5, " * "), (1, "// "))]
+    texts += [f"{other(300)}\n\n{t}\n{other(300)}" for t in texts]
+    texts += [text_of["mit-text"], wrap((text_of["mit-text"].replace(" ", " b b b ")).split(), 9), "released under\n\n\nthe MIT", "", None]
+    every = list(text_of.values())
+    for _ in range(60):
+        w = [rng.choice([*rng.choice(every).split(), "b"]) for _ in range(20)]
+        t = rng.choice(every).split()
+        del t[rng.randrange(len(t)) : len(t) : rng.choice([3, 5, 9])]
+        texts.append(wrap(w + t + w[:5], rng.choice([2, 4, 9])))
+
+    def plain(text):
+        words = [(w, i) for i, line in enumerate(brute.low(text).split("\n")) for w in line.replace("*", " ").replace("/", " ").split()]
+        best = {}
+        for t, label in op10_licenses.TEMPLATES.items():
+            s, far = set(t.split()), op10_licenses.reach(len(t.split()))
+            sets = [{w for w, i in words if i == line} for line in {i for _, i in words}] + [{w for w, _ in words[a : a + far]} for a in range(len(words))]
+            share = max((len(s & x) / len(s) for x in sets), default=0)
+            if share >= op10_licenses.THRESHOLD - 1e-9:
+                best[label] = share
+        return best
+
+    got = {r.doc_id: r for r in op10_licenses.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, t in enumerate(texts):
+        want = plain(t)
+        assert set(got[k].labels.split(",")) - set(op10_licenses.PHRASES.values()) - {""} == set(want)
+        assert got[k].score == pytest.approx(max(want.values(), default=0))
+        assert all(b.containment <= want[b.label] + 1e-9 for b in got[k].blocks or [])
+    assert [(b.line, b.last_line, b.label, b.containment) for b in got[0].blocks] == [(0, 1, "mit-text", 1.0)]
+    assert [b.last_line for b in got[18].blocks] == [0]
+
+
 def test_pipeline(docs, rows, spark, tmp_path):
     import corpus_pipeline
 
