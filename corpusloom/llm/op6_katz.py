@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import Words, arrow_rows, by_arrow, dropped, mix, released, slices, stored
 
-#: Counts up to this are discounted; pairs seen less often than this are left to the backoff.
-DISCOUNTED, PAIR_FLOOR = 5, 2
+#: Counts up to this are discounted; pairs seen less often than this are left to the backoff: none that was seen.
+DISCOUNTED, PAIR_FLOOR = 5, 1
 #: Tokens and documents of a run, and bytes of text for each shard when n-grams are counted and when they are looked up.
 RUN_TOKENS, RUN_DOCS, COUNT_BYTES, LOOK_BYTES = 600_000, 60_000, 10_000_000, 30_000_000
 #: Rows that are passed to Python workers at once; runs make rows of hundreds of kilobytes.

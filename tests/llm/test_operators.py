@@ -205,6 +205,33 @@ def test_katz(docs, rows, nothing, monkeypatch, tokens):
     assert op6_katz.scored(nothing).count() == 0
 
 
+def test_katz_pairs_seen_once(spark):
+    rng = random.Random(8)
+    lists = [(d, [*(f"w{min(int(rng.expovariate(0.1)), 60)}" for _ in range(30)), "</s>"]) for d in range(40)]
+    train = [w for d, w in lists if zlib.crc32(str(d).encode()) % 10]
+    c = Counter(x for w in train for x in w)
+    pairs = Counter(p for w in train for p in zip(["<s>", *w], w))
+    assert sum(n == 1 for n in pairs.values()) > len(pairs) / 2
+    d1, d2 = op6_katz.discounts(Counter(c.values())), op6_katz.discounts(Counter(pairs.values()))
+    cut = lambda n, d: d[n] * n if n < len(d) else n
+    kept = sum(cut(n, d1) for n in c.values())
+    free = max(1 - kept / sum(c.values()), 0.5 / (sum(c.values()) + 1))
+    p1 = lambda w: cut(c[w], d1) * (1 - free) / kept if w in c else free
+    seen = {**c, "<s>": len(train)}
+
+    def p(h, w):
+        after = {x: cut(n, d2) for (g, x), n in pairs.items() if g == h}
+        if not after:
+            return p1(w)
+        rest = max(1 - sum(after.values()) / seen[h], 0.5 / (seen[h] + 1))
+        return after[w] * (1 - rest) / sum(after.values()) if w in after else rest / max(1 - sum(map(p1, after)), 1e-12) * p1(w)
+
+    docs = spark.createDataFrame([(d, " ".join(w[:-1])) for d, w in lists], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in op6_katz.scored(docs).collect()}
+    for d, w in lists:
+        assert got[d] == pytest.approx(sum(log10(p(h, x)) for h, x in zip(["<s>", *w], w)))
+
+
 def test_cotraining(spark, nothing):
     rng = random.Random(8)
     rows, labels = [], []
