@@ -35,10 +35,11 @@ def counted(docs: DataFrame, name: str) -> DataFrame:
 
     A repeated 3-word window is found by sorting longs that hold a window's
     hash in the high bits and its place in as many low bits as the text needs:
-    windows with one hash become neighbours, and the places of those that have
-    such a neighbour give the words that are covered.
+    windows with one hash become neighbours. Those that have such a neighbour
+    are sorted again by all 64 bits, since the longs of long texts hold few; the
+    places of those that still have one give the words that are covered.
     """
-    w, s, d, b = (f"{name}_{x}" for x in ("w", "s", "d", "b"))
+    w, s, m, d, b = (f"{name}_{x}" for x in ("w", "s", "m", "d", "b"))
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn(w, words(text))
     n = F.size(w)
@@ -47,8 +48,12 @@ def counted(docs: DataFrame, name: str) -> DataFrame:
     packed = F.transform(F.sequence(F.lit(0), n - 3), lambda i: window(i).bitwiseAND(F.bitwise_not(F.col(b))).bitwiseOR(i.cast("long")))
     out = out.withColumn(s, F.when(n < 3, F.array().cast("array<bigint>")).otherwise(F.sort_array(packed)))
     alike = lambda x, y: F.coalesce(x.bitwiseXOR(y).between(F.lit(0), F.col(b)), F.lit(False))
-    repeats = F.filter(s, lambda x, i: alike(x, F.get(s, i + 1)) | alike(x, F.get(s, i - 1)))
-    out = out.withColumn(d, F.sort_array(F.transform(repeats, lambda x: x.bitwiseAND(F.col(b)))))
+    maybe = F.filter(s, lambda x, i: alike(x, F.get(s, i + 1)) | alike(x, F.get(s, i - 1)))
+    place = lambda x: x.bitwiseAND(F.col(b)).cast("int")
+    out = out.withColumn(m, F.sort_array(F.transform(maybe, lambda x: F.struct(window(place(x)).alias("h"), place(x).alias("p")))))
+    same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+    repeats = F.filter(m, lambda x, i: same(x, F.get(m, i + 1)) | same(x, F.get(m, i - 1)))
+    out = out.withColumn(d, F.sort_array(F.transform(repeats, lambda x: x["p"].cast("long"))))
     covered = F.aggregate(F.transform(d, lambda p, i: F.coalesce(F.least(F.get(d, i + 1) - p, F.lit(3)), F.lit(3)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = out.withColumn(f"{name}_l", lines)
@@ -61,7 +66,7 @@ def counted(docs: DataFrame, name: str) -> DataFrame:
     }
     failed = (found["n_words"] < MIN_WORDS) | (100 * covered > REPEATED_PERCENT * found["n_words"])
     out = out.withColumn(name, F.struct(*(c.alias(k) for k, c in found.items()), failed.alias("base_failed")))
-    return out.drop(w, s, d, b, f"{name}_l")
+    return out.drop(w, s, m, d, b, f"{name}_l")
 
 
 def host_verdicts(rows: DataFrame, host: str, failed: str) -> DataFrame:
