@@ -188,8 +188,13 @@ def languages(docs: DataFrame) -> DataFrame:
 
 
 def language_kept(docs: DataFrame) -> DataFrame:
-    """The rows of docs that have a language, with the columns of docs; a text without letters goes."""
+    """The rows of docs that can have a language, with the columns of docs: a null text or one without letters goes, whatever is predicted.
+
+    Where there is nothing to learn a language from, all texts with letters stay.
+    """
     names = {"held_out", "lang_pred", "score"}
     clash = {c: f"_kept_{c}" for c in docs.columns if c in names}
-    found = languages(docs.withColumnsRenamed(clash)).where(F.col("lang_pred") != UNKNOWN)
+    found = languages(docs.withColumnsRenamed(clash))
+    # the score is above 0 wherever a model found a letter
+    found = found.where((F.col("score") > 0) | F.col("text").rlike(r"\p{L}"))
     return found.drop(*names).withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)

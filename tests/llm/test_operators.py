@@ -164,6 +164,15 @@ def test_languages(spark, nothing, docs):
     assert {r.lang_pred for r in op5_language.languages(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_rows_stay_where_no_language_is_learned(spark):
+    texts = ["some words", "語", "12 -- ²", "", None]
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 3 == 1)
+    for langs in ([None] * 6, ["aa", *[None] * 5], ["und"] * 6):
+        rows = [(held, "held out words", langs[0]), *((200 + k, t, lang) for k, (t, lang) in enumerate(zip(texts, langs[1:])))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        assert {r.doc_id for r in op5_language.language_kept(docs).collect()} == {held, 200, 201}
+
+
 @pytest.mark.parametrize("tokens", [1_000_000, 500])
 def test_katz(docs, rows, nothing, monkeypatch, tokens):
     monkeypatch.setattr(op6_katz, "RUN_TOKENS", tokens)
