@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,8 +18,9 @@ SLICE_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _WORD = ~_SPACE
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
+#: Bytes with A-Z in lower case.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Odd base of the rolling hash and its inverse modulo 2**64.
@@ -119,21 +121,49 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def slices(column: pa.Array, most: int = SLICE_BYTES, rows: int = 4096) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets from 0) of at most so many rows with at most so many bytes, or a single longer row."""
-    data, at = buffers(column)
+def _ranges(at: np.ndarray, most: int, rows: int) -> Iterator[tuple[int, int]]:
     first, n = 0, len(at) - 1
     while first < n:
         end = min(n, first + rows, max(first + 1, int(np.searchsorted(at, at[first] + most, "right")) - 1))
-        yield first, end, data[at[first] : at[end]], at[first : end + 1] - at[first]
+        yield first, end
         first = end
 
 
+def row_ranges(column: pa.Array, most: int, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """(first row, end row) of at most so many rows with at most so many bytes, or a single longer row."""
+    yield from _ranges(buffers(column)[1], most, rows)
+
+
+def slices(column: pa.Array, most: int = SLICE_BYTES, rows: int = 4096) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets from 0) of at most so many rows with at most so many bytes, or a single longer row."""
+    data, at = buffers(column)
+    for first, end in _ranges(at, most, rows):
+        yield first, end, data[at[first] : at[end]], at[first : end + 1] - at[first]
+
+
+_ASCII_SPACE = re.compile(r"[\x20\x09-\x0D]")
+
+
+def space_cuts(text: str, most: int) -> Iterator[str]:
+    """Parts of a text of about so many characters, each but the first beginning with ASCII white space."""
+    a = 0
+    while a < len(text):
+        found = _ASCII_SPACE.search(text, a + most)
+        b = found.start() if found else len(text)
+        yield text[a:b]
+        a = b
+
+
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (counts[0] of them), then the same of starts[1] and so on."""
+    return np.arange(int(counts.sum())) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+
+
 class Words:
     """Words [^\\x20\\x09-\\x0D]+ of some rows, A-Z lower-cased: hash, row and place of each."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
-        data = _LOWER[data]
+        data = LOWER[data]
         word = _WORD[data]
         n = len(data)
         edge = at[:-1][at[:-1] < n]

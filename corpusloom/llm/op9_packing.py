@@ -1,40 +1,68 @@
 """Order-preserving packing of token ids into windows by dynamic programming.
 
 The documents of a partition keep their order. A window holds at most LENGTH
-tokens; windows are cut at the ends of documents or sentences, or, where a
-cut inside a sentence costs less than the padding it saves, there. The cuts
-minimise padding plus penalties: best[j] = min over i with x[j] - x[i] <=
-LENGTH of best[i] + LENGTH - (x[j] - x[i]) + penalty[j], whose minimum of
-best[i] + x[i] over a sliding range is kept in a monotone queue. The last
-tokens of a partition are split at powers of two, which need no padding.
+tokens and ends where a document or a sentence does; only a sentence that is
+itself longer than a window may be cut inside. The cuts minimise padding plus
+penalties for documents and sentences that are cut: best[j] = min over i with
+x[j] - x[i] <= LENGTH of best[i] + LENGTH - (x[j] - x[i]) + penalty[j], whose
+minimum of best[i] + x[i] over a sliding range is kept in a monotone queue.
+Among the last LENGTH tokens of a partition every place is a candidate, and
+windows there may also be powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.common import by_arrow
+from corpusloom.llm.common import LOWER, buffers, by_arrow, ragged, row_ranges, space_cuts
 
 LENGTH, END_ID = 4096, 2
-#: Penalties, in tokens of padding, of cutting at the end of a sentence and inside one.
+#: Penalties, in tokens of padding, of cutting a document at the end of a sentence, and a sentence inside.
 SENTENCE_CUT, INNER_CUT = 2, 24
+#: Steps between the places at which a sentence longer than a window may be cut.
+INNER_STEP = 64
 #: Tokens that are packed at once.
 BLOCK = 1 << 19
-#: Pretokens whose ids a Python worker remembers.
-MEMORY = 600_000
+#: Bytes of text encoded at once; words whose ids a Python worker remembers, and their bytes.
+SLICE, MEMORY, MEMORY_BYTES = 1 << 23, 1_500_000, 1 << 26
+#: New words given to the tokenizer at once.
+LEARNED = 1_000
 
-_ASCII_SPACED = re.compile(r"[^\x20\x09-\x0D]+")
-# what the tokenizer's own pattern means for Latin-1 text in lower case
-_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\x09-\x0d \x85\xa00-9a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+")
+
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK[list(b".,;:!?")] = True
+
+
+def apart(texts: pa.Array) -> pa.Array:
+    """Texts with a space between each letter A-Z, a-z and a mark behind it, and with A-Z in lower case: fewer distinct words, the same ids.
+
+    A letter and such a mark never share a pretoken. Case is left alone where
+    texts hold more than Latin-1, since case and composed letters may meet there.
+    """
+    data, at = buffers(texts)
+    data = data[at[0] : at[-1]]
+    at = at - at[0]
+    if not len(data):
+        return texts
+    if data.max() < 0xC4:
+        data = LOWER[data]
+    split = _MARK[data]
+    split[1:] &= _LETTER[data[:-1]]
+    split[0] = False
+    split[at[:-1][at[:-1] < len(data)]] = False
+    where = np.flatnonzero(split)
+    out = np.insert(data, where, 0x20)
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer((at + np.searchsorted(where, at)).astype(np.int32)), pa.py_buffer(out))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -44,55 +72,85 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordBpe:
-    """Ids of whole texts by a `tokenizers` file whose pretokens never hold white space.
+    """Ids of texts by a `tokenizers` file whose pretokens never hold white space.
 
-    Pretokens (of Latin-1 texts) or words (of others) are encoded once and
-    remembered; ids of a text are those of its parts, in order. A text that
-    may hold a special token goes to the tokenizer whole.
+    The distinct words of apart() between ASCII white space are encoded once
+    and remembered; ids of a text are those of its words, in order. A text that
+    holds the string of a special token goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.closing = np.array(sorted(v for k, v in self.tokenizer.get_vocab().items() if re.fullmatch(r"[.!?]+[\"')]*</w>", k)), np.int64)
-
-    def _parts(self, text: str) -> list[str] | None:
-        if "<|" in text:
-            return None
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return _ASCII_SPACED.findall(unicodedata.normalize("NFC", text))
-        return _LATIN.findall(text.lower())
-
-    def _learn(self, new: list[str]) -> None:
-        """Remember the ids of new parts: single pretokens many at a time, told apart by the word each id is of."""
-        single = [p for p in new if max(p) <= "\xff" and p == p.lower() and _LATIN.fullmatch(p)]
-        for a in range(0, len(single), 500):
-            some = single[a : a + 500]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        closing = [v for k, v in self.tokenizer.get_vocab().items() if re.fullmatch(r"[.!?]+[\"')]*</w>", k)]
+        self.closing = np.zeros(max(self.tokenizer.get_vocab_size(), END_ID) + 1, bool)
+        self.closing[closing] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = pa.array([], pa.string())
+        self.flat = np.zeros(0, np.uint32)
+        self.start = np.zeros(1, np.int64)  # of each word's ids, and the end
+
+    def _learned(self, new: pa.Array) -> None:
+        """Remember the ids of new words, many of which are given to the tokenizer as one text and told apart by place."""
+        flat, sizes = [self.flat], []
+        words = new.to_pylist()
+        for a in range(0, len(words), LEARNED):
+            some = words[a : a + LEARNED]
             e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            got: list[list[int]] = [[] for _ in some]
-            for i, word in zip(e.ids, e.word_ids):
-                got[word].append(i)
-            self.known.update(zip(some, (np.array(x, np.uint32).tobytes() if len(x) > 1 else x[0].to_bytes(4, "little") if x else b"" for x in got)))
-        rest = [p for p in new if p not in self.known]
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, np.uint32).tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, unsigned 32-bit."""
-        parts = [self._parts(t) for t in texts]
-        new = set().union(*(x for x in parts if x)).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > MEMORY:
-                self.known.clear()
-                new = set().union(*(x for x in parts if x))
-            self._learn(list(new))
-        known = self.known.__getitem__
-        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
-        return [whole(t) if x is None else np.frombuffer(b"".join(map(known, x)), np.uint32) for t, x in zip(texts, parts)]
+            begun = np.zeros(len(some), np.int64)
+            np.cumsum([len(w) + 1 for w in some[:-1]], out=begun[1:])
+            place = np.fromiter((x for x, _ in e.offsets), np.int64, len(e.offsets))
+            flat.append(np.array(e.ids, np.uint32))
+            sizes.append(np.bincount(np.searchsorted(begun, place, "right") - 1, minlength=len(some)))
+        self.words = pa.concat_arrays([self.words, new])
+        self.flat = np.concatenate(flat)
+        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))))
+
+    def _rows(self, words: pa.Array) -> np.ndarray:
+        """Rows of distinct words in what is remembered."""
+        at = pc.index_in(words, value_set=self.words)
+        if at.null_count:
+            if len(self.words) + at.null_count > MEMORY or self.words.nbytes + words.nbytes > MEMORY_BYTES:
+                self._forget()
+                self._learned(words)
+                return np.arange(len(words))
+            self._learned(words.filter(at.is_null()))
+            at = pc.index_in(words, value_set=self.words)
+        return at.to_numpy().astype(np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without nulls, unsigned 32-bit, and how many each text has."""
+        if any(pc.any(pc.match_substring(texts, s)).as_py() for s in self.special):
+            each = [self.encode(pa.array([x])) if not any(s in x for s in self.special) else self._whole(x) for x in texts.to_pylist()]
+            return np.concatenate([x for x, _ in each]), np.concatenate([n for _, n in each])
+        split = pc.ascii_split_whitespace(apart(texts))
+        words = split.flatten().dictionary_encode()
+        row = self._rows(words.dictionary)[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        count = self.start[row + 1] - self.start[row]
+        ids = self.flat[ragged(self.start[row], count)]
+        ends = np.concatenate(([0], np.cumsum(count)))[np.cumsum(pc.list_value_length(split).to_numpy())]
+        return ids, np.diff(ends, prepend=0)
+
+    def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return ids, np.array([len(ids)])
+
+    def rows(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids, counts) of a column's rows, null as empty; a text longer than SLICE is cut at white space while it is encoded."""
+        for a, b in row_ranges(column, SLICE):
+            some = column.slice(a, b - a).fill_null("").cast(pa.string())
+            if b - a == 1 and some.nbytes > SLICE:
+                text = some[0].as_py()
+                if not any(s in text for s in self.special):
+                    parts = [self.encode(pa.array([x]))[0] for x in space_cuts(text, SLICE)]
+                    ids = np.concatenate(parts)
+                    yield a, ids, np.array([len(ids)])
+                    continue
+            yield a, *self.encode(some)
 
 
 _LOADED: dict[str, WordBpe] = {}
@@ -100,29 +158,41 @@ _LOADED: dict[str, WordBpe] = {}
 
 def loaded(path: str) -> WordBpe:
     if path not in _LOADED:
+        _LOADED.clear()
         _LOADED[path] = WordBpe(path)
     return _LOADED[path]
 
 
-def window_cuts(places: np.ndarray, penalties: np.ndarray, length: int = LENGTH) -> list[int]:
+def window_cuts(places: np.ndarray, penalties: np.ndarray, length: int = LENGTH, free_from: int | None = None) -> list[int]:
     """Indices into places (increasing, from 0, steps of at most length) that end windows at least cost; the last is always one.
 
-    Cost of a window: its padding up to length plus the penalty of its end.
+    Cost of a window: its padding up to length plus the penalty of its end. A
+    window that ends beyond free_from has no padding either where it holds a
+    power of two.
     """
     x = places.tolist()
     pen = penalties.tolist()
     n = len(x)
+    powers = [1 << k for k in range(length.bit_length()) if 1 << k < length]
+    index = {p: i for i, p in enumerate(x) if free_from is not None and p >= free_from - length}
     best, back = [0.0] * n, [0] * n
     queue: deque[int] = deque([0])
     value = [0.0] * n  # best[i] + x[i], whose least over the range is at the queue's head
     for j in range(1, n):
-        low = x[j] - length
+        here = x[j]
+        low = here - length
         while x[queue[0]] < low:
             queue.popleft()
         i = queue[0]
-        best[j] = value[i] + length - x[j] + pen[j]
+        least = value[i] + length - here
+        if index and here > free_from:
+            for p in powers:
+                k = index.get(here - p)
+                if k is not None and best[k] < least:
+                    i, least = k, best[k]
+        best[j] = least + pen[j]
         back[j] = i
-        v = best[j] + x[j]
+        v = best[j] + here
         value[j] = v
         while queue and value[queue[-1]] >= v:
             queue.pop()
@@ -134,19 +204,27 @@ def window_cuts(places: np.ndarray, penalties: np.ndarray, length: int = LENGTH)
     return cuts[::-1]
 
 
-def candidate_cuts(ids: np.ndarray, ends: np.ndarray, closing: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Places where windows may end, and the penalty of each: ends of documents and sentences, and places between these."""
+def candidate_cuts(ids: np.ndarray, ends: np.ndarray, closing: np.ndarray, length: int = LENGTH, last: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Places where windows may end, and the penalty of each.
+
+    ends: places where documents end; closing: flags of ids that end a
+    sentence. The first and the last place are always among them, without a
+    penalty. last: every place among the last `length` ids is one, too.
+    """
     n = len(ids)
     kind = np.zeros(n + 1, np.uint8)
-    stop = np.zeros(50_000 if not len(closing) else max(50_000, int(closing.max()) + 1), bool)
-    stop[closing] = True
-    kind[1:][stop[np.minimum(ids, len(stop) - 1)]] = 2
-    # inside sentences, so that no step is longer than a window and small gaps can be filled
-    inner = np.arange(0, n, 64)
-    kind[inner] = np.maximum(kind[inner], 1)
+    kind[1:][closing[np.minimum(ids, len(closing) - 1)]] = 2
     kind[ends] = 3
     kind[0] = kind[n] = 3
     places = np.flatnonzero(kind)
+    gap = np.diff(places)
+    for k in np.flatnonzero(gap > length).tolist():  # sentences longer than a window
+        inner = np.arange(places[k] + INNER_STEP, places[k + 1], INNER_STEP)
+        kind[inner] = 1
+    if last:
+        tail = kind[max(0, n - length) :]
+        tail[tail == 0] = 1
+    places = np.flatnonzero(kind)
     return places, np.array([0.0, INNER_CUT, SENTENCE_CUT, 0.0])[kind[places]]
 
 
@@ -156,13 +234,13 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class _Packer:
     """Packs documents as they come; sequence ids are unique by partition."""
 
-    def __init__(self, partition: int, encoder: WordBpe):
+    def __init__(self, partition: int, closing: np.ndarray):
         self.sequence = partition << 36
-        self.encoder = encoder
-        self.docs: list[tuple[int | None, int, int]] = []  # of held ids: doc_id, start, doc_tokens
+        self.closing = closing
+        self.docs: list[tuple[int | None, int, int]] = []  # of held ids: doc_id, place of the first one in its document, doc_tokens
         self.held: list[np.ndarray] = []
         self.size = 0
-        self.out: list[list] = [[] for _ in range(8)]
+        self.out: list[list[np.ndarray]] = [[] for _ in range(8)]
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         for a in range(0, len(ids), BLOCK):  # a longer document comes in parts
@@ -174,51 +252,50 @@ class _Packer:
                 self.pack(False)
 
     def pack(self, last: bool) -> None:
-        """Pack what is held; unless it is the last, what follows the last full window stays."""
+        """Pack what is held; unless it is the last, what the last window would hold stays for the next time."""
         if not self.held:
             return
         ids = np.concatenate(self.held)
-        ends = np.cumsum([len(x) for x in self.held])
-        places, penalties = candidate_cuts(ids, ends, self.encoder.closing)
-        cuts = places[window_cuts(places, penalties)].tolist()
-        windows = list(zip([0, *cuts[:-1]], cuts))
-        a, b = windows[-1]
-        tail = []
-        if last:
-            windows.pop()
-            while a < b:  # powers of two: no padding
-                step = 1 << ((b - a).bit_length() - 1)
-                windows.append((a, a + step))
-                a += step
-        else:
-            windows.pop()
-            tail = [a, b]
-        starts = ends - np.array([len(x) for x in self.held])
-        first = 0
-        for a, b in windows:
-            while ends[first] <= a:
-                first += 1
-            d, n = first, b - a
-            pad = 0 if n & (n - 1) == 0 else LENGTH - n
-            while d < len(starts) and starts[d] < b:
-                lo, hi = max(a, int(starts[d])), min(b, int(ends[d]))
-                doc, begun, tokens = self.docs[d]
-                for column, x in zip(self.out, (doc, begun + lo - int(starts[d]), hi - lo, zlib.crc32(ids[lo:hi].tobytes()), tokens, self.sequence, lo - a, pad)):
-                    column.append(x)
-                d += 1
-            self.sequence += 1
+        sizes = np.array([len(x) for x in self.held])
+        ends = np.cumsum(sizes)
+        begun, tokens = (np.array([d[k] for d in self.docs], np.int64) for k in (1, 2))
+        whole = ends[begun + sizes == tokens]  # where documents end, not parts of them
+        places, penalties = candidate_cuts(ids, whole, self.closing, LENGTH, last)
+        cuts = places[window_cuts(places, penalties, LENGTH, len(ids) - LENGTH if last else None)]
+        if not last:
+            cuts = cuts[:-1]
+        stop = int(cuts[-1]) if len(cuts) else 0
+        starts = ends - sizes
+        lo = np.unique(np.concatenate((starts, cuts, [0])))
+        lo = lo[lo < stop]
+        hi = np.append(lo[1:], stop)
+        if len(lo):
+            doc = np.searchsorted(ends, lo, "right")
+            window = np.searchsorted(cuts, lo, "right")
+            opened = np.concatenate(([0], cuts))
+            n = np.diff(opened)
+            pad = np.where(n & (n - 1) == 0, 0, LENGTH - n)
+            data = ids.astype("<u4", copy=False)
+            crc = np.array([zlib.crc32(data[a:b]) for a, b in zip(lo.tolist(), hi.tolist())], np.int64)
+            names = np.array([-1 if d[0] is None else d[0] for d in self.docs], np.int64)
+            null = np.array([d[0] is None for d in self.docs])
+            who = pa.array(names[doc], mask=null[doc])
+            for column, x in zip(self.out, (who, begun[doc] + lo - starts[doc], hi - lo, crc, tokens[doc], self.sequence + window, lo - opened[window], pad[window])):
+                column.append(x)
+            self.sequence += len(cuts)
         docs, held, self.docs, self.held, self.size = self.docs, self.held, [], [], 0
-        if tail:
-            for (doc, begun, tokens), x, s in zip(docs, held, starts.tolist()):
-                if s + len(x) > tail[0]:
-                    skip = max(0, tail[0] - s)
-                    self.docs.append((doc, begun + skip, tokens))
-                    self.held.append(x[skip:])
+        if not last:
+            for (name, first, total), x, s in zip(docs, held, starts.tolist()):
+                if s + len(x) > stop:
+                    skip = max(0, stop - s)
+                    self.docs.append((name, first + skip, total))
+                    self.held.append(x[skip:].copy())
                     self.size += len(x) - skip
 
     def batch(self) -> pa.RecordBatch:
         out, self.out = self.out, [[] for _ in range(8)]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], [x.split()[0] for x in SCHEMA.split(", ")])
+        whole = [pa.concat_arrays([pa.array(x).cast(pa.int64()) for x in c]) if c else pa.array([], pa.int64()) for c in out]
+        return pa.RecordBatch.from_arrays(whole, [x.split()[0] for x in SCHEMA.split(", ")])
 
 
 def packed(docs: DataFrame, path: str) -> DataFrame:
@@ -227,20 +304,23 @@ def packed(docs: DataFrame, path: str) -> DataFrame:
     A document is its ids and then END_ID; a null or empty text is END_ID
     alone. Each id lies in exactly one piece; windows are numbered by
     partition, in the order of the input. padded: what its sequence is padded
-    by. Repeated rows are packed each; an empty table gives no rows; other
-    columns are ignored; a null doc_id stays null.
+    by. Of cuts at one cost the first is taken. A text of any length is
+    encoded in slices and packed in blocks. Repeated rows are packed each; an
+    empty table gives no rows; other columns are ignored; a null doc_id stays null.
     """
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(path)
-        packer = _Packer(TaskContext.get().partitionId(), encoder)
+        packer = _Packer(TaskContext.get().partitionId(), encoder.closing)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for a in range(0, len(ids), 200):
-                texts = [x or "" for x in batch.column(1).slice(a, 200).to_pylist()]
-                for doc_id, x in zip(ids[a : a + 200], encoder.encode(texts)):
-                    packer.add(doc_id, np.append(x, np.uint32(END_ID)))
-            yield packer.batch()
+            names = batch.column(0).to_pylist()
+            for first, ids, counts in encoder.rows(batch.column(1)):
+                cut = np.concatenate(([0], np.cumsum(counts)))
+                closed = np.full(len(ids) + len(counts), END_ID, np.uint32)
+                closed[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+                for k in range(len(counts)):
+                    packer.add(names[first + k], closed[cut[k] + k : cut[k + 1] + k + 1])
+                yield packer.batch()
         packer.pack(True)
         yield packer.batch()
 

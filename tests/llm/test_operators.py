@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,18 +289,104 @@ def test_packing(docs, rows, nothing):
     assert op9_packing.packed(nothing, path).count() == 0
 
 
-def test_window_cuts_cost_least():
+def test_words_of_any_kind_are_encoded_as_by_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = op9_packing.tokenizer_path()
+    t, mine, rng = Tokenizer.from_file(path), op9_packing.WordBpe(path), random.Random(1)
+    parts = ["the", "ING", " ", "  ", "\n", "\x1c", "\xa0", ",", "1", "é", "漢", "😀", "'s", "'LL", "É", "H̱", "\u0301", "<|endoftext|>", "<|", "½", "ǅ", "İ", "\u2028", "Σ", "ς", ".", "!?"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(800)]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    ids, counts = mine.encode(pa.array(texts))
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    plain = [x for x in texts if "<|" not in x]
+    ids, counts = mine.encode(pa.array(plain))
+    assert ids.tolist() == [i for x, y in zip(texts, want) if "<|" not in x for i in y]
+
+
+def least_cost(places, pen, length, free_from=None):
+    best = [0.0] + [None] * (len(places) - 1)
+    for j in range(1, len(places)):
+        costs = []
+        for i in range(j):
+            n = places[j] - places[i]
+            if n <= length:
+                free = free_from is not None and places[j] > free_from and n & (n - 1) == 0
+                costs.append(best[i] + (0 if free else length - n) + pen[j])
+        best[j] = min(costs)
+    return best[-1]
+
+
+def cost_of(places, pen, cuts, length, free_from=None):
+    out = 0
+    for a, b in zip([0, *cuts], cuts):
+        n = places[b] - places[a]
+        assert 0 < n <= length
+        free = free_from is not None and places[b] > free_from and n & (n - 1) == 0
+        out += (0 if free else length - n) + pen[b]
+    return out
+
+
+@pytest.mark.parametrize("free", [False, True])
+def test_window_cuts_cost_least(free):
     rng = random.Random(9)
     for _ in range(100):
         places = np.cumsum([0] + [rng.randint(1, 7) for _ in range(rng.randint(1, 12))])
         pen = np.array([rng.choice([0.0, 1.0, 3.0]) for _ in places])
-        n = len(places)
-        best = [0.0] + [None] * (n - 1)
-        for j in range(1, n):
-            best[j] = min(best[i] + 10 - (places[j] - places[i]) + pen[j] for i in range(j) if places[j] - places[i] <= 10)
-        cuts = op9_packing.window_cuts(places, pen, 10)
-        ends = [0, *cuts]
-        assert cuts[-1] == n - 1 and sum(10 - (places[b] - places[a]) + pen[b] for a, b in zip(ends, ends[1:])) == pytest.approx(best[-1])
+        free_from = int(places[-1]) - 10 if free else None
+        cuts = op9_packing.window_cuts(places, pen, 10, free_from)
+        assert cuts[-1] == len(places) - 1
+        assert cost_of(places, pen, cuts, 10, free_from) == pytest.approx(least_cost(places, pen, 10, free_from))
+
+
+def test_packing_of_whole_partitions_costs_least(monkeypatch):
+    monkeypatch.setattr(op9_packing, "LENGTH", 64)
+    rng = np.random.default_rng(4)
+    closing = np.zeros(11, bool)
+    closing[7] = True
+    for turn in range(20):
+        ids = rng.integers(3, 11, rng.integers(50, 900)).astype(np.uint32)
+        if turn % 2:
+            ids[ids == 7] = 3  # no sentence ends: documents that are longer than a window are cut inside
+        ends = np.unique(np.append(rng.integers(1, len(ids), 5), len(ids)))
+        packer = op9_packing._Packer(0, closing)
+        for k, (a, b) in enumerate(zip([0, *ends], ends)):
+            packer.add(k, ids[a:b])
+        packer.pack(True)
+        rows = packer.batch().to_pylist()
+        places, pen = op9_packing.candidate_cuts(ids, ends, closing, 64, True)
+        kinds = dict(zip(places.tolist(), pen.tolist()))
+        inside = [p for p in places if p < len(ids) - 64 and p not in ends and p > 0 and ids[p - 1] != 7]
+        assert all(any(a < p < b and b - a > 64 for a, b in zip([0, *sorted({*ends, *(np.flatnonzero(ids == 7) + 1)})], sorted({*ends, *(np.flatnonzero(ids == 7) + 1)}))) for p in inside)
+        sizes = Counter()
+        for r in rows:
+            sizes[r["sequence_id"]] += r["length"]
+        cuts = np.cumsum([sizes[k] for k in sorted(sizes)])
+        index = {p: i for i, p in enumerate(places.tolist())}
+        assert cost_of(places, pen, [index[c] for c in cuts.tolist()], 64, len(ids) - 64) == pytest.approx(least_cost(places, pen, 64, len(ids) - 64)) and kinds[len(ids)] == 0
+
+
+def test_documents_longer_than_a_block(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = op9_packing.tokenizer_path()
+    t = Tokenizer.from_file(path)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["some", "words", "Here,", "end.", "\n"]) for _ in range(n)) for n in (600_000, 10, 30_000)] + ["x" * 9000]
+    got = op9_packing.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), path).collect()
+    monkeypatch.setattr(op9_packing, "SLICE", 1000)  # texts are cut at white space while they are encoded
+    again = [n for _, _, n in op9_packing.WordBpe(path).rows(pa.array(texts))]
+    assert np.concatenate(again).tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+    for k, x in enumerate(texts):
+        ids = [*t.encode(x, add_special_tokens=False).ids, 2]
+        mine = sorted((r for r in got if r.doc_id == k), key=lambda r: r.start)
+        assert [r.start for r in mine] == [0, *np.cumsum([r.length for r in mine])[:-1]] and sum(r.length for r in mine) == len(ids)
+        assert all(r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], np.uint32).tobytes()) for r in mine)
+        # a cut inside a document comes behind a sentence, but in the last window
+        ends = [r.start + r.length for r in mine[:-1]]
+        if k == 0:
+            closing = {i for s in (".",) for i in t.encode(s).ids}
+            assert all(ids[e - 1] in closing for e in ends)
 
 
 def test_licenses(docs, rows, nothing):
@@ -363,8 +450,8 @@ def test_pipeline(docs, rows, spark, tmp_path):
     left = {i: r for i, r in left.items() if not (counts[i][0] < 50 or 100 * counts[i][4] > 50 * counts[i][0])}
     left = {i: left[i] for i, (_, c) in brute.near_components(list(left.values())).items() if i == c}
     texts = [x[4].decode("utf-8", "ignore") for x in brute.without_repeats([r[1] for r in left.values()])]
-    encode = op9_packing.loaded(op9_packing.tokenizer_path()).encode
-    want = {i: len(x) + 1 for i, x in zip(left, encode(texts))}
+    counts = op9_packing.loaded(op9_packing.tokenizer_path()).encode(pa.array(texts))[1]
+    want = {i: n + 1 for i, n in zip(left, counts.tolist())}
     assert {r.doc_id: r.doc_tokens for r in out} == want
     empty = str(tmp_path / "empty")
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{empty}/documents.parquet")
