@@ -32,9 +32,10 @@ def brute(rows):
     return {rows[i][0]: (count[i], least[find(i)]) for i in range(n)}
 
 
-def test_links_of_groups_and_odd_vectors(spark, monkeypatch):
-    monkeypatch.setattr(op, "CELL", 60)
-    monkeypatch.setattr(op, "CHUNK", 16)
+@pytest.mark.parametrize("limits", [(60, 100, 10**6, 1024), (60, 200, 16, 1024), (10, 40, 30, 8), (2048, 32768, 65536, 1024)])
+def test_links_of_groups_and_odd_vectors(spark, monkeypatch, limits):
+    for name, value in zip(("CELL", "REGION", "CHUNK", "BLOCK"), limits):
+        monkeypatch.setattr(op, name, value)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(60, 8))
     rows = []
@@ -48,6 +49,20 @@ def test_links_of_groups_and_odd_vectors(spark, monkeypatch):
     assert sum(n for n, _ in want.values()) > 500
 
 
+def test_different_vectors_of_one_id_and_other_labels(spark):
+    rows = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "a"), (2, [0.01, 1.0], "a"), (3, [1.0, 0.01], "a"), (4, [1.0, 0.01], "b"), (None, [1.0, 0.02], "a"), (5, [3.0, 0.0], None), (6, [1e300, 1.0], "b")]
+    got = sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in op.vector_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect())
+    assert got == sorted([("1", 2, 1, True), ("1", 1, 1, True), ("2", 1, 1, False), ("3", 2, 1, False), ("4", 1, 4, True), ("None", 2, 1, False), ("5", 0, 5, True), ("6", 1, 4, False)])
+
+
+def test_a_dense_group_that_is_dealt_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(op, "CHUNK", 50)
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=6)
+    rows = [(k, [float(x) for x in np.float32(base + rng.normal(size=6) * 0.02)], 1, None) for k in range(300)]
+    assert {r.vec_id: (r.n_links, r.component_id) for r in op.vector_components(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows)
+
+
 def test_empty_table(spark):
     assert op.vector_components(spark.createDataFrame([], SCHEMA)).count() == 0
 
