@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -55,8 +56,10 @@ def dropped(df: DataFrame) -> None:
 
 
 def released(spark: SparkSession) -> None:
-    """Ask the driver to collect garbage, so that shuffle files of finished jobs are deleted."""
-    spark._jvm.System.gc()
+    """Ask the driver to collect garbage, so that shuffle files of finished jobs are deleted; what one pass finds is only freed by the next."""
+    for _ in range(3):
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 @contextlib.contextmanager
@@ -141,6 +144,21 @@ def slices(column: pa.Array, most: int = SLICE_BYTES, rows: int = 4096) -> Itera
         yield first, end, data[at[first] : at[end]], at[first : end + 1] - at[first]
 
 
+def parts_of_rows(column: pa.Array, most: int = SLICE_BYTES, rows: int = 4096) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool, bool]]:
+    """slices() with flags whether it begins and ends its rows: a longer row comes in parts of about so many bytes, cut at ASCII white space."""
+    for first, end, data, at in slices(column, most, rows):
+        if len(data) <= most:
+            yield first, end, data, at, True, True
+            continue
+        gaps = np.flatnonzero(_SPACE[data])
+        a = 0
+        while a < len(data):
+            k = int(np.searchsorted(gaps, a + most))
+            b = int(gaps[k]) if k < len(gaps) else len(data)
+            yield first, end, data[a:b], np.array([0, b - a]), not a, b == len(data)
+            a = b
+
+
 _ASCII_SPACE = re.compile(r"[\x20\x09-\x0D]")
 
 
