@@ -24,21 +24,35 @@ CONFLICT_BYTES, CONFLICT_NON_ASCII = 32, 8
 
 # fixed values: byte order marks in the order they are tried, with codecs
 MARKS = [(b"\x00\x00\xfe\xff", "utf-32-be"), (b"\xff\xfe\x00\x00", "utf-32-le"), (b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")]
-# fixed values: headers of binary formats
-MAGIC = [b"\x7fELF", b"MZ", b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff", b"GIF87a", b"GIF89a", b"%PDF-", b"PK\x03\x04", b"\x1f\x8b", b"7z\xbc\xaf\x27\x1c", b"SQLite format 3\x00"]
+# fixed values: headers of binary formats: zip, gzip, 7z, ELF, DOS and Windows programs, four of Mach-O, SQLite, WebAssembly
+MAGIC = [
+    b"PK\x03\x04",
+    b"\x1f\x8b",
+    b"7z\xbc\xaf\x27\x1c",
+    b"\x7fELF",
+    b"MZ",
+    b"\xfe\xed\xfa\xce",
+    b"\xfe\xed\xfa\xcf",
+    b"\xce\xfa\xed\xfe",
+    b"\xcf\xfa\xed\xfe",
+    b"SQLite format 3\x00",
+    b"\x00asm",
+]
 # fixed values: legacy encodings and Python's names of them
 LEGACY = {"windows-1252": "cp1252", "gbk": "gbk", "shift_jis": "shift_jis", "big5": "big5", "euc-kr": "euc_kr"}
 # fixed values: other labels of encodings
 LABELS = {"utf-8": "utf-8", "utf8": "utf-8", "utf-16": "utf-16-le", "utf-16le": "utf-16-le", "utf-16be": "utf-16-be", "utf-32": "utf-32-le", "utf-32le": "utf-32-le", "utf-32be": "utf-32-be", "latin1": "cp1252", "iso-8859-1": "cp1252", "ascii": "cp1252", "cp1252": "cp1252", "gb2312": "gbk", "gb18030": "gb18030", "sjis": "shift_jis", "euc-jp": "euc_jp"}
 
+#: Control characters other than tab, LF and CR, and noncharacters: garbage that some legacy codec takes for text.
+_GARBAGE = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ufdd0-\ufdef" + "".join(chr(p << 16 | x) for p in range(17) for x in (0xFFFE, 0xFFFF)) + "]")
 _ESCAPED = re.compile(rb"\x1b[\x20-\x2f]+[\x40-\x7e]")
 
-RESULT = "kind string, text string, encoding string, reason string, candidates array<string>, rescued boolean"
+RESULT = "kind string, text string, encoding string, reason string, candidates array<string>, rescued boolean, note string"
 
 
 @dataclass(frozen=True)
 class Decoded:
-    """kind: text, binary or rejected; reason and candidates of a rejection."""
+    """kind: text, binary or rejected; reason and candidates of a rejection; a note on how it was decoded."""
 
     kind: str
     text: str | None = None
@@ -46,6 +60,7 @@ class Decoded:
     reason: str | None = None
     candidates: tuple[str, ...] = ()
     rescued: bool = False
+    note: str | None = None
 
 
 def _strict(data: bytes, codec: str) -> str | None:
@@ -81,7 +96,10 @@ def explicit(data: bytes, label: str) -> Decoded:
             return Decoded("rejected", reason="bom_mismatch", candidates=(found[1],))
         data = data[len(found[0]) :]
     text = _strict(data, codec)
-    return Decoded("rejected", reason="undecodable") if text is None else Decoded("text", text, label)
+    if text is None:
+        return Decoded("rejected", reason="undecodable")
+    doubt = codec not in {c for _, c in MARKS} and _strict(data, "utf-8") is not None
+    return Decoded("text", text, label, note="The bytes are UTF-8 as well; without an encoding they would be read as that." if doubt else None)
 
 
 def ladder(data: bytes) -> Decoded:
@@ -100,10 +118,10 @@ def ladder(data: bytes) -> Decoded:
     if is_magic(data):
         return Decoded("binary", reason="magic")
     if valid >= CONFLICT_BYTES and sum(b > 127 for b in data[:valid]) >= CONFLICT_NON_ASCII:
-        return Decoded("rejected", reason="mixed_or_inconsistent")
+        return Decoded("rejected", reason=f"mixed_or_inconsistent at byte {valid:#x}")
     if len(data) >= LEGACY_BYTES:
         return Decoded("rejected", reason="undecodable")
-    clean = tuple(label for label, codec in LEGACY.items() if _strict(data, codec) is not None)
+    clean = tuple(label for label, codec in LEGACY.items() if (text := _strict(data, codec)) is not None and not _GARBAGE.search(text))
     return Decoded("rejected", reason="ambiguous" if clean else "undecodable", candidates=clean)
 
 
@@ -139,7 +157,7 @@ def decode_column(content: Column, label: str | None = None, fallback: str | Non
     @F.pandas_udf(RESULT)
     def step(column: pd.Series) -> pd.DataFrame:
         rows = [decoded(bytes(x), label, fallback) if x is not None else Decoded("rejected", reason="undecodable") for x in column]
-        return pd.DataFrame([(r.kind, r.text, r.encoding, r.reason, list(r.candidates), r.rescued) for r in rows], columns=["kind", "text", "encoding", "reason", "candidates", "rescued"])
+        return pd.DataFrame([(r.kind, r.text, r.encoding, r.reason, list(r.candidates), r.rescued, r.note) for r in rows], columns=[f.split()[0] for f in RESULT.split(", ")])
 
     return step(content)
 
@@ -150,6 +168,6 @@ def decode_files(files: DataFrame, label: str | None = None, fallback: str | Non
         return files.withColumn("_d", decode_column(F.col("content"), label)).select("*", "_d.*").drop("_d", "content")
     files = files.withColumn("_plain", plain(F.col("content")))
     names = [f.split()[0] for f in RESULT.split(", ")]
-    easy = files.where("_plain").select("*", F.lit("text").alias("kind"), F.col("content").cast("string").alias("text"), F.lit("utf-8").alias("encoding"), F.lit(None).cast("string").alias("reason"), F.array().cast("array<string>").alias("candidates"), F.lit(False).alias("rescued"))
+    easy = files.where("_plain").select("*", F.lit("text").alias("kind"), F.col("content").cast("string").alias("text"), F.lit("utf-8").alias("encoding"), F.lit(None).cast("string").alias("reason"), F.array().cast("array<string>").alias("candidates"), F.lit(False).alias("rescued"), F.lit(None).cast("string").alias("note"))
     hard = files.where("not _plain").withColumn("_d", decode_column(F.col("content"), None, fallback)).select("*", *(F.col(f"_d.{n}") for n in names)).drop("_d")
     return easy.unionByName(hard).drop("_plain", "content")

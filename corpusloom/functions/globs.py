@@ -119,6 +119,12 @@ def matches(path: str, globs: list[str]) -> bool:
     return (not good or any(map(fits, good))) and not any(fits(g[1:]) for g in globs if g.startswith("!"))
 
 
+def wanted(path: str, globs: str | list[str] | None, name: str | None) -> bool:
+    """glob_filter() and type_filter() for one path."""
+    of_type = lambda: any(re.search(as_regex(g, anywhere=True).replace(r"\z", r"\Z"), path) for g in TYPES[name])
+    return matches(path, as_list(globs)) and (not name or of_type())
+
+
 def extension(path: Column) -> Column:
     """What follows the last dot of a file name, '' without one; a leading dot doesn't count."""
     return F.regexp_extract(path, r"[^/]\.([^./]+)$", 1)

@@ -27,6 +27,28 @@ def spans_of(pattern: regex.Pattern, line: str) -> list[tuple[int, int]]:
     return out
 
 
+def nullable(translated: str) -> bool:
+    """Whether a translated pattern may match without taking a character; these matches are found by spans_of()."""
+    body = stdlib.sub(r"\\[pP](?:\{[^}]*\}|\w)", "x", stdlib.match(r"\(\?\w*\)(.*)", translated, stdlib.S)[1])
+    body = stdlib.sub(r"\(\?<(?=[A-Za-z_])", "(?P<", body.replace(r"\z", r"\Z"))
+    body = stdlib.sub(r"\\x\{[^}]*\}|\\[QEhHvVRXN]", "x", body)
+    try:
+        return stdlib._parser.parse(body).getwidth()[0] == 0
+    except Exception:
+        return True
+
+
+def count_spans(texts: Column, translated: str) -> Column:
+    """How many matches an array of strings holds."""
+
+    @F.pandas_udf("long")
+    def step(rows: pd.Series) -> pd.Series:
+        p = python_pattern(translated)
+        return pd.Series([None if x is None else sum(len(spans_of(p, y)) for y in x) for x in rows])
+
+    return step(texts)
+
+
 def find_spans(line: Column, translated: str) -> Column:
     """An array of (char_start, char_len) of the matches in a line."""
 

@@ -16,6 +16,7 @@ from corpusloom.errors import ConfigError
 from corpusloom.functions.globs import glob_filter, type_filter
 from corpusloom.functions.lines import search_lines
 from corpusloom.functions.regexes import checked, required_literal, translated
+from corpusloom.functions.spans import count_spans, find_spans, nullable
 from corpusloom.sources.corpus import Corpus
 
 MODES = ("files_with_matches", "content", "count", "summary")
@@ -74,7 +75,10 @@ def _hit(files: DataFrame, s: Search) -> Column:
 
 
 def _occurrences(files: DataFrame, s: Search) -> Column:
-    p = F.lit(s.regex(files.sparkSession))
+    regex = s.regex(files.sparkSession)
+    p = F.lit(regex)
+    if nullable(regex):  # Java counts empty matches behind others, too
+        return count_spans(F.array("text") if s.multiline else search_lines(F.col("text")), regex)
     if s.multiline:
         return F.regexp_count("text", p).cast("long")
     return F.aggregate(search_lines(F.col("text")), F.lit(0).cast("long"), lambda n, x: n + F.regexp_count(x, p))
@@ -97,37 +101,57 @@ def summary(corpus: Corpus, s: Search) -> DataFrame:
     return counts(corpus, s).agg(F.count("*").alias("files"), F.coalesce(F.sum("occurrences"), F.lit(0)).alias("occurrences"))
 
 
-def matching_lines(corpus: Corpus, s: Search) -> DataFrame:
-    """rel, mtime_ns, line_no, line, is_match, block of matching lines and those around them.
-
-    Blocks of a file that touch or overlap are one; they are counted from 1.
-    """
+def _captured(corpus: Corpus, s: Search) -> DataFrame:
+    """rel, mtime_ns, lines, shown, captured of each file with a match: the lines that are shown, and their bytes."""
     files = selected(corpus, s)
     p = F.lit(s.regex(files.sparkSession))
     before, after = s.around
     rows = files.select("rel", "mtime_ns", search_lines(F.col("text")).alias("lines"))
-    rows = rows.withColumn("hits", F.filter(F.transform("lines", lambda x, i: F.when(F.rlike(x, p), i + 1)), lambda i: i.isNotNull())).where(F.size("hits") > 0)
-    captured = F.aggregate("hits", F.lit(0).cast("long"), lambda n, i: n + F.octet_length(F.element_at("lines", i)))
-    rows = rows.where(captured <= CAPTURED)
-    if not before and not after:
-        shown = F.col("hits")
+    hits = F.filter(F.transform("lines", lambda x, i: F.when(F.rlike(x, p), i + 1)), lambda i: i.isNotNull())
+    if before or after:
+        near = lambda h: F.sequence(F.greatest(h - before, F.lit(1)), F.least(h + after, F.size("lines")))
+        shown = F.array_sort(F.array_distinct(F.flatten(F.transform(hits, near))))
     else:
-        near = F.transform("hits", lambda h: F.sequence(F.greatest(h - before, F.lit(1)), F.least(h + after, F.size("lines"))))
-        shown = F.array_sort(F.array_distinct(F.flatten(near)))
-    rows = rows.withColumn("shown", shown)
-    # lines of one block have one distance from their index
-    gaps = F.transform("shown", lambda k, i: k - i)
-    rows = rows.withColumn("gaps", gaps).withColumn("starts", F.array_distinct("gaps"))
-    one = F.explode(F.arrays_zip("shown", "gaps")).alias("x")
-    out = rows.select("rel", "mtime_ns", "lines", "starts", one)
-    line = F.element_at("lines", F.col("x.shown"))
-    return out.select("rel", "mtime_ns", F.col("x.shown").cast("long").alias("line_no"), line.alias("line"), F.rlike(line, p).alias("is_match"), F.array_position("starts", F.col("x.gaps")).alias("block"))
+        shown = hits
+    rows = rows.withColumn("shown", shown).where(F.size("shown") > 0)
+    return rows.withColumn("captured", F.aggregate("shown", F.lit(0).cast("long"), lambda n, i: n + F.octet_length(F.element_at("lines", i))))
+
+
+def matching_lines(corpus: Corpus, s: Search) -> DataFrame:
+    """rel, mtime_ns, line_no, line, is_match, block of matching lines and those around them.
+
+    Blocks of a file that touch or overlap are one; they are counted from 1. A
+    file whose shown lines have more than CAPTURED bytes is in capture_skips()
+    instead.
+    """
+    rows = _captured(corpus, s).where(F.col("captured") <= CAPTURED)
+    p = F.lit(s.regex(corpus.files.sparkSession))
+    # places in `shown` at which a block begins, and the lines of each block
+    begins = F.filter(F.sequence(F.lit(0), F.size("shown") - 1), lambda i: (i == 0) | (F.get("shown", i) > F.get("shown", i - 1) + 1))
+    rows = rows.withColumn("begins", begins)
+    numbered = lambda ks: F.transform(ks, lambda k: F.struct(k.alias("no"), F.element_at("lines", k).alias("line")))
+    blocks = F.transform("begins", lambda b, j: numbered(F.slice("shown", b + 1, F.coalesce(F.get("begins", j + 1), F.size("shown")) - b)))
+    out = rows.select("rel", "mtime_ns", F.posexplode(blocks).alias("j", "block")).select("rel", "mtime_ns", "j", F.explode("block").alias("x"))
+    return out.select("rel", "mtime_ns", F.col("x.no").cast("long").alias("line_no"), F.col("x.line").alias("line"), F.rlike("x.line", p).alias("is_match"), (F.col("j") + 1).cast("long").alias("block"))
+
+
+def capture_skips(corpus: Corpus, s: Search) -> DataFrame:
+    """path, reason, kind of files that matching_lines() leaves out."""
+    rows = _captured(corpus, s).where(F.col("captured") > CAPTURED)
+    return rows.select(F.col("rel").alias("path"), F.concat(F.lit("its matching lines have "), F.col("captured").cast("string"), F.lit(f" bytes, more than {CAPTURED}")).alias("reason"), F.lit("captured").alias("kind"))
 
 
 def occurrences(corpus: Corpus, s: Search) -> DataFrame:
     """rel, mtime_ns, line_no, ordinal, matched of each match within a line, or (multiline) in a whole text, with line_no that of its start."""
     files = selected(corpus, replace(s, only_matching=True))
-    p = F.lit(s.regex(files.sparkSession))
+    regex = s.regex(files.sparkSession)
+    p = F.lit(regex)
+    empty = nullable(regex)
+    if s.multiline and empty:
+        rows = files.select("rel", "mtime_ns", "text", F.posexplode(find_spans(F.col("text"), regex)).alias("k", "x"))
+        before = F.left("text", F.col("x.char_start"))
+        line_no = 1 + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
+        return rows.select("rel", "mtime_ns", line_no.cast("long").alias("line_no"), (F.col("k") + 1).cast("long").alias("ordinal"), F.substring("text", F.col("x.char_start") + 1, F.col("x.char_len")).alias("matched"))
     if s.multiline:
         # what stands between the matches, and these, tell the lines before each
         feeds = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
@@ -138,7 +162,11 @@ def occurrences(corpus: Corpus, s: Search) -> DataFrame:
         out = rows.select("rel", "mtime_ns", start.cast("long").alias("line_no"), (F.col("k") + 1).cast("long").alias("ordinal"), F.col("x.m").alias("matched"))
         return out
     rows = files.select("rel", "mtime_ns", F.posexplode(search_lines(F.col("text"))).alias("k", "line")).where(F.rlike("line", p))
-    rows = rows.select("rel", "mtime_ns", (F.col("k") + 1).cast("long").alias("line_no"), F.posexplode(F.regexp_extract_all("line", p, F.lit(0))).alias("j", "matched"))
+    found = F.regexp_extract_all("line", p, F.lit(0))
+    if empty:
+        rows = rows.withColumn("spans", find_spans(F.col("line"), regex))
+        found = F.transform("spans", lambda x: F.substring("line", x["char_start"] + 1, x["char_len"]))
+    rows = rows.select("rel", "mtime_ns", (F.col("k") + 1).cast("long").alias("line_no"), F.posexplode(found).alias("j", "matched"))
     return rows.select("rel", "mtime_ns", "line_no", (F.col("j") + 1).cast("long").alias("ordinal"), "matched")
 
 

@@ -127,10 +127,30 @@ SOURCES = {
 
 
 def outline_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.createDataFrame(list(SOURCES.items()), "rel string, text string")
+    """Symbols of one source file for each customer with orders: a class, and a method for each order in turn."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))  # a customer's orders are few
+    methods = F.transform("keys", lambda k: F.concat(F.lit("    def o"), k.cast("string"), F.lit("(self):\n        return "), k.cast("string"), F.lit("\n")))
+    text = F.concat(F.lit("class C"), F.col("o_custkey").cast("string"), F.lit(":\n"), F.array_join(methods, "\n"))
+    return _symbols(o.select(F.concat(F.lit("c/"), F.col("o_custkey").cast("string"), F.lit(".py")).alias("rel"), text.alias("text")))
+
+
+def outline_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of a few files of other languages."""
+    return _symbols(spark.createDataFrame(list(SOURCES.items()), "rel string, text string"))
+
+
+def _symbols(files: DataFrame) -> DataFrame:
     return outline.symbols(files).select("rel", "name", "label", F.col("depth").cast("long").alias("depth"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
 
 
+def decode_magic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents behind headers of binary formats and of others, with a byte that is no UTF-8 and one that no legacy codec takes."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"), (F.col("doc_id") % 5).cast("int").alias("k"))
+    heads = F.array(*(F.lit(x) for x in ("MZ", "PK\x03\x04", "%PDF-", "GIF89a", "plain")))
+    raw = F.concat(F.encode(F.get(heads, F.col("k")), "UTF-8"), F.unhex(F.lit("FF7F")), F.encode("t", "UTF-8"))
+    return decode_files(d.select("doc_id", raw.alias("content"))).select("doc_id", "kind")
+
+
 def decode_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as bytes, every third with an UTF-16 mark and every other third with a NUL, read back by the steps of decoding."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
@@ -273,7 +293,24 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         t as (select *, (sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding))::bigint turn from g)
         select user_id, turn, count(*) calls, min(event_id) first_call from t group by 1, 2""",
     ),
-    "outline_symbols": (outline_symbols, None),
+    "search_nullable": (
+        q(lambda c: search.counts(c, Search("(th)*", output_mode="count")).select("rel", "occurrences")),
+        # an empty match right behind another doesn't count, so each run of th takes the place of the one behind it
+        f"""with {LINES}, m as (select rel, regexp_replace(line, '(th)+', chr(1), 'g') line from l)
+        select rel, sum(length(line) + 1 - len(regexp_extract_all(line, chr(1))))::bigint occurrences from m group by rel""",
+    ),
+    "decode_magic": (
+        decode_magic,
+        """with h(k, head) as (values (0, 'MZ'), (1, 'PK' || chr(3) || chr(4)), (2, '%PDF-'), (3, 'GIF89a'), (4, 'plain'))
+        select doc_id, case when k < 2 then 'binary' else 'rejected' end kind from documents join h on doc_id % 5 = k""",
+    ),
+    "outline_symbols": (
+        outline_symbols,
+        """with o as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) k, count(*) over (partition by o_custkey) n from orders)
+        select 'c/' || o_custkey || '.py' rel, 'C' || o_custkey as "name", 'class' as label, 1::bigint depth, 1::bigint start_line, any_value(3 * n)::bigint end_line from o group by o_custkey
+        union all select 'c/' || o_custkey || '.py', 'o' || o_orderkey, 'def', 2, 3 * k - 1, 3 * k from o""",
+    ),
+    "outline_languages": (outline_languages, None),
     "decode_ladder": (
         decode_ladder,
         """select doc_id, case when doc_id % 3 = 1 then 'binary' else 'text' end kind, case when doc_id % 3 = 1 then -1 else length(coalesce(text, '')) end::bigint n_chars,

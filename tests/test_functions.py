@@ -74,9 +74,9 @@ def test_decoding_steps():
     for codec, mark in (("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff"), ("utf-32-le", b"\xff\xfe\0\0"), ("utf-8", b"\xef\xbb\xbf")):
         assert d(mark + "你好\n".encode(codec)).text == "你好\n"
     assert d(b"\xef\xbb\xbf\xff").reason == "bom_mismatch"
-    assert d(b"a\0b").kind == "binary" and d(b"\x89PNG\r\n\x1a\n\xff").kind == "binary"
+    assert d(b"a\0b").kind == "binary" and d(b"\x7fELF\xff").kind == "binary"
     assert d(b"\x1b$B!!").reason == "iso_2022_signature"
-    assert d(("é" * 20).encode() + b"\xff\xfe").reason == "mixed_or_inconsistent"
+    assert d(("é" * 20).encode() + b"\xff\xfe").reason == "mixed_or_inconsistent at byte 0x28"
     assert d(b"\xe9").reason == "ambiguous" and "windows-1252" in d(b"\xe9").candidates
     assert d(b"\xe9" * (8 << 20)).reason == "undecodable"
     for text, label in ((CHINESE, "gbk"), (JAPANESE, "shift_jis"), (KOREAN, "euc-kr"), (CHINESE.replace("，", ""), "big5")):
@@ -87,6 +87,28 @@ def test_decoding_steps():
         d(b"a", "klingon")
 
 
+def test_headers_of_binary_formats():
+    for head in (b"PK\x03\x04", b"\x1f\x8b", b"7z\xbc\xaf\x27\x1c", b"\x7fELF", b"MZ", b"\xfe\xed\xfa\xce", b"\xfe\xed\xfa\xcf", b"\xce\xfa\xed\xfe", b"\xcf\xfa\xed\xfe", b"SQLite format 3\x00", b"\x00asm"):
+        assert decode.is_magic(head + b"rest") and not decode.is_magic(b"x" + head)
+        assert decode.decoded(head + b"\xff").kind == "binary"
+    assert len(decode.MAGIC) == 11
+    for head in (b"%PDF-1.4", b"\x89PNG", b"GIF89a", b"\xff\xd8\xff"):
+        assert not decode.is_magic(head)
+    assert decode.decoded(b"%PDF-1.4 is text").kind == "text"
+
+
+def test_trials_of_legacy_codecs_refuse_control_characters():
+    assert decode.decoded(b"\xe9\x01").reason == "undecodable" and decode.decoded(b"\xe9\x7f").reason == "undecodable"
+    assert decode.decoded(b"\xe9\t\r\n").reason == "ambiguous"
+    assert decode.decoded("é".encode(), "windows-1252").note and not decode.decoded(b"\xe9", "windows-1252").note and not decode.decoded("é".encode(), "utf-8").note
+
+
+def test_nullable_patterns():
+    for pattern, want in (("a*", True), ("a+", False), ("^", True), (r"\b", True), ("a|", True), ("[a-z]{0,3}", True), (r"\p{L}", False), (r"(?P<x>a)?", True), ("x[[:alpha:]]", False), (r"\d+\.", False)):
+        assert spans.nullable(regexes.translated(pattern)) == want, pattern
+        assert spans.nullable(regexes.translated(pattern, True, True)) == want, pattern
+
+
 def test_decoding_in_spark_agrees_with_the_driver(spark):
     data = [b"plain", "é".encode(), b"\xe9", b"a\0", b"\xff\xfea\0", b"", b"\x1b$B!!", b"MZ\xff", b"MZ fine"]
     out = decode.decode_files(spark.createDataFrame([(k, bytearray(x)) for k, x in enumerate(data)], "k int, content binary")).orderBy("k").collect()
