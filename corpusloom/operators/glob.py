@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.errors import ConfigError
-from corpusloom.functions.globs import as_regex
+from corpusloom.functions.globs import glob_filter
 from corpusloom.sources.corpus import Corpus
 
 #: Matching files beyond which a glob is an error, and limits of a page.
 MOST_FILES, MOST_LIMIT = 100_000, 1_000
 
 
-def found(corpus: Corpus, pattern: str) -> DataFrame:
-    """rel, mtime_ns, size of files whose path matches; texts aren't read."""
-    return corpus.files.select("rel", "mtime_ns", "size").where(F.col("rel").rlike(as_regex(pattern)))
+def found(corpus: Corpus, pattern: str | list[str]) -> DataFrame:
+    """rel, mtime_ns, size of files that a glob, or a list of globs and vetoes, keeps; texts aren't read."""
+    keep = glob_filter(F.col("rel"), pattern)
+    files = corpus.files.select("rel", "mtime_ns", "size")
+    return files if keep is None else files.where(keep)
 
 
 def ordered(rows: DataFrame, sort: str = "modified") -> DataFrame:
@@ -32,7 +34,7 @@ def details(rows: DataFrame) -> DataFrame:
     return rows.select("rel", "mtime_ns", F.to_json(F.struct(F.col("rel").alias("path"), F.col("size").alias("bytes"), modified.alias("modified"))).alias("entry"))
 
 
-def page(corpus: Corpus, pattern: str, sort: str = "modified", offset: int = 0, limit: int = 100) -> tuple[list, int]:
+def page(corpus: Corpus, pattern: str | list[str], sort: str = "modified", offset: int = 0, limit: int = 100) -> tuple[list, int]:
     """Rows of a page and the number of all matches; ConfigError above MOST_FILES matches."""
     if not 1 <= limit <= MOST_LIMIT:
         raise ConfigError(f"limit must lie in 1..{MOST_LIMIT}")

@@ -6,11 +6,12 @@ import json
 import os
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.errors import ConfigError, EncodingError
 from corpusloom.functions.decode import decoded, is_magic
+from corpusloom.functions.lines import READ_CHARS
 from corpusloom.functions.spans import python_pattern, spans_of
 from corpusloom.functions.tokens import TokenCounter
 from corpusloom.operators import glob as globs
@@ -20,7 +21,7 @@ from corpusloom.operators import report, search
 from corpusloom.operators.search import Search
 from corpusloom.plans.budget import BudgetTooSmall, largest_fitting, page_rows, resolve
 from corpusloom.sources.corpus import Corpus
-from corpusloom.sources.paths import from_windows, resolved
+from corpusloom.sources.paths import from_windows, resolved, shown
 from corpusloom.sources.tree import sealed, tree_corpus, tree_files
 
 DETAILS, ENTRIES = 256, 250
@@ -83,6 +84,10 @@ def context_line(line: str) -> str:
     return line if len(line.encode()) <= 500 else f"(line of {len(line)} characters)"
 
 
+def cut_line(line: str, most: int = READ_CHARS) -> str:
+    return line if len(line) <= most else line[:most] + f" … (line of {len(line)} characters cut)"
+
+
 class Engine:
     """Tools whose paths are relative to root; pages stay within the budgets that the environment sets."""
 
@@ -95,6 +100,14 @@ class Engine:
             raise ConfigError(f"no such path: {path}")
         return found
 
+    def _placed(self, corpus: Corpus, target: str) -> Corpus:
+        """Paths relative to the target while that lies under the root, else absolute."""
+        folder = target if os.path.isdir(target) else os.path.dirname(target)
+        if not os.path.isabs(shown(os.path.join(folder, "x"), self.root, folder)):
+            return corpus
+        whole = lambda df, c: df if df is None else df.withColumn(c, F.concat(F.lit(folder.rstrip("/") + "/"), F.col(c)))
+        return replace(corpus, files=whole(corpus.files, "rel"), skips=whole(corpus.skips, "path"), encodings=whole(corpus.encodings, "rel"))
+
     def _finish(self, page: Page, budget: int, tool: str) -> Page:
         page.budget, page.returned = budget, self.count(page.wire())
         if page.returned > budget:
@@ -105,16 +118,22 @@ class Engine:
         """A page of a search; options are those of Search."""
         budget = resolve("search", self.env)
         target = self._path(path)
-        corpus = tree_corpus(self.spark, target, "search", encoding, fallback_encoding)
         s = Search(pattern, **options)
+        s.regex(self.spark)  # a bad pattern is an error before any file is read
+        corpus = self._placed(tree_corpus(self.spark, target, "search", encoding, fallback_encoding, s.glob, s.type), target)
+        s = replace(s, glob=None, type=None)  # judged before files were read, by paths within the target
         if os.path.isfile(target) and (lost := corpus.skips.first()):
             raise EncodingError(f"{path} can't be searched: {lost.reason}")
-        args = {"pattern": pattern} | ({"path": path} if path else {}) | {k: v for k, v in options.items()} | ({"head_limit": head_limit} if head_limit != ENTRIES else {})
-        return self.search_corpus(corpus, s, head_limit, offset, budget, args, line_numbers)
-
-    def search_corpus(self, corpus: Corpus, s: Search, head_limit: int = ENTRIES, offset: int = 0, budget: int | None = None, args: dict | None = None, line_numbers: bool = True) -> Page:
+        given = {"pattern": pattern, "path": path, "encoding": encoding, "fallback_encoding": fallback_encoding, **options}
+        # all that was asked for, so that the next page searches the same files
+        args = {k: v for k, v in given.items() if v is not None} | {"head_limit": head_limit, "line_numbers": line_numbers}
+        with corpus.held() as held:
+            return self.search_corpus(held, s, head_limit, offset, budget, args, line_numbers, not os.path.isfile(target))
+
+    def search_corpus(self, corpus: Corpus, s: Search, head_limit: int = ENTRIES, offset: int = 0, budget: int | None = None, args: dict | None = None, line_numbers: bool = True, headers: bool = True) -> Page:
+        """A page of a search over any corpus; headers: whether content names its files."""
         budget = budget or resolve("search", self.env)
-        skipped = self._skips(corpus)
+        skipped = self._skips(corpus, search.capture_skips(corpus, s) if s.output_mode == "content" and not (s.only_matching or s.multiline) else None)
         notes = "".join(f" {n}" for n in corpus.notes())
         if s.output_mode == "summary":
             r = search.summary(corpus, s).first()
@@ -136,7 +155,7 @@ class Engine:
 
         def render(k: int, around: bool = True, most: int = 2000) -> str:
             part = more or k < len(entries)
-            body = self._content(rows, entries[:k], s, line_numbers, around, most) if content else "\n".join(r.rel if s.output_mode == "files_with_matches" else f"{r.rel}:{r.occurrences}" for r in entries[:k])
+            body = self._content(rows, entries[:k], s, line_numbers, around, most, headers) if content else "\n".join(r.rel if s.output_mode == "files_with_matches" else f"{r.rel}:{r.occurrences}" for r in entries[:k])
             if s.output_mode == "count":
                 body += f"\n\n{plural(sum(r.occurrences for r in entries[:k]), 'occurrence')} shown"
             return f"{body}\n\n({self._shown(unit, offset + 1, offset + k, None if more else total, part)}{notes}{self._skip_note(skipped)})"
@@ -165,7 +184,7 @@ class Engine:
         rows = near.orderBy(F.desc("mtime_ns"), "rel", "line_no").withColumn("is_match", F.col("hit") == 1).collect()
         return rows, more
 
-    def _content(self, rows: list, entries: list, s: Search, numbers: bool, around: bool, most: int) -> str:
+    def _content(self, rows: list, entries: list, s: Search, numbers: bool, around: bool, most: int, headers: bool = True) -> str:
         wanted = {(r.rel, r.line_no) for r in entries} if entries and "line_no" in entries[0] else None
         p = python_pattern(s.regex(self.spark))
         out: list[str] = []
@@ -173,7 +192,7 @@ class Engine:
         before, after = s.around
         if wanted is None or s.only_matching or s.multiline:
             for r in entries:
-                if r.rel != last_rel:
+                if r.rel != last_rel and headers:
                     out += ([""] if last_rel is not None else []) + [r.rel]
                     last_rel = r.rel
                 text = r.matched.replace("\r\n", "\n").replace("\n", "\\n")
@@ -187,7 +206,7 @@ class Engine:
             if not hit and not near:
                 continue
             if r.rel != last_rel:
-                out += ([""] if last_rel is not None else []) + [r.rel]
+                out += ([""] if last_rel is not None else []) + [r.rel] if headers else []
             elif (before or after) and around and r.line_no > last_no + 1:
                 out.append("--")
             last_rel, last_no = r.rel, r.line_no
@@ -203,27 +222,30 @@ class Engine:
             return text + f" All {plural(total, unit)} shown."
         return text + (f" {plural(total, unit)} in all." if total is not None else " More follow.")
 
-    def _skips(self, corpus: Corpus) -> dict | None:
+    def _skips(self, corpus: Corpus, more: DataFrame | None = None) -> dict | None:
         """Files that were skipped: how many, and the first DETAILS of them by path."""
-        if corpus.skips is None:
+        skips = corpus.skips
+        if skips is None and more is None:
             return None
-        x = corpus.skips.agg(F.count_if(F.col("kind") != "unreachable").alias("files"), F.count_if(F.col("kind") == "unreachable").alias("unreachable")).first()
+        skips = more if skips is None else skips if more is None else skips.unionByName(more)
+        x = skips.agg(F.count_if(F.col("kind") != "unreachable").alias("files"), F.count_if(F.col("kind") == "unreachable").alias("unreachable")).first()
         if not x.files and not x.unreachable:
             return None
-        rows = corpus.skips.orderBy("path").limit(DETAILS).collect()
+        rows = skips.orderBy("path").limit(DETAILS).collect()
         return {"files": x.files, "unreachable": x.unreachable, "details": [{"path": r.path, "reason": r.reason} for r in rows], "unlisted": x.files + x.unreachable - len(rows)}
 
     @staticmethod
     def _skip_note(skips: dict | None) -> str:
         return f" {plural(skips['files'] + skips['unreachable'], 'file')} skipped." if skips else ""
 
-    def glob(self, pattern: str, path: str | None = None, filter_mode: str = "ignore", sort: str = "modified", output_mode: str = "paths", offset: int = 0, limit: int = 100) -> Page:
-        """A page of paths."""
+    def glob(self, pattern: str | list[str], path: str | None = None, filter_mode: str = "ignore", sort: str = "modified", output_mode: str = "paths", offset: int = 0, limit: int = 100) -> Page:
+        """A page of paths that a glob, or a list of globs and vetoes (with ! in front), keeps."""
         if filter_mode not in ("ignore", "all") or output_mode not in ("paths", "details"):
             raise ConfigError("unknown filter or output mode")
         budget = resolve("glob", self.env)
-        files = tree_files(self.spark, self._path(path), "all" if filter_mode == "all" else "search", content=False).where("error is null")
-        rows, total = globs.page(Corpus(files.select("rel", "mtime_ns", "size", F.lit("").alias("text"))), pattern, sort, offset, limit)
+        target = self._path(path)
+        files = tree_files(self.spark, target, "all" if filter_mode == "all" else "search", False, pattern).where("error is null")
+        rows, total = globs.page(self._placed(Corpus(files.select("rel", "mtime_ns", "size", F.lit("").alias("text"))), target), [], sort, offset, limit)
         if output_mode == "details":
             made = {r.rel: r.entry for r in globs.details(self.spark.createDataFrame(rows, "rel string, mtime_ns long, size long")).collect()} if rows else {}
         shown = [r.rel if output_mode == "paths" else made[r.rel] for r in rows]
@@ -269,7 +291,7 @@ class Engine:
             note = "(The file is empty.)" if not total else f"(Line {first} is behind the end; the file has {plural(total, 'line')}.)"
             return self._finish(Page(note, Terminal("complete", "lines", 0, 0, total)), budget, "read")
         last = min(total, first + limit - 1) if limit else total
-        cut = [x if len(x) <= 2000 else x[:2000] + f" … (line of {len(x)} characters cut)" for x in lines[first - 1 : last]]
+        cut = [cut_line(x) for x in lines[first - 1 : last]]
 
         def render(k: int) -> str:
             state = "Partial: the budget ends here" if k < len(cut) else "Complete: requested window shown"
@@ -287,30 +309,45 @@ class Engine:
         entries = [{"path": f["path"], "offset": f.get("offset") or 1, "limit": f.get("limit") or limit, "encoding": f.get("encoding")} for f in files]
         if not 1 <= len(entries) <= reads.MOST_ENTRIES:
             raise ConfigError(f"a read takes 1 to {reads.MOST_ENTRIES} files")
-        if len({tuple(e.values()) for e in entries}) < len(entries):
+        place = lambda e: os.path.realpath(resolved(self.root, from_windows(e["path"])))
+        if len({(place(e), *list(e.values())[1:]) for e in entries}) < len(entries):
             raise ConfigError("an entry is there twice")
-        parts, ends = [], []
+        parts: list[tuple[str, list[str], int, int]] = []  # head, lines, number of the first and of all
         for e in entries:  # few, each judged for itself
             try:
                 lines = self._lines(e["path"], e["encoding"])
             except (ConfigError, EncodingError, OSError) as x:
-                parts.append(f"=== {e['path']} ===\n(Error: {x})")
-                ends.append(None)
+                parts.append((f"=== {e['path']} ===\n(Error: {x})", [], 0, 0))
                 continue
             last = min(len(lines), e["offset"] + e["limit"] - 1) if e["limit"] else len(lines)
             if e["offset"] > len(lines):
-                parts.append(f"=== {e['path']} ===\n(Warning: {'the file is empty' if not lines else 'the window begins behind the end'})")
-                ends.append(None)
+                parts.append((f"=== {e['path']} ===\n(Warning: {'the file is empty' if not lines else 'the window begins behind the end'})", [], 0, 0))
                 continue
-            parts.append(f"=== {e['path']} (lines {e['offset']}-{last} of {len(lines)}) ===\n" + "\n".join(f"{n}\t{x[:2000]}" for n, x in enumerate(lines[e["offset"] - 1 : last], e["offset"])))
-            ends.append(None)
-        render = lambda k: "\n\n".join(parts[:k]) + f"\n\n({self._shown('file', 1, k, len(parts), k < len(parts))})"
+            parts.append((f"=== {e['path']} ", [cut_line(x) for x in lines[e["offset"] - 1 : last]], e["offset"], len(lines)))
+
+        def rendered(part: tuple[str, list[str], int, int], n: int | None = None) -> str:
+            head, lines, first, total = part
+            lines = lines if n is None else lines[:n]
+            if not lines:
+                return head
+            return f"{head}(lines {first}-{first + len(lines) - 1} of {total}) ===\n" + "\n".join(f"{i}\t{x}" for i, x in enumerate(lines, first))
+
+        def render(k: int, n: int = 0) -> str:
+            """k whole files, and n lines of the next."""
+            shown = [rendered(p) for p in parts[:k]] + ([rendered(parts[k], n)] if n else [])
+            return "\n\n".join(shown) + f"\n\n({self._shown('file', 1, len(shown), len(parts), k < len(parts))}{' The last one goes on.' if n else ''})"
+
         k = largest_fitting(len(parts), lambda n: self.count(render(n)) <= budget)
-        if not k:
+        n = largest_fitting(len(parts[k][1]) - 1, lambda n: self.count(render(k, n)) <= budget) if k < len(parts) and parts[k][1] else 0
+        if not k and not n:
             raise BudgetTooSmall("read", budget, "the first file; read it alone")
         partial = k < len(parts)
         rest = [{a: v for a, v in e.items() if v is not None} for e in entries[k:]]
-        page = Page(render(k), Terminal("partial" if partial else "complete", "files", 1, k, len(parts)), next_call={"files": rest} if partial else None)
+        if n:  # go on within the file that was cut
+            rest[0]["offset"] += n
+            if "limit" in rest[0]:
+                rest[0]["limit"] -= n
+        page = Page(render(k, n), Terminal("partial" if partial else "complete", "files", 1, k + bool(n), len(parts)), next_call={"files": rest} if partial else None)
         return self._finish(page, budget, "read")
 
     def outline(self, path: str, depth: int | None = 2) -> Page:

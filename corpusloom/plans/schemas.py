@@ -47,7 +47,7 @@ TOOLS = {
     "glob": {
         "type": "object",
         "properties": {
-            "pattern": _text("glob"),
+            "pattern": {"type": "array", "items": {"type": "string"}, "description": "globs that keep paths, or with ! in front drop them; one may be given as it is"},
             "path": _text("folder; the root by default"),
             "filter_mode": _text("whether ignore rules hold", enum=["ignore", "all"], default="ignore"),
             "sort": _text("order", enum=["modified", "path"], default="modified"),

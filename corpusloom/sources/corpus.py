@@ -2,31 +2,41 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """files: rel STRING, mtime_ns LONG, size LONG, text STRING; skips: path, reason, kind of what couldn't be read; encodings: rel, encoding, rescued of what wasn't UTF-8."""
+    """files: rel STRING, mtime_ns LONG, size LONG, text STRING; skips: path, reason, kind of what couldn't be read; encodings: rel, encoding, rescued, note of what wasn't UTF-8."""
 
     files: DataFrame
     skips: DataFrame | None = None
     encodings: DataFrame | None = None
+    #: What files, skips and encodings are taken from, that is read first.
+    sources: tuple[DataFrame, ...] = ()
 
     def notes(self) -> list[str]:
         """What was decoded from other encodings, each once, in order."""
         if self.encodings is None:
             return []
-        rows = self.encodings.agg(F.array_sort(F.collect_set("encoding")).alias("e"), F.count_if("rescued").alias("n")).first()
-        return [f"Decoded from {e}." for e in rows.e] + ([f"{rows.n} by the fallback encoding."] if rows.n else [])
-
-    @property
-    def ordered_by(self) -> list[Column]:
-        """Newest first, then by the bytes of the path."""
-        return [F.desc("mtime_ns"), F.asc("rel")]
+        rows = self.encodings.agg(F.array_sort(F.collect_set("encoding")).alias("e"), F.count_if("rescued").alias("n"), F.array_sort(F.collect_set("note")).alias("notes")).first()
+        return [f"Decoded from {e}." for e in rows.e] + ([f"{rows.n} by the fallback encoding."] if rows.n else []) + list(rows.notes)
+
+    @contextlib.contextmanager
+    def held(self) -> Iterator[Corpus]:
+        """The corpus read and decoded once, while it is used: what all its tables come from is kept on the executors' disks."""
+        kept = [x.persist(StorageLevel.DISK_ONLY) for x in self.sources]
+        try:
+            yield self
+        finally:
+            for x in kept:
+                x.unpersist()
 
 
 def table_corpus(df: DataFrame, rel: Column, newer: Column, text: str) -> Corpus:

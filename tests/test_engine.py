@@ -65,6 +65,50 @@ def test_search_pages(spark, tree):
     assert json.loads(p.envelope())["terminal"]["state"] == "complete"
 
 
+def test_next_pages_ask_for_the_same(spark, tree):
+    e = Engine(spark, str(tree), env={})
+    (tree / "late.dat").write_bytes("針".encode("gbk") + b" needle\n")
+    p = e.search("needle", fallback_encoding="gbk", line_numbers=False, head_limit=1, output_mode="content", glob=["*.txt", "*.dat"])
+    args = p.next_call["arguments"]
+    assert args == {"pattern": "needle", "fallback_encoding": "gbk", "line_numbers": False, "head_limit": 1, "output_mode": "content", "glob": ["*.txt", "*.dat"], "offset": 1}
+    pages = [p.text]
+    while p.next_call:
+        p = e.search(**p.next_call["arguments"])
+        pages.append(p.text)
+    assert sum("針 needle" in x for x in pages) == 1 and len(pages) == 6
+
+
+def test_a_single_file_has_no_header(spark, tree):
+    e = Engine(spark, str(tree), env={})
+    assert e.search("needle", path="m.txt", output_mode="content").text.startswith("1: needle\n2: needle needle\n")
+    assert e.search("needle", path="m.txt", output_mode="content", only_matching=True).text.startswith("1:needle\n2:needle\n")
+    assert e.search("needle", output_mode="content").text.startswith("m.txt\n1: needle")
+
+
+def test_files_that_path_filters_drop_are_not_opened(spark, tree):
+    e = Engine(spark, str(tree), env={})
+    assert e.search("needle", glob="*.txt").skip_report is None and e.search("needle").skip_report["files"] == 1
+    assert e.search("needle", type="txt").terminal.total == 4
+
+
+def test_files_with_too_much_to_show_are_skipped_with_a_reason(spark, monkeypatch):
+    monkeypatch.setattr(search, "CAPTURED", 20)
+    c = corpus(spark, [("big", 2, "hit and much more\nhit again\n"), ("small", 1, "hit\n")])
+    p = Engine(spark, "/", env={}).search_corpus(c, Search("hit", output_mode="content"))
+    assert p.terminal.total == 1 and p.skip_report["details"] == [{"path": "big", "reason": "its matching lines have 26 bytes, more than 20"}]
+
+
+def test_patterns_that_match_nothing_at_all(spark):
+    c = corpus(spark, [("f", 1, "baac")])
+    s = Search("a*", output_mode="count")
+    assert search.counts(c, s).first().occurrences == 3
+    assert search.counts(c, Search("a*", output_mode="count", multiline=True)).first().occurrences == 3
+    found = search.occurrences(c, Search("a*", output_mode="content", only_matching=True)).orderBy("ordinal").collect()
+    assert [(r.ordinal, r.matched) for r in found] == [(1, ""), (2, "aa"), (3, "")]
+    found = search.occurrences(c, Search("a*", output_mode="content", multiline=True)).orderBy("ordinal").collect()
+    assert [(r.line_no, r.matched) for r in found] == [(1, ""), (1, "aa"), (1, "")]
+
+
 def test_pages_stay_within_the_budget_and_add_up(spark):
     c = corpus(spark, [(f"f{k:03d}", 1000 - k, "hit\n" * (k % 3 + 1)) for k in range(40)])
     e = Engine(spark, "/", env={"CORPUSLOOM_BUDGET": "200"})
@@ -110,6 +154,29 @@ def test_glob_pages(spark, tree):
         e.glob("*", limit=0)
 
 
+def test_lists_of_globs_and_vetoes(spark, tree):
+    e = Engine(spark, str(tree), env={})
+    assert e.glob(["*.txt", "*.log", "!m*"], sort="path").text.split("\n")[:4] == ["a.txt", "keep.log", "link.txt", "z.txt"]
+    with pytest.raises(ConfigError):
+        e.glob(["!"])
+
+
+def test_batches_go_on_inside_a_file(spark, tree):
+    (tree / "long.txt").write_text("".join(f"line {k} of many\n" for k in range(60)))
+    e = Engine(spark, str(tree), env={"CORPUSLOOM_BUDGET": "400"})
+    files, seen = [{"path": "a.txt"}, {"path": "long.txt", "limit": 50}, {"path": "m.txt"}], []
+    while files:
+        p = e.read(files=files)
+        assert p.returned <= 400
+        seen += [x for x in p.text.split("\n") if "\tline" in x]
+        files = p.next_call["files"] if p.next_call else None
+    assert seen == [f"{k + 1}\tline {k} of many" for k in range(50)]
+    with pytest.raises(ConfigError):
+        e.read(files=[{"path": "a.txt"}, {"path": "./a.txt"}])
+    (tree / "wide.txt").write_text("x" * 3000)
+    assert "(line of 3000 characters cut)" in Engine(spark, str(tree), env={}).read(files=[{"path": "wide.txt"}]).text
+
+
 def test_read_pages(spark, tree):
     e = Engine(spark, str(tree), env={})
     assert e.read("z.txt").text.startswith("1\tx\n2\tneedle\n")
@@ -169,6 +236,36 @@ def test_stream_turns(spark, tmp_path):
     assert [r.turn for r in spark.table("turned").orderBy("call_id").collect()] == [1, 1, 2]
 
 
+def test_stream_matches(spark, tmp_path):
+    from corpusloom.streaming.turns import stream_matches
+
+    folder = tmp_path / "in"
+    spark.createDataFrame([("a", "x\nhit 1\n"), ("b", "hit 2\r\nhit 3")], "rel string, text string").write.parquet(str(folder))
+    out = stream_matches(spark.readStream.schema("rel string, text string").parquet(str(folder)), Search("hit"))
+    q = out.writeStream.format("memory").queryName("found").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(map(tuple, spark.table("found").collect())) == [("a", 2, "hit 1"), ("b", 1, "hit 2"), ("b", 2, "hit 3")]
+
+
+def test_paths_outside_the_root_are_absolute(spark, tree, tmp_path_factory):
+    other = tmp_path_factory.mktemp("other")
+    (other / "f.txt").write_text("needle\n")
+    e = Engine(spark, str(tree), env={})
+    assert e.search("needle", path=str(other)).text.startswith(f"{other}/f.txt\n")
+    assert e.glob("*.txt", path=str(other)).text.startswith(f"{other}/f.txt\n")
+
+
+def test_files_that_change_while_they_are_read(tmp_path, monkeypatch):
+    from corpusloom.errors import FileChanged
+    from corpusloom.sources import tree as source
+
+    (tmp_path / "f").write_text("abc")
+    real = os.stat
+    monkeypatch.setattr(source.os, "stat", lambda p: type("S", (), {"st_mtime_ns": 1, "st_size": 3})() if str(p).endswith("f") else real(p))
+    with pytest.raises(FileChanged):
+        source.sealed(str(tmp_path / "f"))
+
+
 def test_pool():
     now = [0.0]
     p = Pool(lambda: now[0])
