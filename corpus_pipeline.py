@@ -1,7 +1,9 @@
 """From raw documents to packed token sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
-last return the columns of documents.
+last return the columns of documents, with the values of rows that stay but
+where a stage changes texts. All take null and empty texts, repeated rows and
+empty tables, and pass columns of any other name through.
 """
 
 from __future__ import annotations
@@ -13,27 +15,27 @@ from corpusloom.llm.common import stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; those without a letter go."""
+    """Documents in which a language is found; null texts and those without a letter go, repeated rows stay each."""
     return op5_language.language_kept(docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules and whose host isn't rejected."""
+    """Documents that pass the rules and whose host isn't rejected; null and empty texts fail, repeated rows count each."""
     return op3_quality.quality_kept(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least doc_id, of each group of near duplicates."""
+    """One document, that with the least doc_id, of each group of near duplicates; of rows equal in doc_id and text one stays."""
     return op2_jaccard.near_duplicates_removed(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their texts without long strings that stand elsewhere too."""
+    """All documents, their texts without long strings that stand elsewhere too; a null text stays null."""
     return op4_repeats.stripped(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in token sequences of at most 4096."""
+    """Pieces of all documents in token sequences of at most 4096; a null or empty text is its end alone."""
     return op9_packing.packed(docs, op9_packing.tokenizer_path())
 
 
