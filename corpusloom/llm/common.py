@@ -30,9 +30,11 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one where that is unset (local tests)."""
+    """The shared folder of spark.checkpoint.dir; where that is unset, a temporary one in local mode, and else an error, since executors don't share the driver's disk."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: it names the folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -1,14 +1,13 @@
 import random
 import zlib
 from collections import Counter, defaultdict
-from math import log10
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import op1_pieces, op2_jaccard, op3_quality, op4_repeats, op5_language, op6_katz, op8_cotraining, op9_packing, op10_licenses
+from corpusloom.llm import op1_pieces, op2_jaccard, op3_quality, op4_repeats, op5_language, op8_cotraining, op9_packing, op10_licenses
 from corpusloom.llm.components import components
 from corpusloom.llm.suffixes import suffix_array
 
@@ -131,9 +130,9 @@ def test_hosts_that_fail_are_rejected(spark):
     assert out[0] and not out[100] and not out[300]
 
 
-@pytest.mark.parametrize("limits", [(4096, 8192, 64), (2, 50, 2), (100_000, 50, 1)])
+@pytest.mark.parametrize("limits", [(4096, 8192, 64, 1 << 20), (2, 50, 2, 1 << 20), (100_000, 50, 1, 300)])
 def test_repeats(docs, rows, nothing, monkeypatch, limits):
-    for name, value in zip(("GROUP_LIMIT", "SORTED_AT_ONCE", "SPREAD"), limits):
+    for name, value in zip(("GROUP_LIMIT", "SORTED_AT_ONCE", "SPREAD", "PIECE"), limits):
         monkeypatch.setattr(op4_repeats, name, value)
     want = Counter((r[0], *x[:4]) for r, x in zip(rows, brute.without_repeats([r[1] for r in rows])))
     out = op4_repeats.without_repeats(docs, ["doc_id", "text"])
@@ -147,6 +146,37 @@ def test_repeats(docs, rows, nothing, monkeypatch, limits):
         assert op4_repeats.stripped(docs).columns == docs.columns
 
 
+def test_repeats_pass_columns_of_any_name_through(spark):
+    names = ["doc_id", "text", "copied", "spans", "kept", "text_id", "_id", "h2", "lo", "n_spans", "mixed"]
+    passage = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(260))
+    rows = [(k, t, *range(9)) for k, t in enumerate([f"one {passage}", f"two {passage}", "same" * 60, "same" * 60, None, None, ""])]
+    docs = spark.createDataFrame(rows, ", ".join(f"{n} {'string' if n == 'text' else 'long'}" for n in names))
+    out = op4_repeats.without_repeats(docs).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans) for r in out] == [x[:3] for x in brute.without_repeats([r[1] for r in rows])]
+    assert all((r.copied, r.spans, r.text_id, r["_id"], r.h2, r.lo, r.mixed) == (0, 1, 3, 4, 5, 6, 8) for r in out)
+    kept = op4_repeats.stripped(docs).orderBy("doc_id")
+    assert kept.columns == names and [tuple(r)[2:] for r in kept.collect()] == [r[2:] for r in rows]
+
+
+def test_repeats_in_texts_of_megabytes(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    passage = " ".join(word() for _ in range(60))
+    long = " ".join(word() for _ in range(330_000))
+    long = long[: 1 << 20][:-100] + passage + long[1 << 20 :]  # over the end of a piece
+    rows = [(0, long), (1, "before " + passage + " behind"), (2, long[5:3000] + "?")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in op4_repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (len(long), len(passage) + 2995, 2), 1: (len(passage) + 14, len(passage), 1), 2: (2996, 2995, 1)}
+
+
+def test_texts_that_share_a_hash_are_told_apart(spark, docs, rows, monkeypatch):
+    # a first hash of a few values only
+    monkeypatch.setattr(op4_repeats.F, "xxhash64", lambda *c, real=F.xxhash64: F.pmod(real(*c), F.lit(40)) if len(c) == 1 else real(*c))
+    want = Counter((r[0], *x[:3]) for r, x in zip(rows, brute.without_repeats([r[1] for r in rows])))
+    out = op4_repeats.without_repeats(docs, ["doc_id", "text"]).select("doc_id", "n_bytes", "n_removed", "n_spans")
+    assert Counter(tuple(r) for r in out.collect()) == want
+
+
 def test_languages(spark, nothing, docs):
     rng = random.Random(6)
     parts = {"aa": ["ka", "ki", "ko", "ta", "ti"], "bb": ["sch", "ung", "ein", "ver", "ich"], "cc": ["que", "eau", "oir", "ment", "les"]}
@@ -174,74 +204,6 @@ def test_rows_stay_where_no_language_is_learned(spark):
         assert {r.doc_id for r in op5_language.language_kept(docs).collect()} == {held, 200, 201}
 
 
-@pytest.mark.parametrize("tokens", [1_000_000, 500])
-def test_katz(docs, rows, nothing, monkeypatch, tokens):
-    monkeypatch.setattr(op6_katz, "RUN_TOKENS", tokens)
-    lists = [(r[0], [*brute.words(r[1]), "</s>"]) for r in rows]
-    train = [(d, w) for d, w in lists if zlib.crc32(str(d).encode()) % 10]
-    c = Counter(x for _, w in train for x in w)
-    pairs = Counter(p for _, w in train for p in zip(["<s>", *w], w))
-    total, size = sum(c.values()), len(c)
-    d1, d2 = op6_katz.discounts(Counter(c.values())), op6_katz.discounts(Counter(pairs.values()))
-    cut = lambda n, d: d[n] * n if n < len(d) else n
-    kept = sum(cut(n, d1) for n in c.values())
-    free = max(1 - kept / total, 0.5 / (total + 1))
-    p1 = lambda w: cut(c[w], d1) * (1 - free) / kept if w in c else free
-    after = defaultdict(dict)
-    for (h, w), n in pairs.items():
-        if n >= op6_katz.PAIR_FLOOR:
-            after[h][w] = cut(n, d2)
-    seen = {**c, "<s>": len(train)}
-    model = {}
-    for h, x in after.items():
-        rest = max(1 - sum(x.values()) / seen[h], 0.5 / (seen[h] + 1))
-        model[h] = (seen[h] * (1 - rest) / sum(x.values()), rest / max(1 - sum(map(p1, x)), 1e-12))
-
-    def p(h, w):
-        if h not in model:
-            return p1(w)
-        return model[h][0] * after[h][w] / seen[h] if w in after[h] else model[h][1] * p1(w)
-
-    for h in list(model)[:20]:
-        assert sum(p(h, w) for w in c) + p(h, "\0") == pytest.approx(1)
-    got = op6_katz.scored(docs).collect()
-    assert len(got) == len(rows)
-    by_id = {r.doc_id: r for r in got}
-    for d, w in lists:
-        r = by_id[d]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(x in c for x in w), total)
-        assert r.base_score == pytest.approx(sum(log10((c[x] + 0.1) / (total + 0.1 * (size + 1))) for x in w))
-        assert r.score == pytest.approx(sum(log10(p(h, x)) for h, x in zip(["<s>", *w], w)))
-    assert op6_katz.scored(nothing).count() == 0
-
-
-def test_katz_pairs_seen_once(spark):
-    rng = random.Random(8)
-    lists = [(d, [*(f"w{min(int(rng.expovariate(0.1)), 60)}" for _ in range(30)), "</s>"]) for d in range(40)]
-    train = [w for d, w in lists if zlib.crc32(str(d).encode()) % 10]
-    c = Counter(x for w in train for x in w)
-    pairs = Counter(p for w in train for p in zip(["<s>", *w], w))
-    assert sum(n == 1 for n in pairs.values()) > len(pairs) / 2
-    d1, d2 = op6_katz.discounts(Counter(c.values())), op6_katz.discounts(Counter(pairs.values()))
-    cut = lambda n, d: d[n] * n if n < len(d) else n
-    kept = sum(cut(n, d1) for n in c.values())
-    free = max(1 - kept / sum(c.values()), 0.5 / (sum(c.values()) + 1))
-    p1 = lambda w: cut(c[w], d1) * (1 - free) / kept if w in c else free
-    seen = {**c, "<s>": len(train)}
-
-    def p(h, w):
-        after = {x: cut(n, d2) for (g, x), n in pairs.items() if g == h}
-        if not after:
-            return p1(w)
-        rest = max(1 - sum(after.values()) / seen[h], 0.5 / (seen[h] + 1))
-        return after[w] * (1 - rest) / sum(after.values()) if w in after else rest / max(1 - sum(map(p1, after)), 1e-12) * p1(w)
-
-    docs = spark.createDataFrame([(d, " ".join(w[:-1])) for d, w in lists], "doc_id long, text string")
-    got = {r.doc_id: r.score for r in op6_katz.scored(docs).collect()}
-    for d, w in lists:
-        assert got[d] == pytest.approx(sum(log10(p(h, x)) for h, x in zip(["<s>", *w], w)))
-
-
 def test_cotraining(spark, nothing):
     rng = random.Random(8)
     rows, labels = [], []
