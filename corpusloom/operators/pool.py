@@ -44,6 +44,8 @@ class Call:
     turns: Pool
     generation: int
     granted: int | None = None
+    #: Whether less than FLOOR was left when the call claimed: it may only say so.
+    exhausted: bool = False
     done: bool = False
 
     def claim(self, hint: int) -> int:
@@ -52,12 +54,14 @@ class Call:
         with p.lock:
             if self.generation != p.generation:
                 self.granted = min(hint, FLOOR)
+                self.exhausted = True
                 return self.granted
             used = p.spent + p.reserved
             left = max(0, p.pool - used)
             share = max(left // max(1, p.unclaimed), FLOOR)
             hard = max(0, p.cap - used) if p.cap is not None else share
             self.granted = min(hint, share, hard)
+            self.exhausted = left < FLOOR or p.cap is not None and hard < FLOOR
             p.unclaimed = max(0, p.unclaimed - 1)
             p.reserved += self.granted
             return self.granted

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 from dataclasses import asdict, dataclass, field, replace
@@ -18,8 +19,9 @@ from corpusloom.operators import glob as globs
 from corpusloom.operators import outline as outlines
 from corpusloom.operators import read as reads
 from corpusloom.operators import report, search
+from corpusloom.operators.pool import Pool, stub
 from corpusloom.operators.search import Search
-from corpusloom.plans.budget import BudgetTooSmall, largest_fitting, page_rows, resolve
+from corpusloom.plans.budget import GLOBAL, BudgetTooSmall, largest_fitting, page_rows, resolve
 from corpusloom.sources.corpus import Corpus
 from corpusloom.sources.paths import from_windows, resolved, shown
 from corpusloom.sources.tree import sealed, tree_corpus, tree_files
@@ -91,8 +93,28 @@ def cut_line(line: str, most: int = READ_CHARS) -> str:
 class Engine:
     """Tools whose paths are relative to root; pages stay within the budgets that the environment sets."""
 
-    def __init__(self, spark: SparkSession, root: str, counter: TokenCounter | None = None, env: dict[str, str] | None = None):
-        self.spark, self.root, self.count, self.env = spark, root, counter or TokenCounter(), env
+    def __init__(self, spark: SparkSession, root: str, counter: TokenCounter | None = None, env: dict[str, str] | None = None, pool: Pool | None = None):
+        """pool: what the calls of a turn share, through call()."""
+        self.spark, self.root, self.count, self.env, self.pool = spark, root, counter or TokenCounter(), env, pool
+
+    def call(self, tool: str, **arguments) -> Page:
+        """A page of a tool within its share of the turn's pool; where that is used up, a message that says so and the same call again."""
+        if tool not in ("search", "glob", "read", "outline"):
+            raise ConfigError(f"unknown tool {tool!r}")
+        if self.pool is None:
+            return getattr(self, tool)(**arguments)
+        with self.pool.begin() as call:
+            allowed = call.claim(resolve(tool, self.env))
+            page = None
+            if not call.exhausted:
+                share = Engine(self.spark, self.root, self.count, {f"{GLOBAL}_{tool.upper()}": str(allowed)})
+                with contextlib.suppress(BudgetTooSmall):
+                    page = getattr(share, tool)(**arguments)
+            if page is None:
+                text = stub(allowed, self.count)
+                page = Page(text, Terminal("partial", "calls", 0, 0), self.count(text), allowed, {"tool": tool, "arguments": arguments})
+            call.complete(page.returned)
+            return page
 
     def _path(self, path: str | None) -> str:
         found = resolved(self.root, from_windows(path)) if path else self.root

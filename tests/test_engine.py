@@ -285,6 +285,22 @@ def test_pool():
     assert stub(3, len) == "" and len(stub(500, len)) > 30
 
 
+def test_calls_share_the_pool_of_a_turn(spark, tree):
+    now = [0.0]
+    pool = Pool(lambda: now[0], pool=500)
+    (tree / "wide.txt").write_text("".join(f"line {k}\n" for k in range(100)))
+    e = Engine(spark, str(tree), env={}, pool=pool)
+    first = e.call("read", file_path="wide.txt")
+    assert first.truncated and 300 < first.returned <= 500 and pool.spent == first.returned and not pool.active
+    second = e.call("read", file_path="wide.txt", offset=5)
+    assert second.next_call == {"tool": "read", "arguments": {"file_path": "wide.txt", "offset": 5}} and second.returned <= 128
+    now[0] = 2.0
+    assert e.call("read", file_path="a.txt").terminal.state == "complete" and pool.generation == 2
+    with pytest.raises(ConfigError):
+        e.call("status")
+    assert Engine(spark, str(tree), env={}).call("read", file_path="a.txt").text.startswith("1\talpha")
+
+
 def test_budgets():
     assert resolve("read", {}) == 8500 and resolve("read", {"CORPUSLOOM_BUDGET": "10"}) == 10
     for env in ({"CORPUSLOOM_BUDGET": "x"}, {"CORPUSLOOM_BUDGET": "5", "CORPUSLOOM_BUDGET_READ": "6"}):
