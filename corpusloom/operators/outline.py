@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -150,6 +151,7 @@ def braced_symbols(source: str, language: str) -> list[Symbol]:
     for line in lines:
         starts.append(at)
         at += len(line) + 1
+    marks = _Marks(bare)
     out: list[tuple[int, int, Symbol]] = []
     in_body: list[tuple[int, str]] = []  # end offset and label of open definitions
     for k, line in enumerate(lines):
@@ -168,42 +170,60 @@ def braced_symbols(source: str, language: str) -> list[Symbol]:
             if label == "constructor" and inside not in ("class", "enum", "record"):
                 continue
             begin = starts[k] + len(line) - len(line.lstrip())
-            end, has_body = _end(bare, starts[k] + m.end("name"), language)
+            end, has_body = marks.end(starts[k] + m.end("name"), language)
             if language == "cpp" and label in ("struct", "class", "union", "enum") and not has_body:
                 break
             if language == "cpp" and label == "function" and inside in ("class", "struct", "union") and not has_body:
                 label = "method" if re.match(r"^\s*(?:(?:virtual|static|inline|constexpr)\s+)*[\w:<>,&*\s]+?[\s&*]+~?\w+\s*\(", line) else "function"
-            last = bare.count("\n", 0, end) + 1
+            last = bisect_left(starts, end + 1)
             out.append((begin, end, Symbol(m["name"], label, 1, k + 1, last, signature(originals[k]))))
             in_body.append((end, label))
             break
-    for i, (a, b, s) in enumerate(out):
-        s.depth = 1 + sum(1 for c, d, _ in out[:i] if c <= a and d >= b and (c, d) != (a, b))
+    open_: list[tuple[int, int]] = []  # that may hold what begins next
+    for a, b, s in out:
+        open_ = [x for x in open_ if x[1] >= a]
+        s.depth = 1 + sum(1 for c, d in open_ if d >= b and (c, d) != (a, b))
+        open_.append((a, b))
     return [s for _, _, s in out]
 
 
-def _end(bare: str, at: int, language: str) -> tuple[int, bool]:
-    """The last offset of a definition whose name ends at `at`, and whether it has a body in braces."""
-    depth = round_ = 0
-    for i in range(at, len(bare)):
-        c = bare[i]
-        if c in "([":
-            round_ += 1
-        elif c in ")]":
-            round_ -= 1
-        elif c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if depth == 0 and round_ <= 0:
-                return i, True
-            if depth < 0:
-                return max(at, i - 1), False
-        elif c == ";" and depth == 0 and round_ <= 0:
-            return i, False
-        elif c == "\n" and language == "go" and depth == 0 and round_ <= 0:
-            return i - 1, False
-    return len(bare) - 1, False
+class _Marks:
+    """Brackets, semicolons and line breaks of a text, found once, with the brace that closes each."""
+
+    def __init__(self, bare: str):
+        found = [(m.start(), m[0]) for m in re.finditer(r"[()\[\]{};\n]", bare)]
+        self.size = len(bare)
+        self.at, self.kind = [x for x, _ in found], [c for _, c in found]
+        self.round = [0]  # open round and square brackets before each mark
+        self.close: dict[int, int] = {}
+        open_: list[int] = []
+        for k, c in enumerate(self.kind):
+            self.round.append(self.round[-1] + (c in "([") - (c in ")]"))
+            if c == "{":
+                open_.append(k)
+            elif c == "}" and open_:
+                self.close[open_.pop()] = k
+
+    def end(self, at: int, language: str) -> tuple[int, bool]:
+        """The last offset of a definition whose name ends at `at`, and whether it has a body in braces; what is in braces is passed over."""
+        k = bisect_left(self.at, at)
+        before = self.round[k]
+        while k < len(self.at):
+            c, inner = self.kind[k], self.round[k] - before
+            if c == "{":
+                if k not in self.close:
+                    break
+                k = self.close[k]
+                if self.round[k] <= before:
+                    return self.at[k], True
+            elif c == "}":
+                return max(at, self.at[k] - 1), False
+            elif c == ";" and inner <= 0:
+                return self.at[k], False
+            elif c == "\n" and language == "go" and inner <= 0:
+                return self.at[k] - 1, False
+            k += 1
+        return self.size - 1, False
 
 
 def outline(source: str, language: str) -> list[Symbol]:
