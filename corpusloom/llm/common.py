@@ -61,7 +61,7 @@ def released(spark: SparkSession) -> None:
     """Ask the driver to collect garbage, so that shuffle files of finished jobs are deleted; what one pass finds is only freed by the next."""
     for _ in range(3):
         spark._jvm.System.gc()
-        time.sleep(0.5)
+        time.sleep(0.1)
 
 
 @contextlib.contextmanager

@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import BYTE_VALUES, Words, by_arrow, dropped, groups, lists, mix, released, slices, stored
+from corpusloom.llm.common import BYTE_VALUES, Words, by_arrow, dropped, groups, lists, mix, parts_of_rows, released, stored
 from corpusloom.llm.components import components
 
 #: Threshold as a ratio of integers, and words in a shingle.
@@ -28,9 +28,9 @@ NUM, DEN, WORDS = 4, 5, 5
 HOT = 500_000
 #: Shingles (8 bytes each) and sets of a block's chunk, and shingles of a run of which frequent ones are counted.
 CHUNK, CHUNK_SETS, COUNTED = 1_500_000, 256, 2_000_000
-#: Rows of one or two longs that are broadcast at most; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 FANOUT = 8
+#: Bytes of sets that a worker gives at once.
+SHIPPED = 1 << 23
 #: Prefixes are longer by a share of 1/LONGER, so that similar sets share as many of their keys.
 LONGER = 20
 
@@ -38,13 +38,31 @@ LONGER = 20
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each row; fewer than k words are one shingle, none an empty set."""
     w = Words(data, at)
-    n = len(w.hashes)
+    return _of_words(w.hashes, w.first, k)
+
+
+def sets_of(column: pa.Array, k: int = WORDS) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(first row, end row, sets) of a column; of a long text only the hashes of its words are held together."""
+    held: list[np.ndarray] = []
+    for a, b, data, at, first, last in parts_of_rows(column):
+        if first and last:
+            yield a, b, shingle_sets(data, at, k)
+            continue
+        held.append(Words(data, at).hashes)
+        if last:
+            words = np.concatenate(held)
+            held = []
+            yield a, b, _of_words(words, np.array([0, len(words)]), k)
+
+
+def _of_words(hashes: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
+    n = len(hashes)
     rolled = np.zeros(n, np.uint64)
-    for j in range(k):
-        rolled[: n - j] += w.hashes[j:] * (BYTE_VALUES[j] | np.uint64(1))
+    for j in range(min(k, n)):
+        rolled[: n - j] += hashes[j:] * (BYTE_VALUES[j] | np.uint64(1))
     rolled = mix(rolled)
     out = []
-    first = w.first.tolist()
+    first = first.tolist()
     for a, b in zip(first, first[1:]):
         if b - a >= k:
             s = np.sort(rolled[a : b - k + 1])
@@ -53,19 +71,21 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, k: int = WORDS) -> list[np.nd
             np.not_equal(s[1:], s[:-1], out=keep[1:])
             out.append(s[keep])
         elif b > a:
-            part = w.hashes[a:b] * (BYTE_VALUES[: b - a] | np.uint64(1))
+            part = hashes[a:b] * (BYTE_VALUES[: b - a] | np.uint64(1))
             out.append(mix(part.sum(dtype=np.uint64, keepdims=True) + BYTE_VALUES[100 + b - a : 101 + b - a]))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
 
 
-def set_id(s: np.ndarray) -> int:
-    """A hash of a set, as a signed 64-bit integer."""
+def set_id(s: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set, as signed 64-bit integers."""
     if not len(s):
-        return 0
-    both = mix(s).sum(dtype=np.uint64, keepdims=True) * BYTE_VALUES[7] + np.bitwise_xor.reduce(mix(s ^ BYTE_VALUES[9]), keepdims=True) + np.uint64(len(s))
-    return int(mix(both).view(np.int64)[0])
+        return 0, 0
+    x, y = mix(s), mix(s ^ BYTE_VALUES[9])
+    sums = np.array([x.sum(dtype=np.uint64), np.bitwise_xor.reduce(x), y.sum(dtype=np.uint64), np.bitwise_xor.reduce(y)], np.uint64)
+    both = mix(sums[[0, 2]] * BYTE_VALUES[7] + mix(sums[[1, 3]]) + np.uint64(len(s))).view(np.int64)
+    return int(both[0]), int(both[1])
 
 
 def _frequent(k: int):
@@ -79,8 +99,7 @@ def _frequent(k: int):
             return pa.RecordBatch.from_arrays([pa.array(x[much].view(np.int64)), pa.array(n[much].astype(np.int64)), pa.array(np.where(np.arange(much.sum()) == 0, size, 0).astype(np.int64))], ["h", "n", "total"])
 
         for batch in batches:
-            for _, _, data, at in slices(batch.column(0)):
-                sets = shingle_sets(data, at, k)
+            for _, _, sets in sets_of(batch.column(0), k):
                 held += sets
                 size += sum(map(len, sets))
                 if size >= COUNTED:
@@ -99,9 +118,9 @@ def _signed(frequent: Broadcast, k: int):
         hot = frequent.value
         for batch in batches:
             ids = batch.column(0)
-            for a, b, data, at in slices(batch.column(1)):
+            for a, b, sets in sets_of(batch.column(1), k):
                 ns, names, keys = [], [], []
-                for s in shingle_sets(data, at, k):
+                for s in sets:
                     n = len(s)
                     ns.append(n)
                     names.append(set_id(s))
@@ -114,21 +133,51 @@ def _signed(frequent: Broadcast, k: int):
                         s = rare if len(rare) >= p else np.concatenate((rare, s[often]))
                     keys.append(s[:p])
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(ns, pa.int64()), pa.array(names, pa.int64()), lists(flat.view(np.int64), np.array([len(x) for x in keys]), pa.int64())], ["doc_id", "n_shingles", "set_id", "keys"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(ns, pa.int64()), *(pa.array([x[i] for x in names], pa.int64()) for i in (0, 1)), lists(flat.view(np.int64), np.array([len(x) for x in keys]), pa.int64())], ["doc_id", "n_shingles", "set_id", "set_id2", "keys"])
 
     return f
 
 
-def _sets(k: int):
+def _shipped(names: list[str], k: int):
+    """A row with its set for each place that a document goes to; to: a list of places, which have these names."""
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, at in slices(batch.column(1)):
-                sets = shingle_sets(data, at, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "members"])
+            ids, to = batch.column("doc_id").to_pylist(), batch.column("to")
+            at, places = to.offsets.to_numpy(), to.values
+            fields = [places.field(n).to_numpy() for n in names]
+            rows: list[tuple[int, int]] = []
+            members: list[bytes] = []
+            size = 0
+
+            def made() -> pa.RecordBatch:
+                place = np.array([p for _, p in rows], np.int64)
+                return pa.RecordBatch.from_arrays([*(pa.array(x[place]) for x in fields), pa.array([ids[i] for i, _ in rows], pa.int64()), pa.array(members, pa.binary())], [*names, "doc_id", "members"])
+
+            for a, _, sets in sets_of(batch.column("text"), k):
+                for i, s in enumerate(sets, a):
+                    data = s.tobytes()
+                    for p in range(at[i], at[i + 1]):
+                        rows.append((i, p))
+                        members.append(data)
+                        size += len(data)
+                        if size >= SHIPPED:
+                            yield made()
+                            rows, members, size = [], [], 0
+            if rows:
+                yield made()
 
     return f
 
 
+def shipped(text: DataFrame, places: DataFrame, k: int) -> DataFrame:
+    """places (doc_id and longs) with the set of each document: texts are joined once, by doc_id, and sets are made behind that."""
+    names = [c for c in places.columns if c != "doc_id"]
+    to = places.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("to"))  # at most as many as a document has prefix keys, times chunks
+    joined = text.join(to.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "to")
+    return by_arrow(joined, _shipped(names, k), ", ".join(f"{n} long" for n in names) + ", doc_id long, members binary")
+
+
 class Forest:
     """Disjoint sets over 0..n-1."""
 
@@ -306,8 +355,9 @@ def jaccard_components(docs: DataFrame, k: int = WORDS) -> DataFrame:
 
     Rows whose sets have Jaccard similarity of at least NUM/DEN are linked;
     component_id is the least doc_id reachable. A null or empty text has an
-    empty set and is its own component. Rows with one doc_id count as one
-    document. A row without a doc_id gets the component of an equal set, or
+    empty set and is its own component. Equal sets, by two hashes of 64 bits and
+    their size, are one class. Rows with one doc_id count as one document, so its
+    texts are linked. A row without a doc_id gets the component of an equal set, or
     null. Repeated rows give repeated rows, an empty table none; other columns
     are ignored.
     """
@@ -319,11 +369,17 @@ def jaccard_components(docs: DataFrame, k: int = WORDS) -> DataFrame:
     # at most 2 * HOT values of 8 bytes, by the floor on n
     hot = np.sort(counts.where(F.col("n") >= max(2, total // (2 * HOT))).select("h").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
     dropped(counts)
-    sig = stored(by_arrow(text, _signed(spark.sparkContext.broadcast(hot), k), "doc_id long, n_shingles long, set_id long, keys array<long>"))
+    sig = stored(by_arrow(text, _signed(spark.sparkContext.broadcast(hot), k), "doc_id long, n_shingles long, set_id long, set_id2 long, keys array<long>"))
+    same = ["set_id", "set_id2", "n_shingles"]
+    # what is needed once prefix keys are dealt
+    plain = stored(sig.select("doc_id", *same))
     # one document of each class of equal sets takes part; rows without a doc_id only belong to classes
-    classes = stored(sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")))
-    few = classes.count() <= BROADCAST_IDS
-    keyed = sig.join(F.broadcast(classes) if few else classes, ["doc_id", "set_id"], "left_semi").select("doc_id", "n_shingles", F.explode("keys").alias("key"))
+    classes = stored(plain.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("doc_id")))
+    # joined in one way at every size: nothing that grows with documents is broadcast
+    one = stored(sig.join(classes.hint("shuffle_hash"), ["doc_id", *same], "left_semi").select("doc_id", "n_shingles", "keys"))
+    dropped(sig)
+    released(spark)
+    keyed = one.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").count().where("count > 1").select("key")
     # sizes of a linked pair differ by DEN/NUM at most, so both lie in one band of two neighbouring powers of it
     step = F.floor(F.log("n_shingles") / float(np.log(DEN / NUM)) + 1e-9)
@@ -338,45 +394,53 @@ def jaccard_components(docs: DataFrame, k: int = WORDS) -> DataFrame:
     up_to = F.sum("w").over(of_doc.orderBy("w", "lead").rowsBetween(Window.unboundedPreceding, 0))
     weights = stored(weights.withColumn("c", up_to).withColumn("all", F.sum("w").over(of_doc)).where((F.col("all") >= least) & (F.col("c") * 2 > least - 1)).select("lead", "doc_id"))
     members = stored(weights.join(weights.groupBy("lead").count().where("count > 1").select("lead"), "lead", "left_semi"))
+    dropped(one)
+    dropped(weights)
     released(spark)
-    few = members.count() <= BROADCAST_IDS
-    dealt_to = F.broadcast(members) if few else members
-    wanted = members.select("doc_id").distinct()
-    texts = text.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    sets = by_arrow(texts, _sets(k), "doc_id long, members binary")
-    sizes = sig.select("doc_id", F.col("n_shingles").alias("n")).where("doc_id is not null")
-    blocks = sizes.join(dealt_to, "doc_id").groupBy("lead").agg((F.floor(F.greatest(F.sum("n") / CHUNK, F.count("*") / CHUNK_SETS)) + 1).alias("chunks")).where("chunks > 1")
-    blocks = stored(blocks)
-    full = sets.join(dealt_to, "doc_id").join(blocks, "lead", "left")
-    chunk = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).when(F.col("doc_id") == F.col("lead"), F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), "chunks").cast("int")))
-    dealt = full.select("lead", F.explode(chunk).alias("chunk"), F.col("chunks").isNotNull().alias("many"), "doc_id", "members")
-    dealt = dealt.repartition("lead", "chunk").sortWithinPartitions("lead", "chunk", "doc_id")
+    sizes = plain.select("doc_id", F.col("n_shingles").alias("n")).where("doc_id is not null")
+    chunks = F.floor(F.greatest(F.sum("n") / CHUNK, F.count("*") / CHUNK_SETS)) + 1
+    blocks = stored(sizes.join(members.hint("shuffle_hash"), "doc_id").groupBy("lead").agg(chunks.alias("chunks")).where("chunks > 1"))
+    own = F.pmod(F.xxhash64("doc_id"), "chunks")
+    every = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
+    chunk = F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).when(F.col("doc_id") == F.col("lead"), every).otherwise(F.array(own))
+    places = members.join(blocks, "lead", "left").select("doc_id", "lead", F.explode(chunk).alias("chunk"), F.col("chunks").isNotNull().cast("long").alias("many"))
+    dealt = shipped(text, places, k).repartition("lead", "chunk").sortWithinPartitions("lead", "chunk", "doc_id")
     edges = stored(by_arrow(dealt, _solve, "u long, v long, block long"))
+    released(spark)
     links = edges.where("v is not null").select("u", "v")
     if blocks.limit(1).count():
         # members that no chunk linked to their block's lead meet all its chunks
-        own = F.pmod(F.xxhash64("doc_id"), "chunks").cast("int")
-        far = edges.where("v is null").select(F.col("block").alias("lead"), F.col("u").alias("doc_id")).distinct().join(sets, "doc_id").join(blocks, "lead")
+        far = edges.where("v is null").select(F.col("block").alias("lead"), F.col("u").alias("doc_id")).distinct().join(blocks, "lead")
         parts = far.select("lead", own.alias("part")).distinct()
-        near = sets.join(dealt_to, "doc_id").join(blocks, "lead").withColumn("chunk", own).join(parts, "lead")
-        cross = far.select("lead", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).alias("chunk"), own.alias("part"), F.lit(1).alias("side"), "doc_id", "members")
-        cross = cross.union(near.select("lead", "chunk", "part", F.lit(0), "doc_id", "members")).where("chunk <> part")
-        links = links.union(by_arrow(cross.repartition("lead", "chunk", "part").sortWithinPartitions("lead", "chunk", "part"), _solve_across, "u long, v long, block long").select("u", "v"))
+        near = members.join(blocks, "lead").withColumn("chunk", own).join(parts, "lead").select("doc_id", "lead", "chunk", "part", F.lit(0).cast("long").alias("side"))
+        cross = far.select("doc_id", "lead", F.explode(every).alias("chunk"), own.alias("part"), F.lit(1).cast("long").alias("side")).unionByName(near).where("chunk <> part")
+        order = ["lead", "chunk", "part"]
+        sets = shipped(text, cross, k).repartition(*order).sortWithinPartitions(*order)
+        across = stored(by_arrow(sets, _solve_across, "u long, v long, block long"))
+        released(spark)
+        links = links.union(across.select("u", "v"))
     found = components(links).toDF("rep", "root")
     released(spark)
-    plain = stored(sig.select("doc_id", "n_shingles", "set_id"))
-    for t in (sig, weights, members, blocks, edges):
+    for t in (members, blocks, edges):
         dropped(t)
-    rows = plain.join(classes.withColumnRenamed("doc_id", "rep"), "set_id", "left").join(found, "rep", "left")
+    rows = plain.join(classes.withColumnRenamed("doc_id", "rep").hint("merge"), same, "left").join(found.hint("merge"), "rep", "left")
     # components() names a component by its least member, here its least doc_id
     return rows.select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"))
 
 
 def near_duplicates_removed(docs: DataFrame) -> DataFrame:
-    """docs without the members of near-duplicate groups other than the one with the least doc_id (ties: one row)."""
+    """docs without the members of near-duplicate groups other than the one with the least doc_id.
+
+    Of rows with one doc_id and text one stays. Rows without a doc_id stay, since
+    none of them can be named. Texts without words (null, empty) are no
+    duplicates; an empty table gives none; columns keep their values, whatever
+    their names.
+    """
+    clash = {c: f"_kept_{c}" for c in docs.columns if c in ("n_shingles", "component_id", "n")}
+    docs = docs.withColumnsRenamed(clash)
     found = jaccard_components(docs).where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(found, "doc_id", "left_anti")
     repeated = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"))
-    if not repeated.limit(1).count():
-        return kept.select(*docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
+    if repeated.limit(1).count():
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.select(*docs.columns).withColumnsRenamed({v: k for k, v in clash.items()})
