@@ -6,7 +6,9 @@ piece that no merge across its left edge would have taken apart. (Pieces
 follow each other in an encoding exactly if each neighbouring pair is its own
 encoding.) Only a window of the longest piece's length is kept: ids are
 committed as soon as all paths that survive in it go through one boundary,
-as they do at every change between letters, digits and other characters.
+as they do at every change between letters, digits and other characters. So a
+text falls into parts, each of which is searched by itself; distinct parts of
+many texts are searched once and remembered.
 """
 
 from __future__ import annotations
@@ -16,18 +18,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from corpusloom.llm.common import buffers, lists, ragged, row_ranges
+
 SPACE = "▁"
-#: Parts whose ids a Python worker remembers, and the longest of them.
-MEMORY, LONGEST = 1_200_000, 64
+#: Bytes of text encoded at once; parts whose ids a Python worker remembers, and their bytes; pairs of pieces that it remembers.
+SLICE, MEMORY, MEMORY_BYTES, PAIRS = 1 << 22, 1_000_000, 1 << 25, 400_000
 #: Characters between two looks for a boundary that all paths share.
 STEP = 64
 
 # Latin letters, digits, and all other characters
 _LATIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f\u1e00-\u1eff"
 _CLASSES = rf"(?:[{_LATIN}]+|[0-9]+|[^{_LATIN}0-9{SPACE}]+)"
+_OTHER, _LETTER, _DIGIT, _GAP = range(4)
+_OF_BYTE = np.zeros(256, np.uint8)
+_OF_BYTE[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_OF_BYTE[0x30:0x3A] = _DIGIT
+_OF_BYTE[0x20] = _GAP
+_OF_BYTE[0xC4:0xC9] = _LETTER  # U+0100 to U+023F
+
+
+def classes(data: np.ndarray) -> np.ndarray:
+    """The class of each byte's character, as _CLASSES has it."""
+    out = _OF_BYTE[data]
+    if not len(data) or data.max() < 0x80:
+        return out
+    after = np.append(data[1:], [0]).astype(np.uint8)
+    out[(data == 0xC3) & (after != 0x97) & (after != 0xB7)] = _LETTER  # but for the signs of multiplication and division
+    out[(data == 0xC9) & (after < 0x90)] = _LETTER
+    out[(data == 0xE1) & (after >= 0xB8) & (after <= 0xBB)] = _LETTER
+    bar = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81))  # U+2581
+    out[bar] = _GAP
+    inside = np.flatnonzero((data & 0xC0) == 0x80)
+    for _ in range(3):
+        out[inside] = out[inside - 1]
+    return out
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -68,10 +96,14 @@ class Pieces:
             self.whole[i], self.sides[i] = self._last_merge(p, i)
         single = re.compile(rf"{SPACE}*{_CLASSES}?")
         # pieces of one class each: paths meet wherever the class changes
-        apart = all(single.fullmatch(p) for p in self.ids)
-        self.parts = re.compile(rf"{SPACE}*{_CLASSES}|{SPACE}+" if apart else rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.apart = all(single.fullmatch(p) for p in self.ids)
         self.fit: dict[int, bool] = {}
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.parts = pa.array([], pa.binary())
+        self.flat = np.zeros(0, np.uint32)
+        self.start = np.zeros(1, np.int64)  # of each part's ids, and the end
 
     def _last_merge(self, p: str, i: int) -> tuple[bool, tuple[int, int]]:
         """Whether merging its characters gives the piece itself, and the two pieces of the last merge."""
@@ -91,6 +123,8 @@ class Pieces:
         key = a << 20 | b
         found = self.fit.get(key)
         if found is None:
+            if len(self.fit) >= PAIRS:
+                self.fit.clear()
             found = self.fit[key] = self._follows(a, b)
         return found
 
@@ -160,21 +194,75 @@ class Pieces:
             i = back[i]
         return out[::-1]
 
+    def _learned(self, new: pa.Array) -> None:
+        """Search new parts and remember their ids."""
+        flat, sizes = [self.flat], []
+        for p in new.to_pylist():
+            ids = np.fromiter(self.search(p.decode().replace(" ", SPACE)), np.uint32)
+            flat.append(ids)
+            sizes.append(len(ids))
+        self.parts = pa.concat_arrays([self.parts, new])
+        self.flat = np.concatenate(flat)
+        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(np.array(sizes, np.int64))))
+
+    def _rows(self, parts: pa.Array) -> np.ndarray:
+        """Rows of distinct parts in what is remembered."""
+        at = pc.index_in(parts, value_set=self.parts)
+        if at.null_count:
+            if len(self.parts) + at.null_count > MEMORY or self.parts.nbytes + parts.nbytes > MEMORY_BYTES:
+                self._forget()
+                self._learned(parts)
+                return np.arange(len(parts))
+            self._learned(parts.filter(at.is_null()))
+            at = pc.index_in(parts, value_set=self.parts)
+        return at.to_numpy().astype(np.int64)
+
+    def encode_bytes(self, data: np.ndarray, at: np.ndarray, first: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in one buffer, as the model's library gives them, and how many each has; first: whether texts begin here, or go on."""
+        size = np.diff(at)
+        if self.prefixed and first:  # a space before each text that isn't empty
+            full = size > 0
+            data = np.insert(data, at[:-1][full], 0x20)
+            at = at + np.concatenate(([0], np.cumsum(full)))
+        n = len(data)
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(len(size), np.int64)
+        kind = classes(data)
+        if not self.apart:
+            kind = np.where(kind == _GAP, _GAP, _OTHER)
+        begins = np.zeros(n, bool)
+        begins[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != _GAP)
+        begins[at[:-1][at[:-1] < n]] = True
+        begins = np.flatnonzero(begins)
+        offsets = np.append(begins, n).astype(np.int32)
+        found = pa.BinaryArray.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        row = self._rows(found.dictionary)[found.indices.to_numpy()]
+        count = self.start[row + 1] - self.start[row]
+        ends = np.concatenate(([0], np.cumsum(count)))[np.searchsorted(begins, at)]
+        return self.flat[ragged(self.start[row], count)], np.diff(ends)
+
+    def rows(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, end row, ids, counts) of a column's rows, null as empty; a text longer than SLICE is encoded in parts that begin with a space."""
+        for a, b in row_ranges(column, SLICE):
+            data, at = buffers(column.slice(a, b - a))
+            data, at = data[at[0] : at[-1]], at - at[0]
+            if len(data) <= SLICE:
+                yield a, b, *self.encode_bytes(data, at)
+                continue
+            gap = classes(data) == _GAP
+            cuts = np.flatnonzero(gap[1:] & ~gap[:-1]) + 1
+            out, begin = [], 0
+            while begin < len(data):
+                k = int(np.searchsorted(cuts, begin + SLICE))
+                end = int(cuts[k]) if k < len(cuts) else len(data)
+                out.append(self.encode_bytes(data[begin:end], np.array([0, end - begin]), not begin)[0])
+                begin = end
+            ids = np.concatenate(out)
+            yield a, b, ids, np.array([len(ids)])
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text, as the model's library gives them."""
-        if not text:
-            return np.zeros(0, np.uint32)
-        parts = self.parts.findall((SPACE if self.prefixed else "") + text.replace(" ", SPACE))
-        known = self.known
-        for p in set(parts).difference(known):
-            if len(known) >= MEMORY:
-                known.clear()
-            if len(p) <= LONGEST:
-                known[p] = np.fromiter(self.search(p), np.uint32).tobytes()
-        try:
-            return np.frombuffer(b"".join(map(known.__getitem__, parts)), np.uint32)
-        except KeyError:  # long parts, and those forgotten meanwhile
-            return np.concatenate([np.frombuffer(known[p], np.uint32) if p in known else np.fromiter(self.search(p), np.uint32) for p in parts])
+        return next(self.rows(pa.array([text], pa.string())))[2]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; byte pieces that don't make characters become U+FFFD; ids that the model lacks are an error."""
@@ -196,21 +284,17 @@ def loaded(path: str) -> Pieces:
 def encoded(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """docs with a column of the ids of its text, by the model file at path, which executors must be able to read.
 
-    A null or empty text has no ids; repeated rows are encoded each; an empty
-    table gives none; other columns pass through, and one with the new name is replaced.
+    A null or empty text has no ids; a text of any length is encoded in parts;
+    repeated rows are encoded each; an empty table gives none; other columns pass through, and one with the new name is replaced.
     """
     rest = docs.drop(ids)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(path)
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                some = batch.slice(a, 500)
-                got = [model.encode(x or "") for x in some.column("text").to_pylist()]
-                at = np.zeros(len(got) + 1, np.int32)
-                np.cumsum([len(x) for x in got], out=at[1:])
-                flat = np.concatenate([np.zeros(0, np.uint32), *got]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], [*some.schema.names, ids])
+            for a, b, flat, counts in model.rows(batch.column("text")):
+                some = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*some.columns, lists(flat.astype(np.int32), counts, pa.int32())], [*some.schema.names, ids])
 
     return rest.mapInArrow(f, StructType([*rest.schema.fields, StructField(ids, ArrayType(IntegerType()))]))
 
