@@ -44,6 +44,16 @@ TEMPLATES = {
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-text",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl-header",
     "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "cc0-text",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license": "lgpl-header",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license": "agpl-header",
+    "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at": "mpl-2.0-header",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc-text",
+    "this is free and unencumbered software released into the public domain": "unlicense-text",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license": "bsl-1.0-text",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa-4.0-notice",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability": "mit-warranty",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties": "bsd-warranty",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "zlib-warranty",
 }
 
 
