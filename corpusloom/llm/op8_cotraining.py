@@ -2,10 +2,10 @@
 
 One classifier sees a document's text (hashed words and shape), another its
 metadata (source, language, length). Both start from a bounded sample of
-labelled rows; in rounds, each labels rows of an unlabelled sample of which it
-is confident, for the other to learn from. On labelled rows that were kept
-apart each view is calibrated, and the calibrated views together score every
-document.
+labelled rows. In each round both score all documents without a label; the ones
+that a view is most sure of are what the other learns from next, and the words
+of the text view are chosen anew. On labelled rows that were kept apart each
+view is calibrated, and the calibrated views together score every document.
 """
 
 from __future__ import annotations
@@ -15,19 +15,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import BYTE_VALUES, by_arrow, powers, slices
+from corpusloom.llm.common import BYTE_VALUES, by_arrow, parts_of_rows, powers
 
-#: Rows that the classifiers are fitted on, about: labelled ones and unlabelled ones.
-LABELLED, UNLABELLED = 12_000, 6_000
+#: Labelled rows that the classifiers are fitted on, about.
+LABELLED = 12_000
 #: Buckets of hashed words, and of metadata.
 BUCKETS, META = 1 << 20, 1 << 11
-#: Words that the text view knows at most, and how far their share of a class must be off, in standard errors.
-CHOSEN, STRIKING = 4_096, 5.0
-#: Rounds, pseudo-labels of a class that a view gives in one, and their least probability.
-ROUNDS, GIVEN, SURE = 3, 400, 0.97
+#: How far a word's share of a class must be off for the text view to know it, in standard errors.
+STRIKING = 5.0
+#: Rounds, pseudo-labels of a class that a view gives in one, their least probability, and parts in which the surest are looked for.
+ROUNDS, GIVEN, SURE, PARTS = 2, 400, 0.97, 64
 #: Every so many'th labelled row is kept apart to calibrate.
 APART = 5
 TARGETS = ("quality", "toxic")
@@ -44,8 +45,8 @@ _GAP[[0x20, 9, 10, 11, 12, 13]] = True
 SHAPE, BINS = 7, 64
 
 
-def text_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row: distinct word buckets (flat, with counts by row), and SHAPE numbers between 0 and about 1."""
+def text_sums(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows: (row, word bucket) as one number, distinct and in order; and by row the numbers of words, letters, capitals, marks and bytes."""
     rows = len(at) - 1
     low = _FOLD[data]
     word = _LETTER[data]
@@ -59,19 +60,27 @@ def text_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     h ^= h >> np.uint64(29)
     bucket = ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(44)).astype(np.int64) % BUCKETS
     doc = np.searchsorted(at, starts, "right") - 1
-    n = np.bincount(doc, minlength=rows)
-    pairs = np.unique(doc * BUCKETS + bucket)
-    distinct = np.bincount(pairs // BUCKETS, minlength=rows)
-    size = np.maximum(1, np.diff(at))
     sums = lambda flags: np.diff(np.concatenate(([0], np.cumsum(flags)))[at])
-    letters = sums(word)
+    numbers = np.stack([np.bincount(doc, minlength=rows), sums(word), sums(_UP[data]), sums(~word & ~_GAP[data]), np.diff(at)], axis=1)
+    return np.unique(doc * BUCKETS + bucket), numbers
+
+
+def _shaped(pairs: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    distinct = np.bincount(pairs // BUCKETS, minlength=len(numbers))
+    n, letters, capitals, marks, size = numbers.T
+    words, size = np.maximum(1, n), np.maximum(1, size)
     shape = np.stack([
-        np.log1p(n) / 10, distinct / np.maximum(1, np.sqrt(n) * 10), distinct / np.maximum(1, n), sums(_UP[data]) / size,
-        letters / size, sums(~word & ~_GAP[data]) / size, letters / np.maximum(1, n) / 10,
+        np.log1p(n) / 10, distinct / np.maximum(1, np.sqrt(n) * 10), distinct / words, capitals / size,
+        letters / size, marks / size, letters / words / 10,
     ], axis=1)
     return pairs % BUCKETS, distinct, shape
 
 
+def text_features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row: distinct word buckets (flat, with counts by row), and SHAPE numbers between 0 and about 1."""
+    return _shaped(*text_sums(data, at))
+
+
 def meta_buckets(source: str | None, lang: str | None, size: int | None) -> list[int]:
     """Buckets of a row's metadata."""
     of = lambda x: zlib.crc32(x.encode()) % META
@@ -130,15 +139,14 @@ def calibration(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def striking(words: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Buckets of words whose presence goes with a class, the most striking ones, in order."""
+    """Buckets of words whose presence goes with a class, in order."""
     ones = np.bincount(np.concatenate([np.zeros(0, np.uint32), *(w for w, t in zip(words, y) if t > 0)]).astype(np.int64), minlength=BUCKETS)
     none = np.bincount(np.concatenate([np.zeros(0, np.uint32), *(w for w, t in zip(words, y) if t <= 0)]).astype(np.int64), minlength=BUCKETS)
     n1, n0 = (y > 0).sum(), (y <= 0).sum()
     n = ones + none
     off = ones * (n0 / (n0 + n1)) - none * (n1 / (n0 + n1))  # above what is to be expected
     z = np.abs(off) * np.sqrt((n0 + n1) ** 3 / np.maximum(1.0, n * (n0 + n1 - n) * float(n0) * n1))
-    some = np.flatnonzero(z >= STRIKING)
-    return np.sort(some[np.argsort(-z[some], kind="stable")[:CHOSEN]])
+    return np.flatnonzero(z >= STRIKING)
 
 
 class Known:
@@ -165,10 +173,16 @@ class Rows:
     """Features of sampled rows, both views."""
 
     def __init__(self, t: pa.Table):
+        """From the columns of FEATURES."""
         of = lambda c, kind: [np.frombuffer(x, kind) for x in t.column(c).to_pylist()]
         self.words, self.shape = of("words", np.uint32), np.array(of("shape", np.float32), np.float64).reshape(-1, SHAPE)
         self.meta = np.array(of("meta", np.int32)).reshape(-1, 3)
 
+    def add(self, other: Rows) -> None:
+        """Rows behind those there are."""
+        self.words += other.words
+        self.shape, self.meta = (np.concatenate(x) for x in ((self.shape, other.shape), (self.meta, other.meta)))
+
     def view(self, k: int, at: np.ndarray, known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if k:
             return self.meta[at].ravel(), np.full(len(at), 3), np.zeros((len(at), 0))
@@ -183,42 +197,47 @@ class CoTrained:
         """y: 0 or 1, or NaN for rows without a label."""
         labelled = np.flatnonzero(~np.isnan(y))
         self.prior = float((np.nansum(y) + 1) / (len(labelled) + 2))
-        self.views: list[Linear] = []
         self.fits = [(0.0, self.log_prior)] * 2
-        self.given = [0, 0]
-        if len(np.unique(y[labelled])) < 2:
-            self.known = Known(np.zeros(0, np.int64))
-            self.views = [Linear(self.known.size, SHAPE), Linear(META, 0)]
+        self.known = Known(np.zeros(0, np.int64))
+        self.views = [Linear(self.known.size, SHAPE), Linear(META, 0)]
+        self.learns = len(np.unique(y[labelled])) == 2
+        if not self.learns:
             return
-        apart = labelled[::APART] if len(np.unique(y[labelled[::APART]])) == 2 else labelled
-        train = np.setdiff1d(labelled, apart) if len(apart) < len(labelled) else labelled
+        self.apart = labelled[::APART] if len(np.unique(y[labelled[::APART]])) == 2 else labelled
+        train = np.setdiff1d(labelled, self.apart) if len(self.apart) < len(labelled) else labelled
         if len(np.unique(y[train])) < 2:
             train = labelled
-        pool = np.flatnonzero(np.isnan(y))
-        self.known = Known(striking([rows.words[i] for i in train], y[train]))
-        known = [(train, y[train])] * 2
-        for turn in range(ROUNDS + 1):
-            self.views, self.fits = [], []
-            for k in (0, 1):
-                at, t = known[k]
-                model = Linear(*((self.known.size, SHAPE), (META, 0))[k]).fit(*rows.view(k, at, self.known), t, np.ones(len(at)))
-                self.views.append(model)
-                self.fits.append(calibration(model.logits(*rows.view(k, apart, self.known)), y[apart]))
-            if turn == ROUNDS or not len(pool):
-                break
-            new = []
-            for k in (0, 1):
-                a, b = self.fits[k]
-                z = a * self.views[k].logits(*rows.view(k, pool, self.known)) + b
-                gain = z - self.log_prior  # confident, and because of the row rather than the prior
-                limit = np.log(SURE / (1 - SURE))
-                up = np.argsort(-z, kind="stable")[:GIVEN]
-                down = np.argsort(z, kind="stable")[:GIVEN]
-                up, down = up[(z[up] > limit) & (gain[up] > 1)], down[(z[down] < -limit) & (gain[down] < -1)]
-                new.append((np.concatenate((up, down)), np.concatenate((np.ones(len(up)), np.zeros(len(down))))))
-            known = [(np.concatenate((known[k][0], pool[new[1 - k][0]])), np.concatenate((known[k][1], new[1 - k][1]))) for k in (0, 1)]
-            self.given = [self.given[k] + len(new[k][0]) for k in (0, 1)]
-            pool = np.delete(pool, np.unique(np.concatenate((new[0][0], new[1][0]))))
+        self.y = y[self.apart]
+        #: Of each view: rows that it learns from, and their labels.
+        self.taught = [(train, y[train])] * 2
+        self.fit(rows)
+
+    def fit(self, rows: Rows) -> None:
+        """Both views, from what each is taught; the words that the text view knows are chosen first."""
+        if not self.learns:
+            return
+        at, t = self.taught[0]
+        self.known = Known(striking([rows.words[i] for i in at], t))
+        self.views, self.fits = [], []
+        for k in (0, 1):
+            at, t = self.taught[k]
+            model = Linear(*((self.known.size, SHAPE), (META, 0))[k]).fit(*rows.view(k, at, self.known), t, np.ones(len(at)))
+            self.views.append(model)
+            self.fits.append(calibration(model.logits(*rows.view(k, self.apart, self.known)), self.y))
+
+    def teach(self, view: int, at: np.ndarray, labels: np.ndarray) -> None:
+        """Rows, by number, that the other view has given labels to."""
+        if self.learns and len(at):
+            self.taught[view] = tuple(np.concatenate(x) for x in zip(self.taught[view], (at, labels)))
+
+    def sure(self, views: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """For each view its log odds of rows; 0 where it isn't sure, because of the row rather than the prior."""
+        out, limit = [], np.log(SURE / (1 - SURE))
+        for (a, b), model, x in zip(self.fits, self.views, [self.known.of(*views[0]), views[1]]):
+            z = a * model.logits(*x) + b
+            gain = z - self.log_prior
+            out.append(np.where(self.learns & (np.abs(z) > limit) & (z * gain > 0) & (np.abs(gain) > 1), z, 0.0))
+        return out
 
     @property
     def log_prior(self) -> float:
@@ -233,35 +252,109 @@ class CoTrained:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+FEATURES = "words binary, shape binary, meta binary"
+
+
+def _views(column: pa.Array, extra: list[list]) -> Iterator[tuple[int, int, list]]:
+    """(first row, end row, both views' features) of slices of a column of texts; extra: source, lang and n_chars of its rows."""
+    held: list[tuple] = []
+    for a, b, data, at, first, last in parts_of_rows(column):
+        if first and last:
+            words = text_features(data, at)
+        else:  # of a long text, parts are summed
+            held.append(text_sums(data, at))
+            if not last:
+                continue
+            words = _shaped(*(np.unique(np.concatenate(x)) if k == 0 else np.sum(x, axis=0) for k, x in enumerate(zip(*held))))
+            held = []
+        meta = np.array([meta_buckets(*(c[i] for c in extra)) for i in range(a, b)]).ravel()
+        yield a, b, [words, (meta, np.full(b - a, 3), np.zeros((b - a, 0)))]
+
+
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """FEATURES of rows behind their own columns other than those the views see."""
     for batch in batches:
         extra = [batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")]
-        for a, b, data, at in slices(batch.column("text")):
-            flat, counts, shape = text_features(data, at)
+        rest = [c for c in batch.schema.names if c not in ("text", "source", "lang", "n_chars")]
+        for a, b, ((flat, counts, shape), (meta, _, _)) in _views(batch.column("text"), extra):
             cut = np.concatenate(([0], np.cumsum(counts)))
             words = [flat[x:y].astype(np.uint32).tobytes() for x, y in zip(cut, cut[1:])]
-            meta = [np.array(meta_buckets(*(c[i] for c in extra)), np.int32).tobytes() for i in range(a, b)]
+            metas = [x.astype(np.int32).tobytes() for x in meta.reshape(-1, 3)]
             shapes = [x.astype(np.float32).tobytes() for x in shape]
-            yield pa.RecordBatch.from_arrays([batch.column(t).slice(a, b - a) for t in TARGETS] + [pa.array(x, pa.binary()) for x in (words, shapes, meta)], [*TARGETS, "words", "shape", "meta"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in rest] + [pa.array(x, pa.binary()) for x in (words, shapes, metas)], [*rest, "words", "shape", "meta"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> dict[str, CoTrained]:
-    """A model for each of TARGETS from about so many labelled and unlabelled rows, chosen by a hash of doc_id.
+#: A row that a view is sure of: target and view and label as one number, log odds, and the row's name.
+SURE_OF = "code int, z double, doc_id long, h long"
 
-    A doc_id with several labels counts as their mean, rounded; null labels are none.
+
+def _confident(models: Broadcast):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            extra = [batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")]
+            ids, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "h"))
+            for a, b, views in _views(batch.column("text"), extra):
+                for k, t in enumerate(TARGETS):
+                    for view, z in enumerate(models.value[t].sure(views)):
+                        at = np.flatnonzero(z)
+                        code = k * 4 + view * 2 + (z[at] > 0)
+                        yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(np.abs(z[at])), pa.array(ids[a:b][at].astype(np.int64)), pa.array(h[a:b][at])], ["code", "z", "doc_id", "h"])
+
+    return f
+
+
+def _surest(sure: DataFrame, given: int) -> DataFrame:
+    """Of each code the `given` rows with the greatest odds, ties by name: first in parts, then of what these leave."""
+    order = [F.desc("z"), "doc_id", "h"]
+    for parts in (["code", F.pmod(F.xxhash64("doc_id", "h"), F.lit(PARTS))], ["code"]):
+        sure = sure.withColumn("k", F.row_number().over(Window.partitionBy(*parts).orderBy(*order))).where(F.col("k") <= given).drop("k")
+    return sure
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict[str, CoTrained]:
+    """A model for each of TARGETS from about so many labelled rows, chosen by a hash of doc_id, and from all rows without a label.
+
+    A doc_id with several labels counts as their mean, rounded; null labels are
+    none, and rows without a doc_id take no part. To the driver come the
+    labelled rows' features and in each round at most GIVEN rows for each
+    target, view and class.
     """
-    draw = F.pmod(F.xxhash64(F.lit("fit8"), "doc_id"), F.lit(1_000_000))
-    n_labels, n_docs = labels.count(), docs.count()
-    part = min(1.0, labelled / max(1, n_labels)) * 1_000_000
-    known = labels.where("doc_id is not null").where(draw < part).groupBy("doc_id").agg(*(F.round(F.avg(t)).alias(t) for t in TARGETS))
+    spark = docs.sparkSession
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("fit8"), "doc_id"), 11) / F.lit(float(1 << 53))
+    labels = labels.where("doc_id is not null")
+    n_labels = labels.count()
+    known = labels.where(draw < min(1.0, labelled / max(1, n_labels))).groupBy("doc_id").agg(*(F.round(F.avg(t)).alias(t) for t in TARGETS))
     # at most about `labelled` rows
-    with_label = docs.join(F.broadcast(known), "doc_id")
-    rest = min(1.0, unlabelled / max(1, n_docs)) * 1_000_000
-    other = F.broadcast(labels.where("doc_id is not null").where(draw < rest).select("doc_id").distinct())
-    without = docs.where(draw < rest).join(other, "doc_id", "left_anti").select("*", *(F.lit(None).cast("double").alias(t) for t in TARGETS))
-    t = by_arrow(with_label.unionByName(without), _featured, "quality double, toxic double, words binary, shape binary, meta binary").toArrow()
+    some = docs.where("doc_id is not null").join(F.broadcast(known), "doc_id").drop("doc_id")
+    t = by_arrow(some.select("text", "source", "lang", "n_chars", *TARGETS), _featured, ", ".join(f"{t} double" for t in TARGETS) + ", " + FEATURES).toArrow()
     rows = Rows(t)
-    return {k: CoTrained(rows, t.column(k).to_numpy().astype(np.float64)) for k in TARGETS}
+    models = {k: CoTrained(rows, t.column(k).to_numpy().astype(np.float64)) for k in TARGETS}
+    named = docs.where("doc_id is not null").withColumn("h", F.xxhash64("text"))
+    # never more than ROUNDS * GIVEN rows for each target, view and class
+    used = spark.createDataFrame([], "doc_id long, h long")
+    for _ in range(ROUNDS):
+        if not any(m.learns for m in models.values()):
+            break
+        now = spark.sparkContext.broadcast(models)
+        sure = by_arrow(named, _confident(now), SURE_OF)
+        sure = sure.join(labels.select("doc_id").distinct(), "doc_id", "left_anti").join(F.broadcast(used), ["doc_id", "h"], "left_anti").distinct()
+        best = _surest(sure, GIVEN).select("code", "doc_id", "h").toPandas()
+        if not len(best):
+            break
+        names = spark.createDataFrame(list({(int(d), int(h)) for d, h in zip(best.doc_id, best.h)}), "doc_id long, h long")
+        used = used.unionByName(names)
+        got = by_arrow(named.join(F.broadcast(names), ["doc_id", "h"], "left_semi").select("doc_id", "h", "text", "source", "lang", "n_chars"), _featured, "doc_id long, h long, " + FEATURES).toArrow()
+        place = {}
+        for i, name in enumerate(zip(got.column("doc_id").to_pylist(), got.column("h").to_pylist())):
+            place.setdefault(name, len(rows.words) + i)
+        rows.add(Rows(got))
+        for code, mine in best.groupby("code"):
+            at = np.array([place[int(d), int(h)] for d, h in zip(mine.doc_id, mine.h)], np.int64)
+            # what one view is sure of, the other learns
+            models[TARGETS[code // 4]].teach(1 - code // 2 % 2, at, np.full(len(at), float(code % 2)))
+        for m in models.values():
+            m.fit(rows)
+    return models
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -270,7 +363,9 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     kept: quality is likelier than not and toxicity is not. Null text is
     empty and null metadata values of their own; without labels of both classes
     a score is the prior of those there are; repeated rows are scored each; an
-    empty table gives no rows; other columns are ignored.
+    empty table gives no rows; other columns are ignored. Of rows that a view is
+    as sure of, those with the least doc_id teach. Long texts are looked at in
+    parts.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
@@ -279,9 +374,7 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             extra = [batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")]
-            for a, b, data, at in slices(batch.column("text")):
-                meta = np.array([meta_buckets(*(c[i] for c in extra)) for i in range(a, b)]).ravel()
-                views = [text_features(data, at), (meta, np.full(b - a, 3), np.zeros((b - a, 0)))]
+            for a, b, views in _views(batch.column("text"), extra):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *(pa.array(models.value[t].scores(views)) for t in TARGETS)], ["doc_id", "quality_score", "toxic_score"])
 
     out = by_arrow(docs, f, "doc_id long, quality_score double, toxic_score double")
