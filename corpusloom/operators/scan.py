@@ -94,14 +94,15 @@ def carried(edges: list[dict], by: list[str], totals: list[str]) -> dict[int, li
     return out
 
 
-def running(rows: DataFrame, by: list[str], order: list[str], totals: dict[str, str]) -> DataFrame:
+def running(rows: DataFrame, by: list[str], order: list[str], totals: dict[str, str], ranged: list[str] | None = None) -> DataFrame:
     """rows with, for each item (name: column) of totals, the column's sum over the rows of the same key up to and with this one.
 
     by and order are columns that can be sorted, nulls first; a null key is a
     key, and a null amount is 0. Rows that are equal in all of them stand in some
     order and in one task, so the order should be total where they can be many.
-    Sums are of 64 bits. The driver gets two rows for each range. An empty table
-    gives an empty one.
+    Sums are of 64 bits. The driver gets two rows for each range, and a sample of
+    the columns that rows are ranged by: where those are long texts, ranged names
+    others that sort alike. An empty table gives an empty one.
     """
     keys = [*dict.fromkeys([*by, *order])]
     schema = T.StructType([*rows.schema.fields, *(T.StructField(t, T.LongType()) for t in totals), *_EDGES])
@@ -109,7 +110,7 @@ def running(rows: DataFrame, by: list[str], order: list[str], totals: dict[str,
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return running_batches(batches, by, totals, TaskContext.get().partitionId())
 
-    done = stored(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(f, schema))
+    done = stored(rows.repartitionByRange(*(ranged or keys)).sortWithinPartitions(*keys).mapInArrow(f, schema))
     # two rows for each range
     edges = [r.asDict() for r in done.where("_edge > 0").select(*by, *totals, "_block", "_head", "_edge").collect()]
     carry = carried(edges, by, list(totals))
