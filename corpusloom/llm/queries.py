@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import op1_pieces, op2_jaccard, op3_quality, op4_repeats, op5_language, op6_katz, op7_embeddings, op8_cotraining, op9_packing, op10_licenses, op11_trie, op13_annulus
+from corpusloom.llm import op1_pieces, op2_jaccard, op3_quality, op4_repeats, op5_language, op6_katz, op7_embeddings, op8_cotraining, op9_packing, op10_licenses, op11_trie, op12_toxicity, op13_annulus
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,13 +75,19 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, and where the worst sentence of each begins."""
+    out = op12_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumn("n_offending", F.size("offending").cast("long")).drop("offending")
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of all vectors."""
     return op13_annulus.clustered(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_jaccard_join, op3_quality_rules, op4_suffix_dedup, op5_language_id, op6_katz_scores, op7_vector_dedup, op8_quality_classifier, op9_packing_pieces, op10_license_scan, op11_prefix_trie, op13_centroid_clusters)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_jaccard_join, op3_quality_rules, op4_suffix_dedup, op5_language_id, op6_katz_scores, op7_vector_dedup, op8_quality_classifier, op9_packing_pieces, op10_license_scan, op11_prefix_trie, op12_toxicity_scores, op13_centroid_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:

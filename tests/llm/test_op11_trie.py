@@ -90,3 +90,20 @@ def test_a_list_of_ends_that_spans_ranges(spark):
     for i in ids:
         want.setdefault(b"n" if i % 10 else bytes([i % 256, 1]), []).append(i)
     assert got == {k: hashlib.sha256(",".join(map(str, v)).encode()).hexdigest() for k, v in want.items()}
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_parts_of_lists_of_any_cut(monkeypatch, size):
+    import pyarrow as pa
+
+    monkeypatch.setattr(op, "CHUNK", 12)
+    rows = [(bytes([n]), i) for n, many in enumerate((1, 2, 40, 1, 7, 30)) for i in range(n * 3, n * 3 + many)]
+    made = []
+    for part in (rows[:20], rows[20:45], rows[45:]):  # ranges begin and end inside a node's list
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part[a : a + size]], pa.binary()), pa.array([r[1] for r in part[a : a + size]])], ["node", "conv_id"]) for a in range(0, len(part), size)]
+        made += [r for b in op._ends(iter(batches)) for r in b.to_pylist()]
+    parts = sorted((r for r in made if r["hash"] is None), key=lambda r: (r["node"], r["first"]))
+    table = pa.RecordBatch.from_arrays([pa.array([r[c] for r in parts], k) for c, k in (("node", pa.binary()), ("first", pa.int64()), ("part", pa.binary()))], ["node", "first", "part"])
+    got = {r["node"]: r["hash"] for r in made if r["hash"]} | {r["node"]: r["hash"] for b in op._digested(iter([table])) for r in b.to_pylist()}
+    assert got == {n: hashlib.sha256(",".join(str(i) for m, i in rows if m == n).encode()).hexdigest() for n in {r[0] for r in rows}}
+    assert max(len(r["part"]) for r in parts) < 40 or size == 1000
