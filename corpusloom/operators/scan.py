@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from corpusloom.sources.scratch import stored
 
-_EDGES = [T.StructField("_block", T.IntegerType()), T.StructField("_head", T.BooleanType()), T.StructField("_edge", T.IntegerType())]
+_EDGES = [T.StructField("_scan_block", T.IntegerType()), T.StructField("_scan_head", T.BooleanType()), T.StructField("_scan_edge", T.IntegerType())]
 
 
 def differs(column: pa.Array) -> np.ndarray:
@@ -73,23 +73,20 @@ def running_batches(batches: Iterator[pa.RecordBatch], by: list[str], totals: di
 def _made(held: tuple, totals: dict[str, str], block: int) -> pa.RecordBatch:
     batch, columns, in_head, edge = held
     extra = [pa.array(np.full(batch.num_rows, block, np.int32)), pa.array(in_head), pa.array(edge)]
-    return pa.RecordBatch.from_arrays([*batch.columns, *columns, *extra], [*batch.schema.names, *totals, "_block", "_head", "_edge"])
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns, *extra], [*batch.schema.names, *totals, "_scan_block", "_scan_head", "_scan_edge"])
 
 
 def carried(edges: list[dict], by: list[str], totals: list[str]) -> dict[int, list[int]]:
     """For each range that begins inside a key: what that key has gathered in the ranges before."""
     out: dict[int, list[int]] = {}
     key, sums = None, None
-    first = {}
-    for e in sorted(edges, key=lambda e: (e["_block"], e["_edge"] != 1 and e["_edge"] != 3)):
+    for e in sorted(edges, key=lambda e: (e["_scan_block"], e["_scan_edge"] == 2)):
         k = tuple(e[c] for c in by)
-        if e["_edge"] in (1, 3):
-            first[e["_block"]] = k
-            if sums is not None and k == key:
-                out[e["_block"]] = sums
-        if e["_edge"] in (2, 3):
+        if e["_scan_edge"] in (1, 3) and sums is not None and k == key:
+            out[e["_scan_block"]] = sums
+        if e["_scan_edge"] in (2, 3):
             own = [e[t] for t in totals]
-            carry = out.get(e["_block"]) if e["_head"] else None
+            carry = out.get(e["_scan_block"]) if e["_scan_head"] else None
             key, sums = k, [a + b for a, b in zip(own, carry)] if carry else own
     return out
 
@@ -112,13 +109,13 @@ def running(rows: DataFrame, by: list[str], order: list[str], totals: dict[str,
 
     done = stored(rows.repartitionByRange(*(ranged or keys)).sortWithinPartitions(*keys).mapInArrow(f, schema))
     # two rows for each range
-    edges = [r.asDict() for r in done.where("_edge > 0").select(*by, *totals, "_block", "_head", "_edge").collect()]
+    edges = [r.asDict() for r in done.where("_scan_edge > 0").select(*by, *totals, "_scan_block", "_scan_head", "_scan_edge").collect()]
     carry = carried(edges, by, list(totals))
     if not carry:
-        return done.drop("_block", "_head", "_edge")
+        return done.drop("_scan_block", "_scan_head", "_scan_edge")
     names = [f"_carry_{t}" for t in totals]
-    table = rows.sparkSession.createDataFrame([(b, *c) for b, c in carry.items()], "_block int, " + ", ".join(f"{n} long" for n in names))
+    table = rows.sparkSession.createDataFrame([(b, *c) for b, c in carry.items()], "_scan_block int, " + ", ".join(f"{n} long" for n in names))
     # at most a row for each range
-    joined = done.join(F.broadcast(table), "_block", "left")
-    sums = [(F.col(t) + F.when(F.col("_head"), F.coalesce(F.col(n), F.lit(0))).otherwise(0)).alias(t) for t, n in zip(totals, names)]
+    joined = done.join(F.broadcast(table), "_scan_block", "left")
+    sums = [(F.col(t) + F.when(F.col("_scan_head"), F.coalesce(F.col(n), F.lit(0))).otherwise(0)).alias(t) for t, n in zip(totals, names)]
     return joined.select(*rows.columns, *sums)

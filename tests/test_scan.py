@@ -53,7 +53,7 @@ def test_any_cut_into_ranges_and_batches(pairs, cuts, size):
         batches = [pa.RecordBatch.from_pydict({"k": [r[0] for r in part[i : i + size]], "n": [r[1] for r in part[i : i + size]]}) for i in range(0, len(part), size)]
         for out in scan.running_batches(iter(batches), ["k"], {"t": "n"}, block):
             done += out.to_pylist()
-    carry = scan.carried([r for r in done if r["_edge"]], ["k"], ["t"])
-    got = [r["t"] + (carry.get(r["_block"], [0])[0] if r["_head"] else 0) for r in done]
+    carry = scan.carried([r for r in done if r["_scan_edge"]], ["k"], ["t"])
+    got = [r["t"] + (carry.get(r["_scan_block"], [0])[0] if r["_scan_head"] else 0) for r in done]
     want = [sum(n for k, n in rows[: i + 1] if k == rows[i][0]) for i in range(len(rows))]
     assert got == want
