@@ -14,7 +14,7 @@ from corpusloom.errors import ConfigError, EncodingError
 from corpusloom.functions.decode import decoded, is_magic
 from corpusloom.functions.lines import READ_CHARS
 from corpusloom.functions.spans import python_pattern, spans_of
-from corpusloom.functions.tokens import TokenCounter
+from corpusloom.functions.tokens import PrefixCounter, TokenCounter
 from corpusloom.operators import glob as globs
 from corpusloom.operators import outline as outlines
 from corpusloom.operators import read as reads
@@ -171,33 +171,40 @@ class Engine:
         entries = [r for r in rows if not content or "is_match" not in r or r["is_match"]]
         total = None if more else offset + len(entries)
         if not entries:
-            total = search.result(corpus, s).count() if offset else 0
+            every = search.result(corpus, s)
+            total = (every.where("is_match") if "is_match" in every.columns else every).count() if offset else 0
             note = "No matches." if not offset else f"Nothing at offset {offset}; {plural(total or 0, unit)} in all."
             return self._finish(Page(None, Terminal("complete", unit, 0, 0, total, note + notes + self._skip_note(skipped)), skip_report=skipped), budget, "search")
 
-        def render(k: int, around: bool = True, most: int = 2000) -> str:
+        deepest = max(s.around)
+
+        def render(k: int, depth: int = deepest, most: int = 2000) -> str:
             part = more or k < len(entries)
-            body = self._content(rows, entries[:k], s, line_numbers, around, most, headers) if content else "\n".join(r.rel if s.output_mode == "files_with_matches" else f"{r.rel}:{r.occurrences}" for r in entries[:k])
+            body = self._content(rows, entries[:k], s, line_numbers, depth, most, headers) if content else "\n".join(r.rel if s.output_mode == "files_with_matches" else f"{r.rel}:{r.occurrences}" for r in entries[:k])
             if s.output_mode == "count":
                 body += f"\n\n{plural(sum(r.occurrences for r in entries[:k]), 'occurrence')} shown"
             return f"{body}\n\n({self._shown(unit, offset + 1, offset + k, None if more else total, part)}{notes}{self._skip_note(skipped)})"
 
-        around, most = True, 2000
-        k = largest_fitting(len(entries), lambda n: self.count(render(n)) <= budget)
-        if not k:  # one entry: less context, then less of its line
-            around, k = False, 1
-            most = largest_fitting(1999, lambda n: self.count(render(1, False, n)) <= budget)
+        depth, most = deepest, 2000
+        fits = lambda k, *how: self.count(render(k, *how)) <= budget
+        k = largest_fitting(len(entries), fits)
+        if not k:  # one entry: as much context as fits, and where none does, less of its line
+            k = 1
+            if fits(1, 0):
+                depth = largest_fitting(deepest, lambda d: fits(1, d))
+            else:
+                depth, most = 0, largest_fitting(1999, lambda n: fits(1, 0, n))
             if not most:
                 raise BudgetTooSmall("search", budget, "the first entry")
         partial = more or k < len(entries)
         next_call = {"tool": "search", "arguments": (args or {}) | {"offset": offset + k}} if partial else None
-        page = Page(render(k, around, most), Terminal("partial" if partial else "complete", unit, offset + 1, offset + k, total), next_call=next_call, skip_report=skipped)
+        page = Page(render(k, depth, most), Terminal("partial" if partial else "complete", unit, offset + 1, offset + k, total), next_call=next_call, skip_report=skipped)
         return self._finish(page, budget, "search")
 
     def _with_context(self, corpus: Corpus, s: Search, limit: int, offset: int):
-        """Lines around the entries of a page: the entries first, then the blocks that hold them."""
-        plain = replace(s, context=0)
-        entries, more = search.page(corpus, plain, limit, offset)
+        """Lines around the entries of a page: the entries first, of files that aren't skipped for what they show with their context, then the blocks that hold them."""
+        found = search.matching_lines(corpus, s).where("is_match").orderBy(F.desc("mtime_ns"), "rel", "line_no").offset(offset).limit(limit + 1).collect()
+        entries, more = found[:limit], len(found) > limit
         keys = self.spark.createDataFrame([(r.rel, r.line_no) for r in entries], "rel string, entry long")
         before, after = s.around
         lines = search.matching_lines(corpus, s)
@@ -206,12 +213,12 @@ class Engine:
         rows = near.orderBy(F.desc("mtime_ns"), "rel", "line_no").withColumn("is_match", F.col("hit") == 1).collect()
         return rows, more
 
-    def _content(self, rows: list, entries: list, s: Search, numbers: bool, around: bool, most: int, headers: bool = True) -> str:
+    def _content(self, rows: list, entries: list, s: Search, numbers: bool, depth: int, most: int, headers: bool = True) -> str:
         wanted = {(r.rel, r.line_no) for r in entries} if entries and "line_no" in entries[0] else None
         p = python_pattern(s.regex(self.spark))
         out: list[str] = []
         last_rel, last_no = None, None
-        before, after = s.around
+        before, after = (min(n, depth) for n in s.around)
         if wanted is None or s.only_matching or s.multiline:
             for r in entries:
                 if r.rel != last_rel and headers:
@@ -224,12 +231,12 @@ class Engine:
         for r in rows:
             key = (r.rel, r.line_no)
             hit = key in wanted
-            near = around and any((r.rel, n) in wanted for n in range(r.line_no - after, r.line_no + before + 1))
+            near = any((r.rel, n) in wanted for n in range(r.line_no - after, r.line_no + before + 1))
             if not hit and not near:
                 continue
             if r.rel != last_rel:
                 out += ([""] if last_rel is not None else []) + [r.rel] if headers else []
-            elif (before or after) and around and r.line_no > last_no + 1:
+            elif (before or after) and r.line_no > last_no + 1:
                 out.append("--")
             last_rel, last_no = r.rel, r.line_no
             text = window(r.line, spans_of(p, r.line), most) if hit else context_line(r.line)
@@ -315,16 +322,24 @@ class Engine:
         last = min(total, first + limit - 1) if limit else total
         cut = [cut_line(x) for x in lines[first - 1 : last]]
 
-        def render(k: int) -> str:
-            state = "Partial: the budget ends here" if k < len(cut) else "Complete: requested window shown"
-            return "".join(f"{first + i}\t{x}\n" for i, x in enumerate(cut[:k])) + f"\n({state}; lines {first}-{first + k - 1} of {total} shown.)"
+        shown = [f"{first + i}\t{x}\n" for i, x in enumerate(cut)]
 
-        k = largest_fitting(len(cut), lambda n: self.count(render(n)) <= budget)
+        def tail(k: int) -> str:
+            state = "Partial: the budget ends here" if k < len(cut) else "Complete: requested window shown"
+            return f"\n({state}; lines {first}-{first + k - 1} of {total} shown.)"
+
+        # line by line, each counted once
+        k, so_far = 0, PrefixCounter(self.count)
+        for i, line in enumerate(shown, 1):
+            if so_far.push(line).total(tail(i)) <= budget:
+                k = i
+            elif so_far.total() > budget:
+                break
         if not k:
             raise BudgetTooSmall("read", budget, "one line")
         end = first + k - 1
         partial = k < len(cut)
-        page = Page(render(k), Terminal("partial" if partial else "complete", "lines", first, end, total), next_call={"file_path": file_path, "offset": end + 1} if partial else None)
+        page = Page("".join(shown[:k]) + tail(k), Terminal("partial" if partial else "complete", "lines", first, end, total), next_call={"file_path": file_path, "offset": end + 1} if partial else None)
         return self._finish(page, budget, "read")
 
     def _read_many(self, files: list[dict], limit: int | None, budget: int) -> Page:

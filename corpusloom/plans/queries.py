@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions.decode import decode_files
 from corpusloom.functions.globs import as_regex
 from corpusloom.functions.lines import SEARCH_BYTES, search_lines
+from corpusloom.functions.tokens import TokenCounter
+from corpusloom.operators import fit
 from corpusloom.operators import glob as globs
 from corpusloom.operators import intervals, outline, read, report, search, turns
 from corpusloom.operators.search import Search
@@ -18,6 +20,8 @@ from corpusloom.sources.corpus import Corpus, documents_corpus, table_corpus
 REL = "source || '/' || lang || '/' || lpad(doc_id::varchar, 8, '0') || '.txt'"
 DOCS = f"d as (select doc_id, {REL} rel, coalesce(text, '') text, strlen(coalesce(text, '')) size from documents)"
 LINES = f"{DOCS}, l as (select rel, doc_id, generate_subscripts(x, 1) line_no, unnest(x) line from (select rel, doc_id, string_split(text, chr(10)) x from d))"
+#: Bytes, and tokens, that a prefix of a file may have.
+BUDGET, TOKENS = 1500, 400
 THE, RARE, SENTENCE = "the", "Eano|Thha", r"\.\n[A-Z]"
 
 MULTILINE = f"""with {DOCS}, m as (select rel, regexp_extract_all(text, '{SENTENCE}') m, string_split_regex(text, '{SENTENCE}') g from d),
@@ -118,6 +122,19 @@ def turn_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.turns(e, "user_id", "ts", 1800).groupBy("user_id", "turn").agg(F.count("*").alias("calls"), F.min("call_id").alias("first_call"))
 
 
+def counter() -> TokenCounter:
+    """The counter of a public vocabulary."""
+    import public_tokenizers
+
+    return TokenCounter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def budget_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each conversation goes within so many bytes."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.octet_length("text").alias("cost"))
+    return fit.budget_prefix(t, "conv_id", "turn", "cost", BUDGET)
+
+
 SOURCES = {
     "a/one.py": "class A:\n    def f(self):\n        def g():\n            pass\n        return g\n\n\ndef h():\n    pass\n",
     "b/two.rs": "pub mod m {\n    pub struct S {\n        x: u8,\n    }\n\n    impl S {\n        pub fn new() -> Self {\n            S { x: 1 }\n        }\n    }\n}\n",
@@ -287,6 +304,19 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         """with o as (select o_custkey, o_orderkey, (o_orderdate::date - date '1970-01-01')::bigint s, (o_orderdate::date - date '1970-01-01')::bigint + floor(o_totalprice / 1000)::bigint e from orders)
         select a.o_custkey, a.o_orderkey, 1 + count(b.o_orderkey) depth from o a left join o b on a.o_custkey = b.o_custkey and b.s <= a.s and b.e >= a.e and (b.s < a.s or b.e > a.e or b.o_orderkey < a.o_orderkey) group by 1, 2""",
     ),
+    "token_lines": (q(lambda c: fit.token_lines(c, counter())), None),
+    "token_budget": (q(lambda c: fit.token_budget(c, counter(), TOKENS)), None),
+    "budget_lines": (
+        q(lambda c: fit.budget_prefix(fit.file_lines(c), "rel", "line_no", "cost", BUDGET)),
+        f"""with {LINES}, n as (select rel, line_no, line, count(*) over (partition by rel) n from l),
+        s as (select rel, line_no, sum(strlen(regexp_replace(line, '\r$', '')) + 1) over (partition by rel order by line_no) s from n where not (line_no = n and line = ''))
+        select rel, (max(line_no) filter (s <= {BUDGET}))::bigint "last", coalesce(max(s) filter (s <= {BUDGET}), 0)::bigint spent from s group by rel""",
+    ),
+    "budget_turns": (
+        budget_turns,
+        f"""with s as (select conv_id, turn, sum(strlen(coalesce(text, ''))) over (partition by conv_id order by turn) s from conversations)
+        select conv_id, max(turn) filter (s <= {BUDGET}) "last", coalesce(max(s) filter (s <= {BUDGET}), 0)::bigint spent from s group by conv_id""",
+    ),
     "turn_sessions": (
         turn_sessions,
         """with g as (select *, case when ts - lag(ts) over w < interval '1800 seconds' then 0 else 1 end new from events window w as (partition by user_id order by ts, event_id)),

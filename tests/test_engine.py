@@ -352,3 +352,50 @@ def test_schemas_are_portable():
     from corpusloom.plans.schemas import TOOLS, portable
 
     assert all(map(portable, TOOLS.values()))
+
+
+def test_a_page_behind_a_file_that_is_skipped_for_its_context(spark, monkeypatch):
+    monkeypatch.setattr(search, "CAPTURED", 30)
+    c = corpus(spark, [("new", 9, "long line before\nhit\nlong line behind\n"), ("old", 1, "hit\n\nhit\n")])
+    e = Engine(spark, "/", env={})
+    s = Search("hit", output_mode="content", context=3)
+    first = e.search_corpus(c, s, head_limit=1)
+    assert "old" in first.text and "new" not in first.text and first.skip_report["files"] == 1
+    assert first.next_call["arguments"]["offset"] == 1
+    second = e.search_corpus(c, s, head_limit=1, offset=1)
+    assert "3: hit" in second.text and second.next_call is None
+    assert e.search_corpus(c, s, head_limit=1, offset=5).terminal.total == 2
+
+
+def test_context_shrinks_before_it_goes(spark):
+    lines = [f"line {i} of some words" for i in range(41)]
+    lines[20] = "the hit"
+    c = corpus(spark, [("f", 1, "\n".join(lines))])
+    e = Engine(spark, "/", env={})
+    sizes = {}
+    for budget in (2000, 300, 150, 60):
+        p = e.search_corpus(c, Search("hit", output_mode="content", context=20), budget=budget)
+        assert p.returned <= budget and "21: the hit" in p.text
+        sizes[budget] = sum(x.split("-")[0].isdigit() for x in p.text.split("\n"))
+    assert sizes[2000] == 40 and 0 < sizes[150] < sizes[300] < 40 and sizes[60] == 0
+    # as much as fits: with one more line on each side it doesn't
+    p = e.search_corpus(c, Search("hit", output_mode="content", context=sizes[300] // 2 + 1), budget=5000)
+    assert p.returned > 300
+
+
+def test_read_pages_by_tokens(spark, tmp_path):
+    import public_tokenizers
+
+    from corpusloom.functions.tokens import TokenCounter
+
+    text = "".join(f"word{i % 7} don't\n" + "\n" * (i % 4) for i in range(300))
+    (tmp_path / "t.txt").write_text(text)
+    count = TokenCounter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    e = Engine(spark, str(tmp_path), count, env={"CORPUSLOOM_BUDGET": "200"})
+    seen, call = [], {"file_path": "t.txt"}
+    while call:
+        p = e.read(**call)
+        assert p.returned == count(p.text) <= 200
+        seen += [x.split("\t", 1)[1] for x in p.text.split("\n") if "\t" in x]
+        call = p.next_call
+    assert seen == text.split("\n")[:-1]
