@@ -5,9 +5,10 @@ their frequency over all documents, rare ones first. A line can hold THRESHOLD
 of a template's words only if it has one of the template's rarest words (prefix
 filter), enough words of templates at all (length filter), and enough words
 left behind the first common one (positional filter); what passes is compared
-exactly. A notice that is wrapped over lines is found by the same prefix words:
-around each, runs of as many words as the template may have at that threshold
-are compared. Phrases are found beside that, by place.
+exactly. A notice that is wrapped over lines, or stands in a longer line, is
+found by the same prefix words: around each, runs of as many words as the
+template may have at that threshold are compared. Phrases are found beside that,
+by place.
 """
 
 from __future__ import annotations
@@ -100,7 +101,7 @@ def placed(text: Column, vocabulary: list[str]) -> Column:
 
 
 def wrapped(spots: DataFrame, prefixes: DataFrame, heads: list[str], least: int, most: int) -> DataFrame:
-    """row, label, line, last_line, lines, containment of the best run around each prefix word, if it meets the threshold and spans lines.
+    """row, label, line, last_line, lines, containment of the best run around each prefix word, if it meets the threshold.
 
     spots: row and what placed() gives. Rows are cut in chunks that overlap by
     the longest run, so none is longer than that, whatever the text.
@@ -128,7 +129,7 @@ def wrapped(spots: DataFrame, prefixes: DataFrame, heads: list[str], least: int,
     def good(near: Column, best: Column) -> Column:
         lines = F.array_distinct(F.transform(F.filter(near, lambda x: x["line"].between(best["line"], best["last_line"])), lambda x: x["line"]))
         found = F.struct(best["line"].alias("line"), best["last_line"].alias("last_line"), lines.alias("lines"), (best["share"] / F.size("words")).alias("containment"))
-        return F.when((best["share"] >= F.col("need")) & (best["line"] < best["last_line"]), found)
+        return F.when(best["share"] >= F.col("need"), found)
 
     def best(near: Column) -> Column:
         starts = F.filter(near, lambda x: x["at"] <= F.col("at"))
@@ -142,13 +143,14 @@ def wrapped(spots: DataFrame, prefixes: DataFrame, heads: list[str], least: int,
 def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks for each row of docs (doc_id, text).
 
-    blocks: (line, label, containment, last_line) of each line that meets the
-    threshold for a template, lines counted from 0, and of each run of reach()
-    words over several lines that meets it with more than any of its lines (for
-    each prefix word the best run, then the shortest); score: the best
-    containment, 0 without any. A null or empty text has no words, labels or
-    blocks; repeated rows give repeated rows; an empty table gives none; other
-    columns are ignored. Long lines are judged whole.
+    blocks: (line, label, containment, last_line) of each line of at most reach()
+    words that meets the threshold for a template, lines counted from 0, and of
+    each run of reach() words, over several lines or within a longer one, that
+    meets it with more than any such line that it touches (for each prefix word
+    the best run, then the shortest, then the first); score: the best containment,
+    0 without any. A null or empty text has no words, labels or blocks; repeated
+    rows give repeated rows; an empty table gives none; other columns are ignored.
+    A line of any length is searched by such runs, never as one set of words.
     """
     spark = docs.sparkSession
     templates_of = {label: t for t, label in templates.items()}
@@ -188,18 +190,19 @@ def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold:
     sizes = [F.size(f"_p{k}") for k in range(len(PHRASES))]
     places = F.concat(*(F.col(f"_p{k}") for k in range(len(PHRASES))))
     base = F.filter(F.array(*(F.when(s > 0, F.lit(v)) for s, v in zip(sizes, PHRASES.values()))), lambda x: x.isNotNull())
-    known = F.transform(F.split(lowered(text), "\n", -1), lambda line, i: F.struct(i.alias("line"), F.array_intersect(literals(order), F.split(line, BREAK, -1)).alias("r")))
+    in_line = lambda line, i: once(split_words(line), lambda w: F.struct(i.alias("line"), F.size(w).alias("n"), F.array_intersect(literals(order), w).alias("r")))
+    known = F.transform(F.split(lowered(text), "\n", -1), in_line)
     out = out.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", sum(sizes).cast("long").alias("n_base"),
         F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), F.array_distinct(base).alias("base"),
-        F.when(F.col("_near"), F.filter(known, lambda x: F.size(x["r"]) >= least)).alias("near"),
+        F.when(F.col("_near"), F.filter(known, lambda x: (F.size(x["r"]) >= least) & (x["n"] <= most))).alias("near"),
         F.when(F.col("_near"), placed(lowered(text), order)).alias("spots"),
     )
     out = stored(out)
 
-    tokens = out.where(F.size("near") > 0).select("row", F.explode("near").alias("b")).select("row", "b.line", "b.r", F.posexplode("b.r").alias("j", "w"))
+    tokens = out.where(F.size("near") > 0).select("row", F.explode("near").alias("b")).select("row", "b.line", "b.n", "b.r", F.posexplode("b.r").alias("j", "w"))
     # one row for each of the few words in prefixes of templates: its size doesn't depend on docs
-    pairs = tokens.join(F.broadcast(prefixes), "w").where(F.size("r") >= F.col("need"))
+    pairs = tokens.join(F.broadcast(prefixes), "w").where((F.size("r") >= F.col("need")) & (F.col("n") <= F.col("reach")))
     pairs = pairs.where(1 + F.least(F.size("words") - F.col("i") - 1, F.size("r") - F.col("j") - 1) >= F.col("need"))
     share = F.size(F.array_intersect("words", "r"))
     blocks = pairs.withColumn("share", share).where("share >= need").groupBy("row", "line", "label").agg(F.first(F.col("share") / F.size("words")).alias("containment"))
@@ -220,24 +223,25 @@ def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold:
 
 
 def oracle_sql() -> str:
-    """SQL that compares each line with each template; it knows no runs over several lines."""
+    """SQL that compares each run of reach() words that begins with a word of a template, in texts that hold enough of them; a line of so many words is within such a run."""
     quoted = lambda s: "'" + s + "'"
     phrases = ", ".join(f"({quoted(p)}, {quoted(v)})" for p, v in PHRASES.items())
-    templates = ", ".join(f"({quoted(' '.join(sorted(set(t.split()))))}, {quoted(v)})" for t, v in TEMPLATES.items())
+    templates = ", ".join(f"({quoted(' '.join(sorted(set(t.split()))))}, {quoted(v)}, {reach(len(t.split()))})" for t, v in TEMPLATES.items())
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     low = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
     return rf"""
 with d as (select row_number() over () r, doc_id, {low} t from documents),
-w as (select r, doc_id, t, regexp_extract_all(t, '{word}') w from d),
+w as materialized (select r, doc_id, t, regexp_extract_all(t, '{word}') w from d),
 p as (select string_split(s, ' ') p, v from (values {phrases}) z(s, v)),
 h as (
   select r, i - 1 i, v from (select r, w, unnest(range(1, len(w) + 1)) i from w where contains(t, 'license') or contains(t, 'cc')), p
   where w[i] = p[1] and list_slice(w, i, i + len(p) - 1) = p),
 b as (select r, count(*) n, min(i) f, max(i) l, list(distinct v) v from h group by r),
-x as (select r, list_distinct(regexp_extract_all(l, '{word}')) l from (select r, unnest(string_split(t, chr(10))) l from d)),
+e as (select string_split(s, ' ') s, v, far from (values {templates}) z(s, v, far)),
+c as materialized (select r, w, s, v, far from (select r, w, list_distinct(w) u from w), e where len(list_intersect(u, s)) / len(s) >= {THRESHOLD} - 1e-9),
+x as (select r, v, s, list_slice(w, i, i + far - 1) l from (select *, unnest(range(1, len(w) + 1)) i from c) where list_contains(s, w[i])),
 m as (
-  select r, max(k) k, list(distinct v) v
-  from (select r, v, len(list_intersect(l, string_split(s, ' '))) / len(string_split(s, ' ')) k from x, (values {templates}) z(s, v))
+  select r, max(k) k, list(distinct v) v from (select r, v, len(list_intersect(l, s)) / len(s) k from x)
   where k >= {THRESHOLD} - 1e-9 group by r)
 select doc_id, len(w)::bigint n_words, coalesce(n, 0)::bigint n_base, f::bigint first_word, l::bigint last_word,
   coalesce(array_to_string(list_sort(b.v), ','), '') base_labels,

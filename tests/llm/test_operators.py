@@ -385,7 +385,7 @@ def test_licenses_wrapped_over_lines(spark, monkeypatch):
         best = {}
         for t, label in op10_licenses.TEMPLATES.items():
             s, far = set(t.split()), op10_licenses.reach(len(t.split()))
-            sets = [{w for w, i in words if i == line} for line in {i for _, i in words}] + [{w for w, _ in words[a : a + far]} for a in range(len(words))]
+            sets = [{w for w, _ in words[a : a + far]} for a in range(len(words))]
             share = max((len(s & x) / len(s) for x in sets), default=0)
             if share >= op10_licenses.THRESHOLD - 1e-9:
                 best[label] = share
