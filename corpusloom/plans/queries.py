@@ -13,7 +13,7 @@ from corpusloom.functions.lines import SEARCH_BYTES, search_lines
 from corpusloom.functions.tokens import TokenCounter
 from corpusloom.operators import fit
 from corpusloom.operators import glob as globs
-from corpusloom.operators import intervals, outline, read, report, search, turns
+from corpusloom.operators import ignored, intervals, outline, read, report, search, turns
 from corpusloom.operators.search import Search
 from corpusloom.sources.corpus import Corpus, documents_corpus, table_corpus
 
@@ -129,6 +129,21 @@ def counter() -> TokenCounter:
     return TokenCounter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def ignored_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the documents' paths by ignore files that another table makes: one or two for each nation."""
+    k = F.col("n_nationkey").cast("string")
+    at = lambda folder, rank, no, line: F.struct(folder.alias("folder"), F.lit(rank).alias("rank"), F.lit(no).alias("line_no"), line.alias("line"))
+    src, text = F.concat(F.lit("src"), k), lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    lines = [
+        F.array(at(src, 1, 1, F.lit("# none but these")), at(src, 1, 2, F.lit("de/"))),
+        F.array(at(src, 1, 1, F.lit("*5.txt")), at(src, 1, 2, F.lit("!*15.txt"))),
+        F.array(at(F.lit(""), 1, 1, text("/", src, "/fr")), at(text(src, "/fr"), 1, 1, F.lit("!*.txt"))),
+        F.array(at(F.lit(""), 1, 1, text(src, "/**/*3.txt")), at(text(src, "/en"), 1, 1, F.lit("*.txt")), at(text(src, "/en"), 2, 1, F.lit("!*3.txt"))),
+    ]
+    rows = table(spark, sf_dir, "nation").select(F.explode(F.get(F.array(*lines), (F.col("n_nationkey") % 4).cast("int"))).alias("x")).select("x.*")
+    return ignored.verdicts(documents_corpus(spark, sf_dir).files.select("rel"), ignored.rules_of(rows))
+
+
 def budget_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each conversation goes within so many bytes."""
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.octet_length("text").alias("cost"))
@@ -304,6 +319,12 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         """with o as (select o_custkey, o_orderkey, (o_orderdate::date - date '1970-01-01')::bigint s, (o_orderdate::date - date '1970-01-01')::bigint + floor(o_totalprice / 1000)::bigint e from orders)
         select a.o_custkey, a.o_orderkey, 1 + count(b.o_orderkey) depth from o a left join o b on a.o_custkey = b.o_custkey and b.s <= a.s and b.e >= a.e and (b.s < a.s or b.e > a.e or b.o_orderkey < a.o_orderkey) group by 1, 2""",
     ),
+    "ignored_paths": (
+        ignored_paths,
+        f"""with {DOCS}, p as (select rel, split_part(rel, '/', 1) s, split_part(rel, '/', 2) g, split_part(rel, '/', 3) f from d), n as (select 'src' || n_nationkey s, n_nationkey % 4 k from nation)
+        select rel, coalesce(case k when 0 then g = 'de' when 1 then ends_with(f, '5.txt') and not ends_with(f, '15.txt') when 2 then g = 'fr' else ends_with(f, '3.txt') <> (g = 'en') end, false) ignored
+        from p left join n using (s)""",
+    ),
     "token_lines": (q(lambda c: fit.token_lines(c, counter())), None),
     "token_budget": (q(lambda c: fit.token_budget(c, counter(), TOKENS)), None),
     "budget_lines": (

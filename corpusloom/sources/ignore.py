@@ -9,27 +9,31 @@ from corpusloom.errors import ConfigError
 from corpusloom.functions.globs import as_regex
 
 
+def rule(line: str) -> tuple[str, bool, bool] | None:
+    """(glob, whether it keeps, whether it is for folders only) of a line of an ignore file, or None where it has none."""
+    line = re.sub(r"(?<!\\)\s+$", "", line.rstrip("\r"))
+    if not line or line.startswith("#"):
+        return None
+    keep = line.startswith("!")
+    line = line[1:] if keep else line[1:] if line.startswith(("\\!", "\\#")) else line
+    folder = line.endswith("/")
+    line = line.rstrip("/")
+    if not line:
+        return None
+    glob = line if "/" in line else "**/" + line
+    try:
+        as_regex(glob)
+    except ConfigError:
+        return None
+    return glob, keep, folder
+
+
 class Rules:
     """Rules of one ignore file for paths below its folder."""
 
     def __init__(self, text: str):
-        self.rules: list[tuple[re.Pattern, bool, bool]] = []
-        for line in text.split("\n"):
-            line = line.rstrip("\r")
-            line = re.sub(r"(?<!\\)\s+$", "", line)
-            if not line or line.startswith("#"):
-                continue
-            keep = line.startswith("!")
-            line = line[1:] if keep else line[1:] if line.startswith(("\\!", "\\#")) else line
-            folder = line.endswith("/")
-            line = line.rstrip("/")
-            if not line:
-                continue
-            try:
-                pattern = as_regex(line if "/" in line else "**/" + line)
-            except ConfigError:
-                continue
-            self.rules.append((re.compile(pattern.replace(r"\z", r"\Z")), keep, folder))
+        found = [x for x in map(rule, text.split("\n")) if x]
+        self.rules = [(re.compile(as_regex(glob).replace(r"\z", r"\Z")), keep, folder) for glob, keep, folder in found]
 
     def verdict(self, rel: str, is_folder: bool) -> bool | None:
         """True: ignored, False: kept by a `!` rule, None: no rule matches."""
