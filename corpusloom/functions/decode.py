@@ -2,8 +2,9 @@
 
 In order: byte order marks, a NUL near the start (binary), valid UTF-8 (but
 ISO-2022 escapes are rejected), headers of binary formats, a long valid UTF-8
-beginning that breaks off (mixed), a size limit, and a trial of legacy codecs,
-of which none may be guessed: a file that any of them decodes is ambiguous.
+beginning that breaks off (mixed), a size limit, the encoding that a nominator
+names (see nominate.py; without one, none), and a trial of legacy codecs, of which
+none may be guessed: a file that any of them decodes is ambiguous.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.errors import ConfigError
@@ -72,6 +73,27 @@ def _strict(data: bytes, codec: str) -> str | None:
     return None if codec == "cp1252" and re.search("[\x80-\x9f]", text) else text
 
 
+#: Bytes of a segment; each must decode by itself where an encoding isn't taken as named.
+SEGMENT_BYTES = 4 << 10
+SINGLE_BYTE = ("cp1252",)
+
+
+def non_ascii(data: bytes) -> int:
+    return len(data) - len(data.translate(None, bytes(range(128, 256))))
+
+
+def validated(data: bytes, codec: str, named: bool = False) -> str | None:
+    """The text, if the bytes decode without garbage, come back byte by byte, and each segment decodes alone; for an encoding of several bytes that was named, the first is enough."""
+    text = _strict(data, codec)
+    if text is None or _GARBAGE.search(text):
+        return None
+    if named and codec not in SINGLE_BYTE:
+        return text
+    if text.encode(codec) != data or any(_strict(data[a : a + SEGMENT_BYTES], codec) is None for a in range(0, len(data), SEGMENT_BYTES)):
+        return None
+    return text
+
+
 def codec_of(label: str) -> str:
     key = label.strip().lower().replace("_", "-") if label.strip().lower() != "shift_jis" else "shift_jis"
     found = LABELS.get(key) or LEGACY.get(key) or LEGACY.get(key.replace("-", "_"))
@@ -102,8 +124,8 @@ def explicit(data: bytes, label: str) -> Decoded:
     return Decoded("text", text, label, note="The bytes are UTF-8 as well; without an encoding they would be read as that." if doubt else None)
 
 
-def ladder(data: bytes) -> Decoded:
-    """Decode by the steps above."""
+def ladder(data: bytes, nominator=None) -> Decoded:
+    """Decode by the steps above; nominator: what nominate(data, labels) is asked of."""
     if found := mark(data):
         text = _strict(data[len(found[0]) :], found[1])
         return Decoded("rejected", reason="bom_mismatch", candidates=(found[1],)) if text is None else Decoded("text", text, found[1])
@@ -121,15 +143,17 @@ def ladder(data: bytes) -> Decoded:
         return Decoded("rejected", reason=f"mixed_or_inconsistent at byte {valid:#x}")
     if len(data) >= LEGACY_BYTES:
         return Decoded("rejected", reason="undecodable")
-    clean = tuple(label for label, codec in LEGACY.items() if (text := _strict(data, codec)) is not None and not _GARBAGE.search(text))
+    if nominator and (label := nominator.nominate(data, tuple(x for x, codec in LEGACY.items() if validated(data, codec, True) is not None))):
+        return Decoded("text", validated(data, LEGACY[label], True), label)
+    clean = tuple(label for label, codec in LEGACY.items() if validated(data, codec) is not None)
     return Decoded("rejected", reason="ambiguous" if clean else "undecodable", candidates=clean)
 
 
-def decoded(data: bytes, label: str | None = None, fallback: str | None = None) -> Decoded:
+def decoded(data: bytes, label: str | None = None, fallback: str | None = None, nominator=None) -> Decoded:
     """By the label, or by the steps and then, for what they reject but for marks, by the fallback."""
     if label:
         return explicit(data, label)
-    out = ladder(data)
+    out = ladder(data, nominator)
     if fallback and out.kind == "rejected" and out.reason != "bom_mismatch":
         again = explicit(data, fallback)
         if again.kind == "text":
@@ -147,27 +171,30 @@ def plain(content: Column) -> Column:
     return ~marked & (F.position(F.lit(b"\x00"), head) == 0) & F.is_valid_utf8(as_text) & ~F.rlike(as_text, F.lit(r"\x1B[\x20-\x2F]+[\x40-\x7E]"))
 
 
-def decode_column(content: Column, label: str | None = None, fallback: str | None = None) -> Column:
+def decode_column(content: Column, label: str | None = None, fallback: str | None = None, nominator=None) -> Column:
     """A struct of RESULT for binary content, by an Arrow function."""
     if label:
         codec_of(label)
     if fallback:
         codec_of(fallback)
 
+    sent = SparkSession.active().sparkContext.broadcast(nominator) if nominator else None  # a table of pairs, whatever the files
+
     @F.pandas_udf(RESULT)
     def step(column: pd.Series) -> pd.DataFrame:
-        rows = [decoded(bytes(x), label, fallback) if x is not None else Decoded("rejected", reason="undecodable") for x in column]
+        rows = [decoded(bytes(x), label, fallback, sent.value if sent else None) if x is not None else Decoded("rejected", reason="undecodable") for x in column]
         return pd.DataFrame([(r.kind, r.text, r.encoding, r.reason, list(r.candidates), r.rescued, r.note) for r in rows], columns=[f.split()[0] for f in RESULT.split(", ")])
 
     return step(content)
 
 
-def decode_files(files: DataFrame, label: str | None = None, fallback: str | None = None) -> DataFrame:
+def decode_files(files: DataFrame, label: str | None = None, fallback: str | None = None, nominator=None) -> DataFrame:
     """files (content) with the fields of RESULT; plain UTF-8 stays in the JVM, the rest goes through decode_column()."""
     if label:
         return files.withColumn("_d", decode_column(F.col("content"), label)).select("*", "_d.*").drop("_d", "content")
-    files = files.withColumn("_plain", plain(F.col("content")))
+    files = files.withColumn("_plain", F.coalesce(plain(F.col("content")), F.lit(False)))
     names = [f.split()[0] for f in RESULT.split(", ")]
-    easy = files.where("_plain").select("*", F.lit("text").alias("kind"), F.col("content").cast("string").alias("text"), F.lit("utf-8").alias("encoding"), F.lit(None).cast("string").alias("reason"), F.array().cast("array<string>").alias("candidates"), F.lit(False).alias("rescued"), F.lit(None).cast("string").alias("note"))
-    hard = files.where("not _plain").withColumn("_d", decode_column(F.col("content"), None, fallback)).select("*", *(F.col(f"_d.{n}") for n in names)).drop("_d")
-    return easy.unionByName(hard).drop("_plain", "content")
+    # one pass: what is plain goes to the Arrow function as null
+    rows = files.withColumn("_d", decode_column(F.when(~F.col("_plain"), F.col("content")), None, fallback, nominator))
+    easy = {"kind": F.lit("text"), "text": F.col("content").cast("string"), "encoding": F.lit("utf-8"), "reason": F.lit(None).cast("string"), "candidates": F.array().cast("array<string>"), "rescued": F.lit(False), "note": F.lit(None).cast("string")}
+    return rows.select(*(c for c in files.columns if c not in ("_plain", "content")), *(F.when(F.col("_plain"), easy[n]).otherwise(F.col(f"_d.{n}")).alias(n) for n in names))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.decode import decode_files
+from corpusloom.functions.decode import LEGACY, decode_files
 from corpusloom.functions.globs import as_regex
 from corpusloom.functions.lines import SEARCH_BYTES, search_lines
+from corpusloom.functions.nominate import EVIDENCE, fitted
 from corpusloom.functions.tokens import TokenCounter
 from corpusloom.operators import fit
 from corpusloom.operators import glob as globs
@@ -191,6 +193,47 @@ def decode_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "kind", F.coalesce(F.char_length("text"), F.lit(-1)).cast("long").alias("n_chars"), F.coalesce(F.sha2("text", 256), F.lit("")).alias("hash"))
 
 
+#: For encodings of several bytes, what the letters a to z are written with.
+SCRIPTS = {
+    "gbk": "的一是不了人我在有他这中大来上国个到说们为子和你地出",
+    "shift_jis": "あいうえおかきくけこさしすせそたちつてとなにぬねのは",
+    "big5": "的一是不了人我在有他這中大來上國個到說們為子和你地出",
+    "euc-kr": "가나다라마바사아자차카타파하거너더러머버서어저처커터",
+}
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def nominated_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in five encodings by doc_id, four of them in other scripts, and the encoding that is named for the bytes; the nominator is fitted on a third of them."""
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\t\n\r\x20-\x7E\u00A0-\u00FF]", "")
+    d = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"), (F.col("doc_id") % len(LEGACY)).cast("int").alias("k"))
+    bare = F.lower(F.regexp_replace("t", r"[^\x00-\x7F]", ""))
+    written = [F.col("t") if label not in SCRIPTS else F.translate(bare, LETTERS, SCRIPTS[label]) for label in LEGACY]
+    d = d.withColumn("t", F.get(F.array(*written), F.col("k")))
+    nominator = fitted(d.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0), "t")
+    codecs = list(LEGACY.values())
+
+    @F.pandas_udf("binary")
+    def encoded(t: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([x.encode(codecs[i]) for x, i in zip(t, k)])
+
+    out = decode_files(d.select("doc_id", "t", encoded("t", "k").alias("content")), nominator=nominator)
+    return out.select("doc_id", "encoding", F.coalesce(F.col("text") == F.col("t"), F.lit(False)).alias("right"))
+
+
+def _evidence() -> str:
+    """SQL of the number of non-ASCII bytes that nominated_encodings() makes of a document's text t."""
+    count = lambda chars: f"length(regexp_replace(lower(t), '[^{chars}]', '', 'g'))" if chars else "0"
+    parts = []
+    for k, (label, codec) in enumerate(LEGACY.items()):
+        if label not in SCRIPTS:
+            parts.append(f"when {k} then length(regexp_replace(t, '[\x00-\x7F]', '', 'g'))")
+            continue
+        of = {n: "".join(a for a, b in zip(LETTERS, SCRIPTS[label]) if sum(x > 127 for x in b.encode(codec)) == n) for n in (1, 2)}
+        parts.append(f"when {k} then {count(of[1])} + 2 * {count(of[2])}")
+    return f"case doc_id % {len(LEGACY)} {' '.join(parts)} end"
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "search_count": (
         q(lambda c: search.counts(c, Search(THE, output_mode="count")).select("rel", "occurrences")),
@@ -362,6 +405,11 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         union all select 'c/' || o_custkey || '.py', 'o' || o_orderkey, 'def', 2, 3 * k - 1, 3 * k from o""",
     ),
     "outline_languages": (outline_languages, None),
+    "nominated_encodings": (
+        nominated_encodings,
+        f"""with d as (select doc_id, coalesce(text, '') t from documents), e as (select doc_id, {_evidence()} n from d)
+        select doc_id, case when n = 0 then 'utf-8' when n >= {EVIDENCE} then [{", ".join(f"'{x}'" for x in LEGACY)}][doc_id % {len(LEGACY)} + 1] end encoding, n = 0 or n >= {EVIDENCE} as "right" from e""",
+    ),
     "decode_ladder": (
         decode_ladder,
         """select doc_id, case when doc_id % 3 = 1 then 'binary' else 'text' end kind, case when doc_id % 3 = 1 then -1 else length(coalesce(text, '')) end::bigint n_chars,
