@@ -225,17 +225,6 @@ def test_turns(spark):
     assert [r.turn for r in turns.turns(rows, "k", "at", 1).orderBy("call_id").collect()] == [1, 1, 2, 2]
 
 
-def test_stream_turns(spark, tmp_path):
-    from corpusloom.streaming.turns import stream_turns
-
-    spark.sql("select 'k' key, cast(id as long) call_id, timestamp_seconds(s) at from values (1, 0.0D), (2, 0.5D), (3, 1.5D) t(id, s)").write.parquet(str(tmp_path / "in"))
-    calls = spark.readStream.schema("key string, call_id long, at timestamp").parquet(str(tmp_path / "in"))
-    run = stream_turns(calls, 1).writeStream.format("memory").queryName("turned").option("checkpointLocation", str(tmp_path / "cp")).start()
-    run.processAllAvailable()
-    run.stop()
-    assert [r.turn for r in spark.table("turned").orderBy("call_id").collect()] == [1, 1, 2]
-
-
 def test_stream_matches(spark, tmp_path):
     from corpusloom.streaming.turns import stream_matches
 
