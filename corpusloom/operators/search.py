@@ -184,6 +184,12 @@ def result(corpus: Corpus, s: Search) -> DataFrame:
     return {"files_with_matches": files_with_matches, "count": counts, "summary": summary}[s.output_mode](corpus, s)
 
 
+def enough(corpus: Corpus, s: Search, n: int) -> bool:
+    """Whether a search has more than n entries; it stops looking once it has."""
+    rows = result(corpus, s)
+    return (rows.where("is_match") if "is_match" in rows.columns else rows).limit(n + 1).count() > n
+
+
 def ordered(corpus: Corpus, s: Search) -> DataFrame:
     """The rows of a search, newest files first, ties by path, lines in order."""
     out = result(corpus, s)

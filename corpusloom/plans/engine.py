@@ -23,10 +23,13 @@ from corpusloom.operators.pool import Pool, stub
 from corpusloom.operators.search import Search
 from corpusloom.plans.budget import GLOBAL, BudgetTooSmall, largest_fitting, page_rows, resolve
 from corpusloom.sources.corpus import Corpus
+from corpusloom.sources.listing import contents, listed, newest
 from corpusloom.sources.paths import from_windows, resolved, shown
-from corpusloom.sources.tree import sealed, tree_corpus, tree_files
+from corpusloom.sources.tree import corpus_of, sealed, tree_corpus, tree_files
 
 DETAILS, ENTRIES = 256, 250
+#: How many of the newest files a page looks at first, then.
+NEWEST = (1_000, 30_000)
 
 
 @dataclass
@@ -142,15 +145,25 @@ class Engine:
         target = self._path(path)
         s = Search(pattern, **options)
         s.regex(self.spark)  # a bad pattern is an error before any file is read
-        corpus = self._placed(tree_corpus(self.spark, target, "search", encoding, fallback_encoding, s.glob, s.type), target)
-        s = replace(s, glob=None, type=None)  # judged before files were read, by paths within the target
-        if os.path.isfile(target) and (lost := corpus.skips.first()):
-            raise EncodingError(f"{path} can't be searched: {lost.reason}")
+        single = os.path.isfile(target)
         given = {"pattern": pattern, "path": path, "encoding": encoding, "fallback_encoding": fallback_encoding, **options}
         # all that was asked for, so that the next page searches the same files
         args = {k: v for k, v in given.items() if v is not None} | {"head_limit": head_limit, "line_numbers": line_numbers}
-        with corpus.held() as held:
-            return self.search_corpus(held, s, head_limit, offset, budget, args, line_numbers, not os.path.isfile(target))
+        if single or encoding:
+            whole = tree_corpus(self.spark, target, "search", encoding, fallback_encoding, s.glob, s.type)
+            if lost := whole.skips.first():
+                raise EncodingError(f"{path} can't be searched: {lost.reason}")
+        listing = None if single else listed(self.spark, target, "search", s.glob, s.type)
+        s = replace(s, glob=None, type=None)  # judged before files are read, by paths within the target
+        most = offset + page_rows(head_limit, budget)
+        for n in [None] if single or s.output_mode == "summary" else [*NEWEST, None]:
+            # the newest files first: where they fill the page, older ones aren't opened
+            if n and listing.limit(n + 1).count() <= n:
+                continue
+            corpus = self._placed(whole if single else corpus_of(contents(newest(listing, n) if n else listing), None, fallback_encoding), target)
+            with corpus.held() as held:
+                if n is None or search.enough(held, s, most):
+                    return self.search_corpus(held, s, head_limit, offset, budget, args, line_numbers, not single)
 
     def search_corpus(self, corpus: Corpus, s: Search, head_limit: int = ENTRIES, offset: int = 0, budget: int | None = None, args: dict | None = None, line_numbers: bool = True, headers: bool = True) -> Page:
         """A page of a search over any corpus; headers: whether content names its files."""

@@ -179,7 +179,11 @@ def tree_corpus(spark: SparkSession, root: str, policy: str = "search", encoding
         raise ConfigError("an encoding needs a file")
     if fallback and single:
         raise ConfigError("a fallback encoding needs a folder")
-    rows = tree_files(spark, root, policy, True, globs, type)
+    return corpus_of(tree_files(spark, root, policy, True, globs, type), encoding, fallback)
+
+
+def corpus_of(rows: DataFrame, encoding: str | None = None, fallback: str | None = None) -> Corpus:
+    """Texts of files that were read (path, rel, mtime_ns, size, content, error)."""
     # one table of all that was read, which may be kept while a page is made
     good = decode_files(rows.where("error is null").drop("error"), encoding, fallback)
     lost = rows.where("error is not null").select("path", "rel", "mtime_ns", "size", F.lit("lost").alias("kind"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("encoding"), F.col("error").alias("reason"))
