@@ -152,11 +152,13 @@ def budget_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.budget_prefix(t, "conv_id", "turn", "cost", BUDGET)
 
 
+#: By the end of a file's name: a source file, NAME for what it defines, and (label, name before the number, depth, first line, last line) of its symbols.
 SOURCES = {
-    "a/one.py": "class A:\n    def f(self):\n        def g():\n            pass\n        return g\n\n\ndef h():\n    pass\n",
-    "b/two.rs": "pub mod m {\n    pub struct S {\n        x: u8,\n    }\n\n    impl S {\n        pub fn new() -> Self {\n            S { x: 1 }\n        }\n    }\n}\n",
-    "c/three.go": "package c\n\ntype T struct {\n\tx int\n}\n\nfunc (t T) Get() int {\n\treturn t.x\n}\n\nfunc New() T {\n\treturn T{}\n}\n",
-    "README.md": "# nothing\n",
+    "rs": ("pub struct NAME {\n    size: u32,\n}\n\nimpl NAME {\n    pub fn get(&self) -> u32 {\n        self.size\n    }\n}\n", [("struct", "P", 1, 1, 3), ("impl", "P", 1, 5, 9), ("fn", "get", 2, 6, 8)]),
+    "go": ("package p\n\ntype NAME struct {\n\tsize int\n}\n\nfunc (p NAME) Get() int {\n\treturn p.size\n}\n", [("type", "P", 1, 3, 5), ("method", "Get", 1, 7, 9)]),
+    "java": ("class NAME {\n    NAME() {\n    }\n    int get() {\n        return 1;\n    }\n}\n", [("class", "P", 1, 1, 7), ("constructor", "P", 2, 2, 3), ("method", "get", 2, 4, 6)]),
+    "ts": ("export class NAME {\n  get(): number {\n    return 1;\n  }\n}\ntype T = string;\n", [("class", "P", 1, 1, 5), ("method", "get", 2, 2, 4), ("type", "T", 1, 6, 6)]),
+    "cpp": ("struct NAME {\n  int get();\n};\nint f(int a) {\n  return a;\n}\n", [("struct", "P", 1, 1, 3), ("method", "get", 2, 2, 2), ("function", "f", 1, 4, 6)]),
 }
 
 
@@ -169,8 +171,18 @@ def outline_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outline_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols of a few files of other languages."""
-    return _symbols(spark.createDataFrame(list(SOURCES.items()), "rel string, text string"))
+    """Symbols of one source file for each part, in five languages by number, behind as many lines of comments as its size says."""
+    k, n = F.col("p_partkey").cast("string"), (F.col("p_partkey") % len(SOURCES)).cast("int")
+    pick = lambda values: F.get(F.array(*(F.lit(v) for v in values)), n)
+    head = F.repeat(F.lit("// { not code\n"), (F.col("p_size") % 7).cast("int"))
+    text = F.concat(head, F.replace(pick([t for t, _ in SOURCES.values()]), F.lit("NAME"), F.concat(F.lit("P"), k)))
+    return _symbols(table(spark, sf_dir, "part").select(F.concat(F.lit("p/"), k, F.lit("."), pick(list(SOURCES))).alias("rel"), text.alias("text")))
+
+
+def _source_symbols() -> str:
+    """SQL values of what is in SOURCES: number, end of a name, label, name, depth, first and last line."""
+    rows = [(i, end, *s) for i, (end, (_, found)) in enumerate(SOURCES.items()) for s in found]
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 
 
 def _symbols(files: DataFrame) -> DataFrame:
@@ -404,7 +416,12 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         select 'c/' || o_custkey || '.py' rel, 'C' || o_custkey as "name", 'class' as label, 1::bigint depth, 1::bigint start_line, any_value(3 * n)::bigint end_line from o group by o_custkey
         union all select 'c/' || o_custkey || '.py', 'o' || o_orderkey, 'def', 2, 3 * k - 1, 3 * k from o""",
     ),
-    "outline_languages": (outline_languages, None),
+    "outline_languages": (
+        outline_languages,
+        f"""with s(k, ext, label, name, depth, a, b) as (values {_source_symbols()})
+        select 'p/' || p_partkey || '.' || ext rel, case when s.name = 'P' then 'P' || p_partkey else s.name end as "name", label, depth::bigint "depth", (a + p_size % 7)::bigint start_line, (b + p_size % 7)::bigint end_line
+        from part join s on p_partkey % {len(SOURCES)} = k""",
+    ),
     "nominated_encodings": (
         nominated_encodings,
         f"""with d as (select doc_id, coalesce(text, '') t from documents), e as (select doc_id, {_evidence()} n from d)
