@@ -318,26 +318,43 @@ def linked_across(xs: list[np.ndarray], ys: list[np.ndarray]) -> list[tuple[int,
     return out
 
 
-def _edge_batch(edges: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    u, v, rest = zip(*edges) if edges else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(rest, pa.int64())], ["u", "v", "block"])
+def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    u, v = zip(*edges) if edges else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+#: An edge (u, v), or with v null a member u of a chunk of a block, with its set and whether it isn't linked to the block's lead.
+SOLVED = "u long, v long, lead long, chunk long, far boolean, members binary"
 
 
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lead, chunk, many, doc_id, members): edges; where a block has many chunks, members that aren't linked to its lead as rows with v null."""
-    edges: list = []
+    """Rows (lead, chunk, many, doc_id, members): SOLVED; where a block has many chunks, all members but its lead go on with their sets."""
+    out: list[tuple] = []
+    size = 0
+
+    def made() -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+        columns = list(zip(*out)) if out else [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["u", "v", "lead", "chunk", "far", "members"])
+
     for (lead, chunk, many), t in groups(batches, ["lead", "chunk", "many"]):
-        ids = t.column("doc_id").to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in t.column("members").to_pylist()]
+        ids, raw = t.column("doc_id").to_pylist(), t.column("members").to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in raw]
         at = ids.index(lead) if lead in ids else 0
         found, labels = linked(sets, at)
-        edges += [(ids[a], ids[b], None) for a, b in found]
-        if many:
-            edges += [(ids[i], None, lead) for i in np.flatnonzero((labels != labels[at]) | (ids[at] != lead)).tolist()]
-        if len(edges) > 50_000:
-            yield _edge_batch(edges)
-            edges = []
-    yield _edge_batch(edges)
+        out += [(ids[a], ids[b], None, None, None, None) for a, b in found]
+        if many:  # the lead has met all chunks
+            for i, x in enumerate(raw):
+                if ids[i] != lead:
+                    out.append((ids[i], None, lead, chunk, bool(labels[i] != labels[at] or ids[at] != lead), x))
+                    size += len(x)
+                    if size >= SHIPPED:
+                        yield made()
+                        out, size = [], 0
+        if len(out) > 50_000:
+            yield made()
+            out, size = [], 0
+    yield made()
 
 
 def _solve_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +364,7 @@ def _solve_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         sets = [np.frombuffer(x, np.uint64) for x in t.column("members").to_pylist()]
         x, y = [i for i, s in enumerate(side) if s], [i for i, s in enumerate(side) if not s]
         if x and y:
-            yield _edge_batch([(ids[x[a]], ids[y[b]], None) for a, b in linked_across([sets[i] for i in x], [sets[i] for i in y])])
+            yield _edge_batch([(ids[x[a]], ids[y[b]]) for a, b in linked_across([sets[i] for i in x], [sets[i] for i in y])])
 
 
 def jaccard_components(docs: DataFrame, k: int = WORDS) -> DataFrame:
@@ -405,18 +422,18 @@ def jaccard_components(docs: DataFrame, k: int = WORDS) -> DataFrame:
     chunk = F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).when(F.col("doc_id") == F.col("lead"), every).otherwise(F.array(own))
     places = members.join(blocks, "lead", "left").select("doc_id", "lead", F.explode(chunk).alias("chunk"), F.col("chunks").isNotNull().cast("long").alias("many"))
     dealt = shipped(text, places, k).repartition("lead", "chunk").sortWithinPartitions("lead", "chunk", "doc_id")
-    edges = stored(by_arrow(dealt, _solve, "u long, v long, block long"))
+    edges = stored(by_arrow(dealt, _solve, SOLVED))
     released(spark)
     links = edges.where("v is not null").select("u", "v")
-    if blocks.limit(1).count():
-        # members that no chunk linked to their block's lead meet all its chunks
-        far = edges.where("v is null").select(F.col("block").alias("lead"), F.col("u").alias("doc_id")).distinct().join(blocks, "lead")
-        parts = far.select("lead", own.alias("part")).distinct()
-        near = members.join(blocks, "lead").withColumn("chunk", own).join(parts, "lead").select("doc_id", "lead", "chunk", "part", F.lit(0).cast("long").alias("side"))
-        cross = far.select("doc_id", "lead", F.explode(every).alias("chunk"), own.alias("part"), F.lit(1).cast("long").alias("side")).unionByName(near).where("chunk <> part")
+    far = edges.where("v is null and far").select("u", "lead", F.col("chunk").alias("part"), "members").join(blocks, "lead")
+    if far.limit(1).count():
+        # members that no chunk linked to their block's lead meet all its chunks; their sets are at hand
+        parts = far.select("lead", "part").distinct()
+        near = edges.where("v is null").join(parts, "lead").select("lead", "chunk", "part", F.lit(0).cast("long").alias("side"), F.col("u").alias("doc_id"), "members")
+        cross = far.select("lead", F.explode(every).alias("chunk"), "part", F.lit(1).cast("long").alias("side"), F.col("u").alias("doc_id"), "members")
         order = ["lead", "chunk", "part"]
-        sets = shipped(text, cross, k).repartition(*order).sortWithinPartitions(*order)
-        across = stored(by_arrow(sets, _solve_across, "u long, v long, block long"))
+        sets = near.unionByName(cross).where("chunk <> part").repartition(*order).sortWithinPartitions(*order)
+        across = stored(by_arrow(sets, _solve_across, "u long, v long"))
         released(spark)
         links = links.union(across.select("u", "v"))
     found = components(links).toDF("rep", "root")
