@@ -41,8 +41,31 @@ MAGIC = [
 ]
 # fixed values: legacy encodings and Python's names of them
 LEGACY = {"windows-1252": "cp1252", "gbk": "gbk", "shift_jis": "shift_jis", "big5": "big5", "euc-kr": "euc_kr"}
-# fixed values: other labels of encodings
-LABELS = {"utf-8": "utf-8", "utf8": "utf-8", "utf-16": "utf-16-le", "utf-16le": "utf-16-le", "utf-16be": "utf-16-be", "utf-32": "utf-32-le", "utf-32le": "utf-32-le", "utf-32be": "utf-32-be", "latin1": "cp1252", "iso-8859-1": "cp1252", "ascii": "cp1252", "cp1252": "cp1252", "gb2312": "gbk", "gb18030": "gb18030", "sjis": "shift_jis", "euc-jp": "euc_jp"}
+# fixed values: labels of encodings that don't mean what a codec of that name does, and Python's names of what they mean
+LABELS = {
+    "utf8": "utf-8", "unicode-1-1-utf-8": "utf-8", "unicode11utf8": "utf-8", "unicode20utf8": "utf-8", "x-unicode20utf8": "utf-8",
+    "utf-16": "utf-16-le", "utf-16le": "utf-16-le", "utf-16be": "utf-16-be", "ucs-2": "utf-16-le", "unicode": "utf-16-le", "csunicode": "utf-16-le", "iso-10646-ucs-2": "utf-16-le", "unicodefeff": "utf-16-le", "unicodefffe": "utf-16-be",
+    "utf-32": "utf-32-le", "utf-32le": "utf-32-le", "utf-32be": "utf-32-be",
+    "ascii": "cp1252", "us-ascii": "cp1252", "latin1": "cp1252", "l1": "cp1252", "iso-8859-1": "cp1252", "iso8859-1": "cp1252", "iso88591": "cp1252", "iso-ir-100": "cp1252", "csisolatin1": "cp1252", "cp819": "cp1252", "ibm819": "cp1252", "ansi-x3.4-1968": "cp1252",
+    "latin5": "cp1254", "l5": "cp1254", "iso-8859-9": "cp1254", "iso8859-9": "cp1254", "iso88599": "cp1254", "iso-ir-148": "cp1254", "csisolatin5": "cp1254",
+    "iso-8859-11": "cp874", "iso8859-11": "cp874", "iso885911": "cp874", "tis-620": "cp874", "dos-874": "cp874", "windows-874": "cp874",
+    "iso-8859-8-i": "iso8859_8", "iso-8859-8-e": "iso8859_8", "logical": "iso8859_8", "visual": "iso8859_8",
+    "gb2312": "gbk", "gb-2312-80": "gbk", "chinese": "gbk", "csgb2312": "gbk", "iso-ir-58": "gbk", "x-gbk": "gbk",
+    "big5-hkscs": "big5hkscs", "x-x-big5": "big5", "cn-big5": "big5", "csbig5": "big5",
+    "sjis": "shift_jis", "x-sjis": "shift_jis", "ms-kanji": "cp932", "ms932": "cp932", "windows-31j": "cp932", "csshiftjis": "shift_jis",
+    "x-euc-jp": "euc_jp", "cseucpkdfmtjapanese": "euc_jp", "csiso2022jp": "iso2022_jp",
+    "korean": "euc_kr", "ks-c-5601-1987": "euc_kr", "ks-c-5601-1989": "euc_kr", "ksc5601": "euc_kr", "ksc-5601": "euc_kr", "iso-ir-149": "euc_kr", "cseuckr": "euc_kr", "csksc56011987": "euc_kr", "windows-949": "cp949",
+    "koi": "koi8_r", "koi8": "koi8_r", "cskoi8r": "koi8_r", "koi8-ru": "koi8_u",
+    "866": "cp866", "ibm866": "cp866", "csibm866": "cp866",
+    "mac": "mac_roman", "macintosh": "mac_roman", "csmacintosh": "mac_roman", "x-mac-roman": "mac_roman", "x-mac-cyrillic": "mac_cyrillic", "x-mac-ukrainian": "mac_cyrillic",
+}
+#: Labels that follow a rule: (pattern, Python's name), in which the number counts. What is taken by a codec of the same name is the last.
+LABEL_RULES = [
+    (r"(?:windows-|x-cp|cp)(125[0-8])", "cp{}"),
+    (r"iso-?8859-?([2-8]|1[03-6])", "iso8859_{}"),
+    (r"(?:latin|l|csisolatin)([2-46])", "latin{}"),
+    (r"(gbk|gb18030|big5|shift[-_]jis|euc-(?:jp|kr)|koi8-[ru]|iso-2022-jp|utf-8|utf-16-[lb]e|utf-32-[lb]e)", "{}"),
+]
 
 #: Control characters other than tab, LF and CR, and noncharacters: garbage that some legacy codec takes for text.
 _GARBAGE = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ufdd0-\ufdef" + "".join(chr(p << 16 | x) for p in range(17) for x in (0xFFFE, 0xFFFF)) + "]")
@@ -95,11 +118,14 @@ def validated(data: bytes, codec: str, named: bool = False) -> str | None:
 
 
 def codec_of(label: str) -> str:
-    key = label.strip().lower().replace("_", "-") if label.strip().lower() != "shift_jis" else "shift_jis"
-    found = LABELS.get(key) or LEGACY.get(key) or LEGACY.get(key.replace("-", "_"))
-    if not found:
-        raise ConfigError(f"unknown encoding {label!r}")
-    return found
+    """Python's name of the encoding that a label of the web, in any case, stands for."""
+    key = label.strip().lower()
+    if found := LEGACY.get(key) or LABELS.get(key) or LABELS.get(key.replace("_", "-")):
+        return found
+    for pattern, name in LABEL_RULES:
+        if m := re.fullmatch(pattern, key.replace("_", "-")):
+            return LEGACY.get(m[1]) or codecs.lookup(name.format(m[1])).name.replace("-", "_" if not m[1].startswith("utf") else "-")
+    raise ConfigError(f"unknown encoding {label!r}")
 
 
 def mark(data: bytes) -> tuple[bytes, str] | None:

@@ -17,23 +17,91 @@ from corpusloom.errors import ConfigError
 
 # fixed values: file types and their globs
 TYPES = {
-    "c": ["*.c", "*.h"],
-    "cpp": ["*.cpp", "*.cc", "*.cxx", "*.hpp", "*.hh", "*.h", "*.hxx", "*.C", "*.H"],
+    "asm": ["*.asm", "*.s", "*.S"],
+    "awk": ["*.awk"],
+    "bat": ["*.bat"],
+    "bazel": ["*.bazel", "*.bazelrc", "*.BUILD", "*.bzl", "BUILD", "MODULE.bazel", "WORKSPACE", "WORKSPACE.bazel", "WORKSPACE.bzlmod"],
+    "bitbake": ["*.bb", "*.bbappend", "*.bbclass", "*.conf", "*.inc"],
+    "c": ["*.[chH]", "*.[chH].in", "*.cats"],
+    "clojure": ["*.clj", "*.cljc", "*.cljs", "*.cljx"],
+    "cmake": ["*.cmake", "CMakeLists.txt"],
+    "config": ["*.cfg", "*.conf", "*.config", "*.ini"],
+    "cpp": ["*.[ChH]", "*.cc", "*.[ch]pp", "*.[ch]xx", "*.hh", "*.inl", "*.[ChH].in", "*.cc.in", "*.[ch]pp.in", "*.[ch]xx.in", "*.hh.in"],
+    "cs": ["*.cs"],
+    "csharp": ["*.cs"],
     "css": ["*.css", "*.scss"],
+    "csv": ["*.csv"],
+    "cuda": ["*.cu", "*.cuh"],
+    "cython": ["*.pyx", "*.pxi", "*.pxd"],
+    "dart": ["*.dart"],
+    "diff": ["*.patch", "*.diff"],
+    "docker": ["*Dockerfile*"],
+    "elixir": ["*.ex", "*.eex", "*.exs", "*.heex", "*.leex", "*.livemd"],
+    "elm": ["*.elm"],
+    "erlang": ["*.erl", "*.hrl"],
+    "fortran": ["*.f", "*.F", "*.f77", "*.F77", "*.pfo", "*.f90", "*.F90", "*.f95", "*.F95"],
+    "fsharp": ["*.fs", "*.fsx", "*.fsi"],
     "go": ["*.go"],
+    "gradle": ["*.gradle", "*.gradle.kts", "gradle.properties", "gradle-wrapper.*", "gradlew", "gradlew.bat"],
+    "graphql": ["*.graphql", "*.graphqls"],
+    "groovy": ["*.groovy", "*.gradle"],
+    "h": ["*.h", "*.hh", "*.hpp"],
+    "haskell": ["*.hs", "*.lhs", "*.cpphs", "*.c2hs", "*.hsc"],
     "html": ["*.htm", "*.html", "*.ejs"],
     "java": ["*.java", "*.jsp", "*.jspx", "*.properties"],
+    "jl": ["*.jl"],
     "js": ["*.js", "*.jsx", "*.vue", "*.cjs", "*.mjs"],
     "json": ["*.json", "composer.lock", "*.sarif"],
+    "jsonl": ["*.jsonl"],
+    "julia": ["*.jl"],
+    "jupyter": ["*.ipynb", "*.jpynb"],
+    "kotlin": ["*.kt", "*.kts"],
+    "less": ["*.less"],
+    "lisp": ["*.el", "*.jl", "*.lisp", "*.lsp", "*.sc", "*.scm"],
+    "log": ["*.log"],
+    "lua": ["*.lua"],
+    "make": ["[Gg][Nn][Uu]makefile", "[Mm]akefile", "[Gg][Nn][Uu]makefile.am", "[Mm]akefile.am", "[Gg][Nn][Uu]makefile.in", "[Mm]akefile.in", "*.mk", "*.mak"],
+    "markdown": ["*.markdown", "*.md", "*.mdown", "*.mdwn", "*.mkd", "*.mkdn", "*.mdx"],
     "md": ["*.markdown", "*.md", "*.mdown", "*.mdwn", "*.mkd", "*.mkdn", "*.mdx"],
+    "meson": ["meson.build", "meson_options.txt", "meson.options"],
+    "nix": ["*.nix"],
+    "objc": ["*.h", "*.m"],
+    "objcpp": ["*.h", "*.mm"],
+    "ocaml": ["*.ml", "*.mli", "*.mll", "*.mly"],
+    "perl": ["*.perl", "*.pl", "*.PL", "*.plh", "*.plx", "*.pm", "*.t"],
+    "php": ["*.php", "*.php3", "*.php4", "*.php5", "*.php7", "*.php8", "*.pht", "*.phtml"],
+    "protobuf": ["*.proto"],
+    "ps": ["*.cdxml", "*.ps1", "*.ps1xml", "*.psd1", "*.psm1"],
+    "puppet": ["*.epp", "*.erb", "*.pp", "*.rb"],
     "py": ["*.py", "*.pyi"],
+    "python": ["*.py", "*.pyi"],
+    "r": ["*.R", "*.r", "*.Rmd", "*.rmd", "*.Rnw", "*.rnw"],
+    "rst": ["*.rst"],
+    "ruby": ["config.ru", "Gemfile", ".irbrc", "Rakefile", "*.gemspec", "*.rb", "*.rbw"],
     "rust": ["*.rs"],
-    "sh": ["*.bash", "*.sh", "*.zsh"],
+    "sass": ["*.sass", "*.scss"],
+    "scala": ["*.scala", "*.sbt"],
+    "sh": ["*.bash", "*.bashrc", "*.csh", "*.cshrc", "*.ksh", "*.kshrc", "*.sh", "*.tcsh", "*.zsh", ".bash_login", ".bash_logout", ".bash_profile", ".bashrc", ".cshrc", ".kshrc", ".login", ".logout", ".profile", ".tcshrc", ".zlogin", ".zlogout", ".zprofile", ".zshenv", ".zshrc", "bash_login", "bash_logout", "bash_profile", "bashrc", "profile", "zlogin", "zlogout", "zprofile", "zshenv", "zshrc"],
     "sql": ["*.sql", "*.psql"],
+    "svelte": ["*.svelte"],
+    "svg": ["*.svg"],
+    "swift": ["*.swift"],
+    "tcl": ["*.tcl"],
+    "tex": ["*.tex", "*.ltx", "*.cls", "*.sty", "*.bib", "*.dtx", "*.ins"],
+    "tf": ["*.tf", "*.tf.json", "*.tfvars", "*.tfvars.json", "*.terraformrc", "terraform.rc", "*.tfrc"],
+    "thrift": ["*.thrift"],
     "toml": ["*.toml", "Cargo.lock"],
     "ts": ["*.cts", "*.mts", "*.ts", "*.tsx"],
     "txt": ["*.txt"],
+    "typescript": ["*.cts", "*.mts", "*.ts", "*.tsx"],
+    "vb": ["*.vb"],
+    "verilog": ["*.v", "*.vh", "*.sv", "*.svh"],
+    "vhdl": ["*.vhd", "*.vhdl"],
+    "vim": ["*.vim", ".vimrc", ".gvimrc", "vimrc", "gvimrc", "_vimrc", "_gvimrc"],
+    "vue": ["*.vue"],
+    "xml": ["*.dtd", "*.rng", "*.sch", "*.xhtml", "*.xjb", "*.xml", "*.xml.dist", "*.xsd", "*.xsl", "*.xslt"],
     "yaml": ["*.yaml", "*.yml"],
+    "zig": ["*.zig"],
 }
 
 

@@ -124,3 +124,28 @@ def test_spans():
 
 def test_tokens():
     assert tokens.TokenCounter()("é") == 2 and not tokens.TokenCounter().exact
+
+
+@pytest.mark.parametrize(
+    ("label", "text"),
+    [("iso-8859-2", "Łódź"), ("Windows-1251", "Привет"), ("koi8-r", "Привет"), ("x-cp1253", "γειά"), ("tis-620", "สวัสดี"), ("ibm866", "Мир"), ("euc-jp", "日本"), ("ms932", "日本"), ("ks_c_5601-1987", "안녕"), ("big5", "繁體"), ("gb18030", "€漢"), ("latin1", "naïve"), ("ISO-8859-9", "ığş"), ("macintosh", "Ünï"), ("utf-16be", "a€"), ("UTF-32LE", "a\U0001f600")],
+)
+def test_labels_of_the_web(label, text):
+    d = decode.explicit(text.encode(decode.codec_of(label)), label)
+    assert (d.kind, d.text, d.encoding) == ("text", text, label)
+
+
+def test_labels_that_are_none():
+    for label in ("nope", "hz-gb-2312", "iso-8859-12", "cp9999", ""):
+        with pytest.raises(ConfigError):
+            decode.codec_of(label)
+
+
+@pytest.mark.parametrize(("name", "good", "bad"), [("kotlin", "a/b.kt", "b.ktx"), ("make", "x/Makefile", "Makefile.txt"), ("docker", "my.Dockerfile.dev", "docker"), ("c", "a.H", "a.cc"), ("ruby", "lib/Rakefile", "Rakefile.md"), ("cmake", "CMakeLists.txt", "Lists.txt"), ("tf", "a.tf.json", "a.json")])
+def test_more_file_types(name, good, bad):
+    assert globs.wanted(good, None, name) and not globs.wanted(bad, None, name)
+
+
+def test_every_file_type_has_globs_that_are_sound():
+    for name, found in globs.TYPES.items():
+        assert found and all(globs.as_regex(g, anywhere=True) for g in found), name
