@@ -85,6 +85,7 @@ def _indented(lines: list[str]) -> list[Symbol]:
 # what may stand before a definition, what it is called, and its name, by language
 _RUST_HEAD = r"^\s*(?:pub(?:\s*\([^)]*\))?\s+)?(?:default\s+|async\s+|unsafe\s+|const\s+(?=(?:async|unsafe|extern|fn)\b)|extern\s+(?:\"[^\"]*\"\s+)?)*"
 _JAVA_HEAD = r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|protected|private|static|final|abstract|sealed|non-sealed|strictfp|synchronized|native|default)\s+)*"
+_JAVA_TYPE = r"(?!(?:public|protected|private|static|final|abstract|sealed|strictfp|synchronized|native|default)\b)[\w.]+(?:<.*?>)?(?:\[\])*\s+"
 _TS_HEAD = r"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?"
 _NOT_CALLS = r"(?!(?:if|for|while|switch|catch|return|new|else|do|throw|super|this|delete|case|sizeof|await|yield|assert)\b)"
 RULES: dict[str, list[tuple[str, str]]] = {
@@ -103,7 +104,7 @@ RULES: dict[str, list[tuple[str, str]]] = {
     "go": [
         ("method", r"^func\s*\([^)]*\)\s*(?P<name>\w+)"),
         ("func", r"^func\s+(?P<name>\w+)"),
-        ("type", r"^\s*type\s+(?P<name>\w+)\s+[^(\s]"),
+        ("type", r"^\s*type\s+(?P<name>\w+)(?:\[[^\]]*\])?\s+[^(\s]"),
     ],
     "java": [
         ("@interface", _JAVA_HEAD + r"@interface\s+(?P<name>\w+)"),
@@ -111,9 +112,9 @@ RULES: dict[str, list[tuple[str, str]]] = {
         ("interface", _JAVA_HEAD + r"interface\s+(?P<name>\w+)"),
         ("enum", _JAVA_HEAD + r"enum\s+(?P<name>\w+)"),
         ("record", _JAVA_HEAD + r"record\s+(?P<name>\w+)\s*[<(]"),
-        ("method", _JAVA_HEAD + r"(?:<[^>]+>\s+)?" + _NOT_CALLS + r"[\w.]+(?:<.*?>)?(?:\[\])*\s+(?P<name>\w+)\s*\([^;=]*(?:\{|;|$|\bthrows\b)"),
+        ("method", _JAVA_HEAD + r"(?:<[^>]+>\s+)?" + _NOT_CALLS + _JAVA_TYPE + r"(?P<name>\w+)\s*\([^;=]*(?:\{|;|$|\bthrows\b)"),
         ("constructor", _JAVA_HEAD + _NOT_CALLS + r"(?P<name>[A-Z]\w*)\s*\([^;=]*(?:\{|,|\($)"),
-        ("method", _JAVA_HEAD + r"(?:<[^>]+>\s+)?" + _NOT_CALLS + r"[\w.]+(?:<.*?>)?(?:\[\])*\s+(?P<name>\w+)\s*\([^);=]*$"),
+        ("method", _JAVA_HEAD + r"(?:<[^>]+>\s+)?" + _NOT_CALLS + _JAVA_TYPE + r"(?P<name>\w+)\s*\([^);=]*$"),
     ],
     "typescript": [
         ("function", _TS_HEAD + r"(?:async\s+)?function\s*\*?\s*(?P<name>\w+)"),
@@ -128,24 +129,84 @@ RULES: dict[str, list[tuple[str, str]]] = {
     ],
     "cpp": [
         ("namespace", r"^\s*(?:inline\s+)?namespace\s+(?P<name>\w+)\s*\{?\s*$"),
-        ("enum", r"^\s*(?:typedef\s+)?enum\s+(?:class\s+|struct\s+)?(?P<name>\w+)[^;()]*\{?[^;]*$"),
-        ("struct", r"^\s*(?:typedef\s+)?(?:template\s*<.*>\s*)?struct\s+(?P<name>\w+)[^;()]*\{?[^;]*$"),
-        ("class", r"^\s*(?:template\s*<.*>\s*)?class\s+(?P<name>\w+)[^;()]*\{?[^;]*$"),
-        ("union", r"^\s*(?:typedef\s+)?union\s+(?P<name>\w+)[^;()]*\{?[^;]*$"),
+        ("enum", r"^\s*(?:typedef\s+)?enum\s+(?:class\s+|struct\s+)?(?P<name>\w+)[^;()]*(?:\{.*)?$"),
+        ("struct", r"^\s*(?:typedef\s+)?(?:template\s*<.*>\s*)?struct\s+(?P<name>\w+)[^;()]*(?:\{.*)?$"),
+        ("class", r"^\s*(?:template\s*<.*>\s*)?class\s+(?P<name>\w+)[^;()]*(?:\{.*)?$"),
+        ("union", r"^\s*(?:typedef\s+)?union\s+(?P<name>\w+)[^;()]*(?:\{.*)?$"),
         ("using", r"^\s*(?:template\s*<.*>\s*)?using\s+(?P<name>\w+)\s*="),
         ("function", r"^\s*(?:template\s*<.*>\s*)?(?:(?:static|inline|constexpr|virtual|explicit|extern|friend)\s+)*" + _NOT_CALLS + r"(?:[\w:<>,&*\s]+?[\s&*]+)?(?P<name>~?[\w:~]+)\s*\([^=;]*\)[^;={]*(?:=\s*(?:default|delete|0)\s*)?(?:\{|;|$)"),
+        ("function", r"^\s*(?:template\s*<.*>\s*)?(?:(?:static|inline|constexpr|virtual|explicit|extern|friend)\s+)*" + _NOT_CALLS + r"[\w:<>,&*\s]+?[\s&*]+(?P<name>[\w:~]+)\s*\([^()=;]*$"),
     ],
 }
 RULES["tsx"] = RULES["typescript"]
 _COMPILED = {k: [(label, re.compile(p)) for label, p in rules] for k, rules in RULES.items()}
 
-_NOISE = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])'|`(?:\\.|[^`\\])*`", re.S)
+# what isn't code, by language: comments, strings and characters as each writes them; lifetimes, digits and preprocessor lines are taken with them
+_STRING, _CHAR, _LINE = r"\"(?:\\.|[^\"\\\n])*\"", r"'(?:\\[^\n]?[^'\n]*|[^'\\\n])'", r"//[^\n]*"
+_TOKENS = {
+    "rust": [_LINE, r"/\*", r"b?r(?P<hashes>#*)\".*?\"(?P=hashes)", r"b?\"(?:\\.|[^\"\\])*\"", r"b?'(?:\\(?:u\{[^}]*\}|x..|.)|[^'\\\n])'", r"'\w+"],
+    "go": [_LINE, r"/\*.*?\*/", r"`[^`]*`", _STRING, _CHAR],
+    "java": [_LINE, r"/\*.*?\*/", r'"""(?:\\.|[^\\])*?"""', _STRING, _CHAR],
+    "typescript": [_LINE, r"/\*.*?\*/", "`", _STRING, r"'(?:\\.|[^'\\\n])*'", r"(?<=[=(,:;!&|?\[{}\n])[ \t]*/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/"],
+    "cpp": [r"(?m:^)[ \t]*\#(?:\\\r?\n|[^\n])*", _LINE, r"/\*.*?\*/", r"R\"(?P<mark>[^()\\\s]{0,16})\(.*?\)(?P=mark)\"", _STRING, r"\b\d[\w']*", _CHAR],
+}
+_TOKENS["tsx"] = _TOKENS["typescript"]
+_NOISE = {k: re.compile("|".join(f"(?:{t})" for t in tokens), re.S) for k, tokens in _TOKENS.items()}
+_NESTED, _TEMPLATE = re.compile(r"/\*|\*/"), re.compile(r"\\.|`|\$\{|[{}]", re.S)
+
+
+def _nested_end(source: str, at: int) -> int:
+    """Behind a comment that opens at `at` and may hold others."""
+    depth = 0
+    for m in _NESTED.finditer(source, at):
+        depth += 1 if m[0] == "/*" else -1
+        if not depth:
+            return m.end()
+    return len(source)
+
+
+def _template_end(source: str, at: int) -> int:
+    """Behind a template that opens at `at`; what is in ${} may hold templates."""
+    open_ = ["`"]
+    for m in _TEMPLATE.finditer(source, at + 1):
+        if m[0] == "`":
+            if open_[-1] == "`":
+                open_.pop()
+                if not open_:
+                    return m.end()
+            else:
+                open_.append("`")
+        elif m[0] == "${" and open_[-1] == "`":
+            open_.append("{")
+        elif m[0] in ("{", "${") and open_[-1] == "{":
+            open_.append("{")
+        elif m[0] == "}" and open_[-1] == "{":
+            open_.pop()
+    return len(source)
+
+
+def bare_code(source: str, language: str) -> str:
+    """The source with comments, strings of several lines, and brackets and semicolons within other strings and characters, as spaces; line breaks stay."""
+    out, at = [], 0
+    noise = _NOISE[language]
+    while m := noise.search(source, at):
+        a, b = m.span()
+        opens = m[0]
+        if opens == "/*":
+            b = _nested_end(source, a)
+        elif opens == "`":
+            b = _template_end(source, a)
+        part = source[a:b]
+        text = part.lstrip(" \t")
+        whole = "\n" in text or text.startswith(("//", "/*", "#", "`")) or language in ("typescript", "tsx") and text.startswith("/")
+        out += [source[at:a], re.sub(r"[^\n]" if whole else r"[(){}\[\];]", " ", part)]
+        at = b
+    return "".join([*out, source[at:]])
 
 
 def braced_symbols(source: str, language: str) -> list[Symbol]:
     """Definitions of a language with braces: heads by rules for lines, ends by matching braces outside comments and strings."""
-    # what can hold stray braces is blanked, line breaks stay
-    bare = _NOISE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if m[0][0] in "/`" or "{" in m[0] or "}" in m[0] else m[0], source)
+    bare = bare_code(source, language)
     lines, originals = bare.split("\n"), source.split("\n")
     starts, at = [], 0
     for line in lines:
@@ -170,11 +231,11 @@ def braced_symbols(source: str, language: str) -> list[Symbol]:
             if label == "constructor" and inside not in ("class", "enum", "record"):
                 continue
             begin = starts[k] + len(line) - len(line.lstrip())
-            end, has_body = marks.end(starts[k] + m.end("name"), language)
+            end, has_body = marks.end(_behind_parameters(bare, starts[k] + m.end("name")), language)
             if language == "cpp" and label in ("struct", "class", "union", "enum") and not has_body:
                 break
             if language == "cpp" and label == "function" and inside in ("class", "struct", "union") and not has_body:
-                label = "method" if re.match(r"^\s*(?:(?:virtual|static|inline|constexpr)\s+)*[\w:<>,&*\s]+?[\s&*]+~?\w+\s*\(", line) else "function"
+                label = "method" if re.match(r"(?:(?:virtual|static|inline|constexpr|explicit)\s+)*[\w:<>,&*]+[\w:<>,&*\s]*?[\s&*]+~?\w+\s*\(", line.strip()) else "function"
             last = bisect_left(starts, end + 1)
             out.append((begin, end, Symbol(m["name"], label, 1, k + 1, last, signature(originals[k]))))
             in_body.append((end, label))
@@ -187,6 +248,20 @@ def braced_symbols(source: str, language: str) -> list[Symbol]:
     return [s for _, _, s in out]
 
 
+def _behind_parameters(bare: str, at: int) -> int:
+    """Behind the type parameters that follow a name at `at`, if any; braces may stand in them."""
+    if bare[at : at + 1] != "<":
+        return at
+    depth = 0
+    for m in re.finditer(r"=>|[<>;]", bare[at:]):
+        depth += {"<": 1, ">": -1}.get(m[0], 0)
+        if m[0] == ";":
+            break
+        if not depth:
+            return at + m.end()
+    return at
+
+
 class _Marks:
     """Brackets, semicolons and line breaks of a text, found once, with the brace that closes each."""
 
