@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import BYTE_VALUES, by_arrow, parts_of_rows, powers
+from corpusloom.llm.common import BYTE_VALUES, buffers, by_arrow, parts_of_rows, powers, stored
 
 #: Labelled rows that the classifiers are fitted on, about.
 LABELLED = 12_000
@@ -28,7 +28,9 @@ BUCKETS, META = 1 << 20, 1 << 11
 #: How far a word's share of a class must be off for the text view to know it, in standard errors.
 STRIKING = 5.0
 #: Rounds, pseudo-labels of a class that a view gives in one, their least probability, and parts in which the surest are looked for.
-ROUNDS, GIVEN, SURE, PARTS = 2, 400, 0.97, 64
+ROUNDS, GIVEN, SURE, PARTS = 3, 400, 0.97, 64
+#: Bytes of distinct words (four each) beyond which a row teaches nothing, and of those of all labelled rows at most.
+TAUGHT_BYTES, LABELLED_BYTES = 1 << 14, 64_000_000
 #: Every so many'th labelled row is kept apart to calibrate.
 APART = 5
 TARGETS = ("quality", "toxic")
@@ -175,7 +177,7 @@ class Rows:
     def __init__(self, t: pa.Table):
         """From the columns of FEATURES."""
         of = lambda c, kind: [np.frombuffer(x, kind) for x in t.column(c).to_pylist()]
-        self.words, self.shape = of("words", np.uint32), np.array(of("shape", np.float32), np.float64).reshape(-1, SHAPE)
+        self.words, self.shape = of("words", np.uint32), np.array(of("shape", np.float64)).reshape(-1, SHAPE)
         self.meta = np.array(of("meta", np.int32)).reshape(-1, 3)
 
     def add(self, other: Rows) -> None:
@@ -253,6 +255,8 @@ class CoTrained:
 
 
 FEATURES = "words binary, shape binary, meta binary"
+#: Rows that are scored together.
+ROWS = 1_024
 
 
 def _views(column: pa.Array, extra: list[list]) -> Iterator[tuple[int, int, list]]:
@@ -280,10 +284,26 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = np.concatenate(([0], np.cumsum(counts)))
             words = [flat[x:y].astype(np.uint32).tobytes() for x, y in zip(cut, cut[1:])]
             metas = [x.astype(np.int32).tobytes() for x in meta.reshape(-1, 3)]
-            shapes = [x.astype(np.float32).tobytes() for x in shape]
+            shapes = [x.astype(np.float64).tobytes() for x in shape]
             yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in rest] + [pa.array(x, pa.binary()) for x in (words, shapes, metas)], [*rest, "words", "shape", "meta"])
 
 
+def _stored_views(batch: pa.RecordBatch) -> list[tuple]:
+    """Both views' features of rows with FEATURES."""
+    n = batch.num_rows
+    words, at = buffers(batch.column("words"))
+    of = lambda c, kind: np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(n, -1)
+    flat = np.frombuffer(words[at[0] : at[-1]].tobytes(), np.uint32).astype(np.int64)
+    return [(flat, np.diff(at) // 4, of("shape", np.float64)), (of("meta", np.int32).ravel(), np.full(n, 3), np.zeros((n, 0)))]
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    """doc_id, h (a hash of the text) and FEATURES of each row of docs (doc_id, text, source, lang, n_chars), as a table that all rounds read."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"), "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return stored(by_arrow(rows, _featured, f"doc_id {kind}, h long, " + FEATURES))
+
+
 #: A row that a view is sure of: target and view and label as one number, log odds, and the row's name.
 SURE_OF = "code int, z double, doc_id long, h long"
 
@@ -291,14 +311,15 @@ SURE_OF = "code int, z double, doc_id long, h long"
 def _confident(models: Broadcast):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            extra = [batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")]
-            ids, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "h"))
-            for a, b, views in _views(batch.column("text"), extra):
+            for first in range(0, batch.num_rows, ROWS):
+                b = batch.slice(first, ROWS)
+                ids, h = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "h"))
+                views = _stored_views(b)
                 for k, t in enumerate(TARGETS):
                     for view, z in enumerate(models.value[t].sure(views)):
                         at = np.flatnonzero(z)
                         code = k * 4 + view * 2 + (z[at] > 0)
-                        yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(np.abs(z[at])), pa.array(ids[a:b][at].astype(np.int64)), pa.array(h[a:b][at])], ["code", "z", "doc_id", "h"])
+                        yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(np.abs(z[at])), pa.array(ids[at].astype(np.int64)), pa.array(h[at])], ["code", "z", "doc_id", "h"])
 
     return f
 
@@ -311,25 +332,34 @@ def _surest(sure: DataFrame, given: int) -> DataFrame:
     return sure
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict[str, CoTrained]:
+def _sampled(rows: DataFrame) -> pa.Table:
+    """Rows by doc_id and hash, at the driver."""
+    return rows.toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, features: DataFrame | None = None) -> dict[str, CoTrained]:
     """A model for each of TARGETS from about so many labelled rows, chosen by a hash of doc_id, and from all rows without a label.
 
     A doc_id with several labels counts as their mean, rounded; null labels are
-    none, and rows without a doc_id take no part. To the driver come the
-    labelled rows' features and in each round at most GIVEN rows for each
-    target, view and class.
+    none, and rows without a doc_id take no part, nor do those of more than
+    TAUGHT_BYTES. To the driver come the labelled rows' features, of at most about
+    LABELLED_BYTES, and in each round at most GIVEN rows for each target, view and
+    class. features: what featured() gives of docs.
     """
     spark = docs.sparkSession
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("fit8"), "doc_id"), 11) / F.lit(float(1 << 53))
     labels = labels.where("doc_id is not null")
     n_labels = labels.count()
     known = labels.where(draw < min(1.0, labelled / max(1, n_labels))).groupBy("doc_id").agg(*(F.round(F.avg(t)).alias(t) for t in TARGETS))
+    named = (featured(docs) if features is None else features).where((F.col("doc_id").isNotNull()) & (F.octet_length("words") <= TAUGHT_BYTES))
     # at most about `labelled` rows
-    some = docs.where("doc_id is not null").join(F.broadcast(known), "doc_id").drop("doc_id")
-    t = by_arrow(some.select("text", "source", "lang", "n_chars", *TARGETS), _featured, ", ".join(f"{t} double" for t in TARGETS) + ", " + FEATURES).toArrow()
+    some = named.join(F.broadcast(known), "doc_id")
+    size = some.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    if size > LABELLED_BYTES:
+        some = some.where(F.shiftrightunsigned(F.xxhash64(F.lit("bytes8"), "h"), 11) / F.lit(float(1 << 53)) < LABELLED_BYTES / size)
+    t = _sampled(some)
     rows = Rows(t)
     models = {k: CoTrained(rows, t.column(k).to_numpy().astype(np.float64)) for k in TARGETS}
-    named = docs.where("doc_id is not null").withColumn("h", F.xxhash64("text"))
     # never more than ROUNDS * GIVEN rows for each target, view and class
     used = spark.createDataFrame([], "doc_id long, h long")
     for _ in range(ROUNDS):
@@ -338,12 +368,12 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> dict[st
         now = spark.sparkContext.broadcast(models)
         sure = by_arrow(named, _confident(now), SURE_OF)
         sure = sure.join(labels.select("doc_id").distinct(), "doc_id", "left_anti").join(F.broadcast(used), ["doc_id", "h"], "left_anti").distinct()
-        best = _surest(sure, GIVEN).select("code", "doc_id", "h").toPandas()
+        best = _surest(sure, GIVEN).select("code", "doc_id", "h").toPandas().sort_values(["code", "doc_id", "h"])
         if not len(best):
             break
-        names = spark.createDataFrame(list({(int(d), int(h)) for d, h in zip(best.doc_id, best.h)}), "doc_id long, h long")
+        names = spark.createDataFrame(sorted({(int(d), int(h)) for d, h in zip(best.doc_id, best.h)}), "doc_id long, h long")
         used = used.unionByName(names)
-        got = by_arrow(named.join(F.broadcast(names), ["doc_id", "h"], "left_semi").select("doc_id", "h", "text", "source", "lang", "n_chars"), _featured, "doc_id long, h long, " + FEATURES).toArrow()
+        got = _sampled(named.join(F.broadcast(names), ["doc_id", "h"], "left_semi"))
         place = {}
         for i, name in enumerate(zip(got.column("doc_id").to_pylist(), got.column("h").to_pylist())):
             place.setdefault(name, len(rows.words) + i)
@@ -365,17 +395,19 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     a score is the prior of those there are; repeated rows are scored each; an
     empty table gives no rows; other columns are ignored. Of rows that a view is
     as sure of, those with the least doc_id teach. Long texts are looked at in
-    parts.
+    parts; the features of all rows are a table that rounds and scores read.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
-    models = spark.sparkContext.broadcast(fit(docs, labels.select("doc_id", *TARGETS)))
+    features = featured(docs)
+    models = spark.sparkContext.broadcast(fit(docs, labels.select("doc_id", *TARGETS), features=features))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            extra = [batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")]
-            for a, b, views in _views(batch.column("text"), extra):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *(pa.array(models.value[t].scores(views)) for t in TARGETS)], ["doc_id", "quality_score", "toxic_score"])
+            for first in range(0, batch.num_rows, ROWS):
+                b = batch.slice(first, ROWS)
+                views = _stored_views(b)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(models.value[t].scores(views)) for t in TARGETS)], ["doc_id", "quality_score", "toxic_score"])
 
-    out = by_arrow(docs, f, "doc_id long, quality_score double, toxic_score double")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = by_arrow(features, f, f"doc_id {kind}, quality_score double, toxic_score double")
     return out.withColumn("kept", (F.col("quality_score") >= 0.5) & (F.col("toxic_score") < 0.5))

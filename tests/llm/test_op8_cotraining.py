@@ -114,3 +114,88 @@ def test_nothing_to_learn(spark):
         out = op.classified(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
         assert len(out) == 20 and len({r.quality_score for r in out}) == 1
     assert op.classified(spark.createDataFrame([], SCHEMA), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def plain_cotraining(rows, labels, target):
+    """The rounds by plain means, for one target: (words that the text view knows, what each view was taught)."""
+    where = op.TARGETS.index(target)
+    label = {d: x[where] for d, *x in labels}
+    docs = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
+    seen, shapes, metas = {}, {}, {}
+    for d, text, source, lang, size, _ in docs:
+        data, at = common.buffers(pa.array([text or ""]))
+        flat, _, shape = op.text_features(data, at)
+        seen[d], shapes[d], metas[d] = set(flat.tolist()), shape[0], op.meta_buckets(source, lang, size)
+    given = [d for d, *_ in docs if d in label]
+    apart = given[:: op.APART]
+    taught = [[(d, label[d]) for d in given if d not in set(apart)] for _ in (0, 1)]
+    prior = (sum(label[d] for d in given) + 1) / (len(given) + 2)
+    base, limit = log(prior / (1 - prior)), log(op.SURE / (1 - op.SURE))
+    used = set()
+
+    def fitted():
+        t = taught[0]
+        n1, n0 = sum(y for _, y in t), sum(1 - y for _, y in t)
+        known = []
+        for w in sorted(set().union(*(seen[d] for d, _ in t))):
+            a, b = sum(w in seen[d] for d, y in t if y), sum(w in seen[d] for d, y in t if not y)
+            off = a * n0 / (n0 + n1) - b * n1 / (n0 + n1)
+            if abs(off) * ((n0 + n1) ** 3 / max(1, (a + b) * (n0 + n1 - a - b) * n0 * n1)) ** 0.5 >= op.STRIKING:
+                known.append(w)
+        number = {w: i for i, w in enumerate(known)}
+
+        def features(view, d):
+            if view:
+                return metas[d], []
+            bins = [len(known) + k * op.BINS + min(op.BINS - 1, int(x * op.BINS)) for k, x in enumerate(shapes[d])]
+            return [number[w] for w in sorted(seen[d]) if w in number] + bins, shapes[d]
+
+        def many(view, ds):
+            of = [features(view, d) for d in ds]
+            return np.concatenate([x for x, _ in of]).astype(np.int64), np.array([len(x) for x, _ in of]), np.array([s for _, s in of]).reshape(len(ds), -1)
+
+        scores = []
+        for view in (0, 1):
+            ds, ys = zip(*taught[view])
+            model = op.Linear(len(known) + op.SHAPE * op.BINS, op.SHAPE) if view == 0 else op.Linear(op.META, 0)
+            model.fit(*many(view, ds), np.array(ys, float), np.ones(len(ds)))
+            a, b = op.calibration(model.logits(*many(view, apart)), np.array([label[d] for d in apart], float))
+            scores.append(lambda d, view=view, model=model, a=a, b=b: a * float(model.logits(*many(view, [d]))[0]) + b)
+        return known, scores
+
+    known, scores = fitted()
+    for _ in range(op.ROUNDS):
+        surest = []
+        for view in (0, 1):
+            z = {d: scores[view](d) for d, *_ in docs if d not in label and d not in used}
+            for y in (0, 1):
+                fit = [(-abs(x), d) for d, x in z.items() if (x > 0) == bool(y) and abs(x) > limit and x * (x - base) > 0 and abs(x - base) > 1]
+                surest.append((view, y, [d for _, d in sorted(fit)[: op.GIVEN]]))
+        if not any(ds for *_, ds in surest):
+            break
+        for view, y, ds in surest:
+            taught[1 - view] += [(d, y) for d in ds]
+            used |= set(ds)
+        known, scores = fitted()
+    return known, taught
+
+
+def test_rounds_against_plain_cotraining(spark, monkeypatch):
+    monkeypatch.setattr(op, "GIVEN", 12)
+    rows, labels = table(400)
+    # with one target alone nothing that the other is sure of is used up
+    monkeypatch.setattr(op, "TARGETS", ("quality",))
+    models = op.fit(spark.createDataFrame(rows, SCHEMA).repartition(3), spark.createDataFrame([x[:2] for x in labels], "doc_id long, quality int"))
+    known, taught = plain_cotraining(rows, labels, "quality")
+    m = models["quality"]
+    assert np.flatnonzero(m.known.table >= 0).tolist() == known
+    assert [len(at) for at, _ in m.taught] == [len(t) for t in taught]
+    assert [sorted(y.tolist()) for _, y in m.taught] == [sorted(float(y) for _, y in t) for t in taught]
+    assert len(taught[0]) + len(taught[1]) > 2 * len([1 for d, *_ in labels]) * 4 // 5 + 12
+
+
+def test_rows_of_very_many_words_are_scored_but_teach_nothing(spark, monkeypatch):
+    monkeypatch.setattr(op, "TAUGHT_BYTES", 40)
+    rows, labels = table(60)
+    out = op.classified(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(out) == 60 and len({r.quality_score for r in out}) == 1
