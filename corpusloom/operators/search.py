@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.errors import ConfigError
@@ -22,6 +22,8 @@ from corpusloom.sources.corpus import Corpus
 MODES = ("files_with_matches", "content", "count", "summary")
 #: Bytes of matching lines of a file beyond which it is skipped.
 CAPTURED = 64 << 20
+#: A character that is put in front of matches.
+_MARK = "\ue000"
 
 
 @dataclass(frozen=True)
@@ -135,37 +137,53 @@ def matching_lines(corpus: Corpus, s: Search) -> DataFrame:
     return out.select("rel", "mtime_ns", F.col("x.no").cast("long").alias("line_no"), F.col("x.line").alias("line"), F.rlike("x.line", p).alias("is_match"), (F.col("j") + 1).cast("long").alias("block"))
 
 
-def capture_skips(corpus: Corpus, s: Search) -> DataFrame:
-    """path, reason, kind of files that matching_lines() leaves out."""
-    rows = _captured(corpus, s).where(F.col("captured") > CAPTURED)
-    return rows.select(F.col("rel").alias("path"), F.concat(F.lit("its matching lines have "), F.col("captured").cast("string"), F.lit(f" bytes, more than {CAPTURED}")).alias("reason"), F.lit("captured").alias("kind"))
+def _matched(corpus: Corpus, s: Search) -> DataFrame:
+    """rel, mtime_ns, found, captured of each file with a match that isn't empty-able: (line_no, ordinal, matched) of its matches, and their bytes."""
+    files = selected(corpus, replace(s, only_matching=True))
+    p = F.lit(s.regex(files.sparkSession))
+    one = lambda line, k, m: F.struct(line.cast("long").alias("line_no"), (k + 1).cast("long").alias("ordinal"), m.alias("matched"))
+    if s.multiline:
+        # each match gets a mark in front, so that a line's marks, less those it has anyway, are the matches that begin in it
+        marks = lambda c: F.length(c) - F.length(F.replace(c, F.lit(_MARK), F.lit("")))
+        counts = F.zip_with(F.split(F.regexp_replace("text", p, F.lit(_MARK + "$0")), "\n", -1), F.split("text", "\n", -1), lambda x, y: marks(x) - marks(y))
+        starts = F.flatten(F.transform(counts, lambda n, i: F.array_repeat(i + 1, n)))
+        rows = files.select("rel", "mtime_ns", F.regexp_extract_all("text", p, F.lit(0)).alias("m"), starts.alias("starts"))
+        found = F.transform("m", lambda m, k: one(F.get("starts", k), k, m))
+    else:
+        rows = files.select("rel", "mtime_ns", F.transform(search_lines(F.col("text")), lambda x: F.regexp_extract_all(x, p, F.lit(0))).alias("m"))
+        found = F.flatten(F.transform("m", lambda ms, i: F.transform(ms, lambda m, k: one(i + 1, k, m))))
+    rows = rows.select("rel", "mtime_ns", found.alias("found")).where(F.size("found") > 0)
+    return rows.withColumn("captured", F.aggregate("found", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x["matched"])))
+
+
+def capture_skips(corpus: Corpus, s: Search) -> DataFrame | None:
+    """path, reason, kind of files that a search of content leaves out for the bytes it would show; None where it can't leave out any."""
+    whole = not (s.only_matching or s.multiline)
+    if not whole and nullable(s.regex(corpus.files.sparkSession)):
+        return None
+    rows = (_captured if whole else _matched)(corpus, s).where(F.col("captured") > CAPTURED)
+    what = "matching lines" if whole else "matches"
+    return rows.select(F.col("rel").alias("path"), F.concat(F.lit(f"its {what} have "), F.col("captured").cast("string"), F.lit(f" bytes, more than {CAPTURED}")).alias("reason"), F.lit("captured").alias("kind"))
 
 
 def occurrences(corpus: Corpus, s: Search) -> DataFrame:
-    """rel, mtime_ns, line_no, ordinal, matched of each match within a line, or (multiline) in a whole text, with line_no that of its start."""
+    """rel, mtime_ns, line_no, ordinal, matched of each match within a line, or (multiline) in a whole text, with line_no that of its start.
+
+    A file whose matches have more than CAPTURED bytes is in capture_skips()
+    instead, unless the pattern can match nothing.
+    """
+    regex = s.regex(corpus.files.sparkSession)
+    if not nullable(regex):
+        rows = _matched(corpus, s).where(F.col("captured") <= CAPTURED)
+        return rows.select("rel", "mtime_ns", F.explode("found").alias("x")).select("rel", "mtime_ns", "x.*")
     files = selected(corpus, replace(s, only_matching=True))
-    regex = s.regex(files.sparkSession)
-    p = F.lit(regex)
-    empty = nullable(regex)
-    if s.multiline and empty:
+    if s.multiline:
         rows = files.select("rel", "mtime_ns", "text", F.posexplode(find_spans(F.col("text"), regex)).alias("k", "x"))
         before = F.left("text", F.col("x.char_start"))
         line_no = 1 + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
         return rows.select("rel", "mtime_ns", line_no.cast("long").alias("line_no"), (F.col("k") + 1).cast("long").alias("ordinal"), F.substring("text", F.col("x.char_start") + 1, F.col("x.char_len")).alias("matched"))
-    if s.multiline:
-        # what stands between the matches, and these, tell the lines before each
-        feeds = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-        rows = files.select("rel", "mtime_ns", F.regexp_extract_all("text", p, F.lit(0)).alias("m"), F.split("text", p, -1).alias("gaps")).where(F.size("m") > 0)
-        rows = rows.select("rel", "mtime_ns", F.posexplode(F.arrays_zip("m", "gaps")).alias("k", "x")).where("x.m is not null")
-        w = Window.partitionBy("rel").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-        start = 1 + F.sum(feeds(F.col("x.gaps")) + feeds(F.col("x.m"))).over(w) - feeds(F.col("x.m"))
-        out = rows.select("rel", "mtime_ns", start.cast("long").alias("line_no"), (F.col("k") + 1).cast("long").alias("ordinal"), F.col("x.m").alias("matched"))
-        return out
-    rows = files.select("rel", "mtime_ns", F.posexplode(search_lines(F.col("text"))).alias("k", "line")).where(F.rlike("line", p))
-    found = F.regexp_extract_all("line", p, F.lit(0))
-    if empty:
-        rows = rows.withColumn("spans", find_spans(F.col("line"), regex))
-        found = F.transform("spans", lambda x: F.substring("line", x["char_start"] + 1, x["char_len"]))
+    rows = files.select("rel", "mtime_ns", F.posexplode(search_lines(F.col("text"))).alias("k", "line")).where(F.rlike("line", F.lit(regex)))
+    found = F.transform(find_spans(F.col("line"), regex), lambda x: F.substring("line", x["char_start"] + 1, x["char_len"]))
     rows = rows.select("rel", "mtime_ns", (F.col("k") + 1).cast("long").alias("line_no"), F.posexplode(found).alias("j", "matched"))
     return rows.select("rel", "mtime_ns", "line_no", (F.col("j") + 1).cast("long").alias("ordinal"), "matched")
 

@@ -168,7 +168,7 @@ class Engine:
     def search_corpus(self, corpus: Corpus, s: Search, head_limit: int = ENTRIES, offset: int = 0, budget: int | None = None, args: dict | None = None, line_numbers: bool = True, headers: bool = True) -> Page:
         """A page of a search over any corpus; headers: whether content names its files."""
         budget = budget or resolve("search", self.env)
-        skipped = self._skips(corpus, search.capture_skips(corpus, s) if s.output_mode == "content" and not (s.only_matching or s.multiline) else None)
+        skipped = self._skips(corpus, search.capture_skips(corpus, s) if s.output_mode == "content" else None)
         notes = "".join(f" {n}" for n in corpus.notes())
         if s.output_mode == "summary":
             r = search.summary(corpus, s).first()

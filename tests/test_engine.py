@@ -1,5 +1,6 @@
 import json
 import os
+import re
 
 import pytest
 
@@ -388,3 +389,23 @@ def test_read_pages_by_tokens(spark, tmp_path):
         seen += [x.split("\t", 1)[1] for x in p.text.split("\n") if "\t" in x]
         call = p.next_call
     assert seen == text.split("\n")[:-1]
+
+
+def test_matches_over_lines_of_any_text(spark):
+    text = "x\nab\nab\nc ab\nab\n"
+    rows = [("f", 1, text), ("f", 2, "ab\nab"), ("g", 3, "none"), ("h", 4, "\n\nab\n")]
+    found = search.occurrences(corpus(spark, rows), Search(r"b.*?\n|a", output_mode="content", multiline=True)).collect()
+    want = []
+    for rel, at, t in rows:
+        for k, m in enumerate(re.finditer(r"b.*?\n|a", t, re.S), 1):
+            want.append((rel, at, 1 + t[: m.start()].count("\n"), k, m[0]))
+    assert sorted(tuple(r) for r in found) == sorted(want)
+
+
+@pytest.mark.parametrize("how", [{"only_matching": True}, {"multiline": True}, {"multiline": True, "only_matching": True}, {}])
+def test_files_with_too_many_matches_are_skipped_in_every_mode(spark, monkeypatch, how):
+    monkeypatch.setattr(search, "CAPTURED", 10)
+    c = corpus(spark, [("big", 2, "hit hit hit\nhit\n"), ("small", 1, "hit\n\nhit\n")])
+    p = Engine(spark, "/", env={}).search_corpus(c, Search("hit", output_mode="content", **how))
+    assert p.terminal.total == 2 and [d["path"] for d in p.skip_report["details"]] == ["big"] and "big" not in p.text
+    assert Engine(spark, "/", env={}).search_corpus(c, Search("hit", output_mode="count", **how)).terminal.total == 2
