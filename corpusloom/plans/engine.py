@@ -28,6 +28,8 @@ from corpusloom.sources.paths import from_windows, resolved, shown
 from corpusloom.sources.tree import corpus_of, sealed, tree_corpus, tree_files
 
 DETAILS, ENTRIES = 256, 250
+#: The variable that says how pages are given.
+WIRE = "CORPUSLOOM_WIRE"
 #: How many of the newest files a page looks at first, then.
 NEWEST = (1_000, 30_000)
 
@@ -64,7 +66,9 @@ class Page:
         out = {"token_usage": usage, "truncated": self.truncated, "next_call": self.next_call, "violations": self.violations, "text": self.text, "terminal": {k: v for k, v in asdict(self.terminal).items() if v is not None}, "skip_report": self.skip_report}
         return json.dumps({k: v for k, v in out.items() if v is not None}, ensure_ascii=False, separators=(",", ":"))
 
-    def wire(self, mode: str = "text") -> str:
+    def wire(self, mode: str | None = None, env: dict[str, str] | None = None) -> str:
+        """The page as text or envelope: by mode, else by what the environment says, else as text."""
+        mode = mode or (os.environ if env is None else env).get(WIRE) or "text"
         if mode not in ("text", "envelope"):
             raise ConfigError(f"unknown wire mode {mode!r}")
         return self.envelope() if mode == "envelope" else self.text if self.text is not None else self.terminal.note or ""
@@ -75,14 +79,15 @@ def plural(n: int, unit: str) -> str:
 
 
 def window(line: str, spans: list[tuple[int, int]], most: int = 2000, margin: int = 100) -> str:
-    """A line of more than 500 bytes around its first matches."""
+    """A line of more than 500 bytes around its first matches; a first match that is longer than the window is cut and says so."""
     if len(line.encode()) <= 500 or not spans:
         return line
-    start = max(0, spans[0][0] - margin)
+    start = max(0, spans[0][0] - margin) if spans[0][1] + margin <= most else spans[0][0]
     end = min(len(line), start + most, max(a + n for a, n in spans if a - start < most) + margin)
-    beyond = sum(1 for a, n in spans if a + n > end)
+    cut = spans[0][0] + spans[0][1] > end
+    beyond = sum(1 for a, n in spans[1:] if a + n > end)
     size = f" (line of {len(line.encode())} bytes" + (f", {plural(beyond, 'match')[:-1] + 'es' if beyond > 1 else '1 match'} beyond" if beyond else "") + ")"
-    return ("…" if start else "") + line[start:end] + ("…" if end < len(line) else "") + size
+    return ("…" if start else "") + line[start:end] + ("…" if end < len(line) else "") + (f" (match of {spans[0][1]} characters cut)" if cut else "") + size
 
 
 def context_line(line: str) -> str:
@@ -133,8 +138,11 @@ class Engine:
         whole = lambda df, c: df if df is None else df.withColumn(c, F.concat(F.lit(folder.rstrip("/") + "/"), F.col(c)))
         return replace(corpus, files=whole(corpus.files, "rel"), skips=whole(corpus.skips, "path"), encodings=whole(corpus.encodings, "rel"))
 
-    def _finish(self, page: Page, budget: int, tool: str) -> Page:
-        page.budget, page.returned = budget, self.count(page.wire())
+    def _finish(self, page: Page, budget: int, tool: str, counted: int | None = None) -> Page:
+        """The page, if it keeps to the budget. counted: what it came to piece by piece."""
+        page.budget, page.returned = budget, self.count(page.wire("text"))
+        if counted is not None and counted != page.returned:
+            raise RuntimeError(f"a page was counted as {counted} tokens and has {page.returned}")
         if page.returned > budget:
             raise BudgetTooSmall(tool, budget, "the page")
         return page
@@ -273,7 +281,8 @@ class Engine:
         x = skips.agg(F.count_if(F.col("kind") != "unreachable").alias("files"), F.count_if(F.col("kind") == "unreachable").alias("unreachable")).first()
         if not x.files and not x.unreachable:
             return None
-        rows = skips.orderBy("path").limit(DETAILS).collect()
+        # what wasn't reached comes before what was, but couldn't be shown
+        rows = skips.orderBy(F.col("kind") != "unreachable", "path").limit(DETAILS).collect()
         return {"files": x.files, "unreachable": x.unreachable, "details": [{"path": r.path, "reason": r.reason} for r in rows], "unlisted": x.files + x.unreachable - len(rows)}
 
     @staticmethod
@@ -303,7 +312,8 @@ class Engine:
         page = Page(render(k), Terminal("partial" if partial else "complete", "files", offset + 1, offset + k, total), next_call={"tool": "glob", "arguments": {a: v for a, v in args.items() if v is not None}} if partial else None)
         return self._finish(page, budget, "glob")
 
-    def _lines(self, path: str, encoding: str | None) -> list[str]:
+    def _lines(self, path: str, encoding: str | None) -> tuple[list[str], bool]:
+        """A file's lines, and whether it is so large that how many there are isn't told."""
         data, _ = sealed(self._path(path))
         if not encoding and is_magic(data):
             raise EncodingError(f"{path} is a binary file")
@@ -313,7 +323,7 @@ class Engine:
         lines = d.text.split("\n")
         if lines[-1] == "":
             lines.pop()
-        return [x.removesuffix("\r") for x in lines]
+        return [x.removesuffix("\r") for x in lines], len(data) > reads.COUNTED
 
     def read(self, file_path: str | None = None, files: list[dict] | None = None, offset: int | None = None, limit: int | None = None, encoding: str | None = None) -> Page:
         """A window of one file's lines, or of several files'."""
@@ -327,8 +337,9 @@ class Engine:
         first = offset or 1
         if first < 1 or limit is not None and limit < 1:
             raise ConfigError("offset and limit count from 1")
-        lines = self._lines(file_path, encoding)
+        lines, vast = self._lines(file_path, encoding)
         total = len(lines)
+        known, of = (None, "") if vast else (total, f" of {total}")
         if not total or first > total:
             note = "(The file is empty.)" if not total else f"(Line {first} is behind the end; the file has {plural(total, 'line')}.)"
             return self._finish(Page(note, Terminal("complete", "lines", 0, 0, total)), budget, "read")
@@ -339,21 +350,21 @@ class Engine:
 
         def tail(k: int) -> str:
             state = "Partial: the budget ends here" if k < len(cut) else "Complete: requested window shown"
-            return f"\n({state}; lines {first}-{first + k - 1} of {total} shown.)"
+            return f"\n({state}; lines {first}-{first + k - 1}{of} shown.)"
 
         # line by line, each counted once
-        k, so_far = 0, PrefixCounter(self.count)
+        k, cost, so_far = 0, 0, PrefixCounter(self.count)
         for i, line in enumerate(shown, 1):
-            if so_far.push(line).total(tail(i)) <= budget:
-                k = i
+            if (now := so_far.push(line).total(tail(i))) <= budget:
+                k, cost = i, now
             elif so_far.total() > budget:
                 break
         if not k:
             raise BudgetTooSmall("read", budget, "one line")
         end = first + k - 1
         partial = k < len(cut)
-        page = Page("".join(shown[:k]) + tail(k), Terminal("partial" if partial else "complete", "lines", first, end, total), next_call={"file_path": file_path, "offset": end + 1} if partial else None)
-        return self._finish(page, budget, "read")
+        page = Page("".join(shown[:k]) + tail(k), Terminal("partial" if partial else "complete", "lines", first, end, known), next_call={"file_path": file_path, "offset": end + 1} if partial else None)
+        return self._finish(page, budget, "read", cost)
 
     def _read_many(self, files: list[dict], limit: int | None, budget: int) -> Page:
         entries = [{"path": f["path"], "offset": f.get("offset") or 1, "limit": f.get("limit") or limit, "encoding": f.get("encoding")} for f in files]
@@ -362,10 +373,10 @@ class Engine:
         place = lambda e: os.path.realpath(resolved(self.root, from_windows(e["path"])))
         if len({(place(e), *list(e.values())[1:]) for e in entries}) < len(entries):
             raise ConfigError("an entry is there twice")
-        parts: list[tuple[str, list[str], int, int]] = []  # head, lines, number of the first and of all
+        parts: list[tuple[str, list[str], int, int | None]] = []  # head, lines, number of the first and of all
         for e in entries:  # few, each judged for itself
             try:
-                lines = self._lines(e["path"], e["encoding"])
+                lines, vast = self._lines(e["path"], e["encoding"])
             except (ConfigError, EncodingError, OSError) as x:
                 parts.append((f"=== {e['path']} ===\n(Error: {x})", [], 0, 0))
                 continue
@@ -373,14 +384,14 @@ class Engine:
             if e["offset"] > len(lines):
                 parts.append((f"=== {e['path']} ===\n(Warning: {'the file is empty' if not lines else 'the window begins behind the end'})", [], 0, 0))
                 continue
-            parts.append((f"=== {e['path']} ", [cut_line(x) for x in lines[e["offset"] - 1 : last]], e["offset"], len(lines)))
+            parts.append((f"=== {e['path']} ", [cut_line(x) for x in lines[e["offset"] - 1 : last]], e["offset"], None if vast else len(lines)))
 
-        def rendered(part: tuple[str, list[str], int, int], n: int | None = None) -> str:
+        def rendered(part: tuple[str, list[str], int, int | None], n: int | None = None) -> str:
             head, lines, first, total = part
             lines = lines if n is None else lines[:n]
             if not lines:
                 return head
-            return f"{head}(lines {first}-{first + len(lines) - 1} of {total}) ===\n" + "\n".join(f"{i}\t{x}" for i, x in enumerate(lines, first))
+            return f"{head}(lines {first}-{first + len(lines) - 1}{'' if total is None else f' of {total}'}) ===\n" + "\n".join(f"{i}\t{x}" for i, x in enumerate(lines, first))
 
         def render(k: int, n: int = 0) -> str:
             """k whole files, and n lines of the next."""

@@ -409,3 +409,41 @@ def test_files_with_too_many_matches_are_skipped_in_every_mode(spark, monkeypatc
     p = Engine(spark, "/", env={}).search_corpus(c, Search("hit", output_mode="content", **how))
     assert p.terminal.total == 2 and [d["path"] for d in p.skip_report["details"]] == ["big"] and "big" not in p.text
     assert Engine(spark, "/", env={}).search_corpus(c, Search("hit", output_mode="count", **how)).terminal.total == 2
+
+
+def test_a_match_that_is_longer_than_its_window():
+    line = "x" * 300 + "y" * 3000 + "x" * 300 + "y"
+    shown = window(line, [(300, 3000), (3600, 1)])
+    assert shown.startswith("…yyy") and shown.endswith("… (match of 3000 characters cut) (line of 3601 bytes, 1 match beyond)")
+    assert len(shown) < 2100
+    # one that fits is shown whole, with what is around it
+    assert window("x" * 900 + "hit" + "x" * 900, [(900, 3)]) == "…" + "x" * 100 + "hit" + "x" * 100 + "… (line of 1803 bytes)"
+
+
+def test_how_a_page_is_given(spark, tree):
+    p = Engine(spark, str(tree), env={}).read("a.txt")
+    assert p.wire() == p.wire("text", {"CORPUSLOOM_WIRE": "envelope"}) == p.text
+    assert json.loads(p.wire(env={"CORPUSLOOM_WIRE": "envelope"}))["text"] == p.text
+    with pytest.raises(ConfigError):
+        p.wire(env={"CORPUSLOOM_WIRE": "other"})
+
+
+def test_files_that_are_too_large_to_count_lines_of(spark, tree, monkeypatch):
+    from corpusloom.operators import read
+
+    monkeypatch.setattr(read, "COUNTED", 5)
+    e = Engine(spark, str(tree), env={})
+    p = e.read("a.txt", limit=2)
+    assert p.terminal.total is None and "lines 1-2 shown" in p.text
+    many = e.read(files=[{"path": "a.txt", "limit": 1}, {"path": "m.txt"}])
+    assert "=== a.txt (lines 1-1) ===" in many.text and "=== m.txt (lines 1-2) ===" in many.text
+    monkeypatch.undo()
+    assert "lines 1-3 of 3 shown" in e.read("a.txt").text
+
+
+def test_a_page_that_is_counted_wrongly_is_an_error(spark, tree, monkeypatch):
+    from corpusloom.plans import engine
+
+    monkeypatch.setattr(engine.PrefixCounter, "total", lambda self, tail="": 1)
+    with pytest.raises(RuntimeError):
+        Engine(spark, str(tree), env={}).read("a.txt")
