@@ -333,8 +333,8 @@ def _surest(sure: DataFrame, given: int) -> DataFrame:
 
 
 def _sampled(rows: DataFrame) -> pa.Table:
-    """Rows by doc_id and hash, at the driver."""
-    return rows.toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
+    """Rows at the driver in an order that is always the same, and has nothing to do with their numbers, since every APART'th calibrates."""
+    return rows.toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, features: DataFrame | None = None) -> dict[str, CoTrained]:

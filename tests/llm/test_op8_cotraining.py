@@ -8,6 +8,7 @@ from math import exp, log, log1p
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import common
 from corpusloom.llm import op8_cotraining as op
@@ -116,11 +117,11 @@ def test_nothing_to_learn(spark):
     assert op.classified(spark.createDataFrame([], SCHEMA), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")).count() == 0
 
 
-def plain_cotraining(rows, labels, target):
-    """The rounds by plain means, for one target: (words that the text view knows, what each view was taught)."""
+def plain_cotraining(rows, labels, target, order):
+    """The rounds by plain means, for one target: (words that the text view knows, what each view was taught). order: what rows are sorted by."""
     where = op.TARGETS.index(target)
     label = {d: x[where] for d, *x in labels}
-    docs = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
+    docs = sorted((r for r in rows if r[0] is not None), key=lambda r: order[r[0]])
     seen, shapes, metas = {}, {}, {}
     for d, text, source, lang, size, _ in docs:
         data, at = common.buffers(pa.array([text or ""]))
@@ -186,7 +187,8 @@ def test_rounds_against_plain_cotraining(spark, monkeypatch):
     # with one target alone nothing that the other is sure of is used up
     monkeypatch.setattr(op, "TARGETS", ("quality",))
     models = op.fit(spark.createDataFrame(rows, SCHEMA).repartition(3), spark.createDataFrame([x[:2] for x in labels], "doc_id long, quality int"))
-    known, taught = plain_cotraining(rows, labels, "quality")
+    order = {r.doc_id: r.h for r in spark.createDataFrame(rows, SCHEMA).select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    known, taught = plain_cotraining(rows, labels, "quality", order)
     m = models["quality"]
     assert np.flatnonzero(m.known.table >= 0).tolist() == known
     assert [len(at) for at, _ in m.taught] == [len(t) for t in taught]
