@@ -84,44 +84,57 @@ def _within(by: str):
     return f
 
 
+#: Keys of more than 2**BITS ranges that are broadcast at most; more are joined by shuffle.
+BROADCAST_KEYS = 10_000
+
+
 def nested(rows: DataFrame, by: str, start: str = "start", end: str = "end") -> DataFrame:
     """rows with depth: 1 and the number of other ranges of the key that contain it (of equal ones, those before it by `ord`; equal in that too, they count in some order).
 
     A range is in those that come before it by start and, reversed, by end, and
-    reach as far: that is counted in n log n, without a join on the key. A key's
-    ranges are ranked by running totals and compared in blocks of 2**BITS; where a
-    key has several blocks, each level of doubling is one more running total
-    over halves, sorted by end, so that a key of any size is dealt over tasks.
-    Starts and ends are whole numbers. A null key, start or end has depth 1 and is
-    around nothing; an empty table gives an empty one.
+    reach as far: that is counted in n log n, without a join of ranges. Keys of up
+    to 2**BITS ranges go to one task each. Those of more are ranked by running
+    totals and compared in blocks of 2**BITS; each level of doubling is one more
+    running total over halves, sorted by end, so that a key of any size is dealt
+    over tasks. Starts and ends are whole numbers. A null key, start or end has
+    depth 1 and is around nothing; an empty table gives an empty one.
     """
     names = rows.columns
     sound = F.col(by).isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull()
-    base = rows.where(sound).select(*names, F.col(end).cast("long").alias("_end"), F.bitwise_not(F.col(end).cast("long")).alias("_down"), F.lit(1).alias("_one"))
-    ranked = running(base, [by], [start, "_down", "ord"], {"_rank": "_one"})
-    ranked = stored(ranked.withColumn("_rank", F.col("_rank") - 1).withColumn("_part", F.shiftright("_rank", BITS)).drop("_one"))
-    top = ranked.agg(F.max("_rank")).first()[0] or 0
-    sized = ranked.withColumn("_large", F.lit(False))
-    if top >> BITS:
-        # blocks of keys that have several: each is named by its first row, and a key's first by that of the second
-        later = ranked.where((F.col("_rank") >= 1 << BITS) & (F.col("_rank") % (1 << BITS) == 0)).select(by, "_part")
-        large = later.unionByName(later.where("_part = 1").select(by, F.lit(0).cast("long").alias("_part"))).withColumn("_large", F.lit(True))
-        sized = ranked.join(large, [by, "_part"], "left").withColumn("_large", F.coalesce("_large", F.lit(False)))
-    sized = sized.select(*ranked.columns, "_large")
-    schema = T.StructType([*sized.schema.fields, T.StructField("_depth", T.LongType())])
-    done = sized.repartition(by, "_part").sortWithinPartitions(by, "_part", "_rank").mapInArrow(_within(by), schema)
-    if top >> BITS:
-        done = stored(done)
-        high = done.where("_large")
-        for level in range(BITS, top.bit_length()):
-            halves = high.withColumn("_half", F.shiftright("_rank", level).bitwiseAND(1)).withColumn("_part", F.shiftright("_rank", level + 1)).withColumn("_left", 1 - F.col("_half"))
-            counted = running(halves, [by, "_part"], ["_down", "_half", "_rank"], {"_before": "_left"})
-            high = counted.withColumn("_depth", F.col("_depth") + F.col("_half") * F.col("_before")).drop("_half", "_left", "_before")
-        done = done.where("not _large").unionByName(high)
+    base = rows.where(sound).select(*names, F.col(end).cast("long").alias("_end"), F.bitwise_not(F.col(end).cast("long")).alias("_down"))
+    large = base.groupBy(by).count().where(F.col("count") > 1 << BITS).select(by)
+    n_large = large.limit(BROADCAST_KEYS + 1).count()
+    small = base
+    if n_large:
+        large = F.broadcast(large) if n_large <= BROADCAST_KEYS else large
+        small = base.join(large, by, "left_anti")
+    small = small.select(*base.columns, F.lit(0).cast("long").alias("_part"))
+    order = [start, "_down", "ord"]
+    done = _compared(small.repartition(by).sortWithinPartitions(by, *order), by)
+    if n_large:
+        done = done.select(*names, "_depth").unionByName(_in_blocks(base.join(large, by, "left_semi"), by, order).select(*names, "_depth"))
     rest = rows.where(~sound).select(*names, F.lit(1).cast("long").alias("depth"))
     return done.select(*names, (F.col("_depth") + 1).alias("depth")).unionByName(rest)
 
 
+def _compared(rows: DataFrame, by: str) -> DataFrame:
+    """rows, sorted by (key, _part) and then as they contain each other, with _depth within their part."""
+    return rows.mapInArrow(_within(by), T.StructType([*rows.schema.fields, T.StructField("_depth", T.LongType())]))
+
+
+def _in_blocks(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """The ranges of keys that have many blocks, with _depth."""
+    ranked = running(rows.withColumn("_one", F.lit(1)), [by], order, {"_rank": "_one"}).drop("_one")
+    ranked = ranked.withColumn("_rank", F.col("_rank") - 1).withColumn("_part", F.shiftright("_rank", BITS))
+    high = stored(_compared(ranked.repartition(by, "_part").sortWithinPartitions(by, "_part", "_rank"), by))
+    top = high.agg(F.max("_rank")).first()[0] or 0
+    for level in range(BITS, top.bit_length()):
+        halves = high.withColumn("_half", F.shiftright("_rank", level).bitwiseAND(1)).withColumn("_part", F.shiftright("_rank", level + 1)).withColumn("_left", 1 - F.col("_half"))
+        counted = running(halves, [by, "_part"], ["_down", "_half", "_rank"], {"_before": "_left"})
+        high = counted.withColumn("_depth", F.col("_depth") + F.col("_half") * F.col("_before")).drop("_half", "_left", "_before")
+    return high
+
+
 def subtotals(rows: DataFrame, amount: str) -> DataFrame:
     """rows (rank, amount) with the running sum in order of rank: for a page, whose rows are few."""
     w = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
