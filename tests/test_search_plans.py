@@ -14,3 +14,10 @@ def test_matches_over_lines_are_found_once_a_row(spark):
     s = Search(r"\.\n[A-Z]", output_mode="content", multiline=True)
     plan = optimized(search.occurrences(corpus(spark, [("a", 1, "x.\nY")]), s))
     assert plan.count("regexp_extract_all(") == plan.count("regexp_replace(") == 1 and plan.count("split(") == 2
+
+
+def test_touched_lines_find_matches_once_a_row(spark):
+    c = corpus(spark, [("a", 1, "x.\nY.\nZ"), ("b", 2, ""), ("c", 3, "none")])
+    found = search.touched_lines(search.occurrences(c, Search(r"\.\n[A-Z]", output_mode="content", multiline=True)))
+    assert optimized(found).count("regexp_extract_all(") == 1
+    assert sorted(tuple(r) for r in found.collect()) == [("a", 1, 1), ("a", 1, 2), ("a", 2, 2), ("a", 2, 3)]
