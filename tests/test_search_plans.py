@@ -1,5 +1,6 @@
 """Searches look at a text once for each row, and count in the JVM."""
 
+import pytest
 
 from corpusloom.operators import search
 from corpusloom.operators.search import Search
@@ -21,3 +22,13 @@ def test_touched_lines_find_matches_once_a_row(spark):
     found = search.touched_lines(search.occurrences(c, Search(r"\.\n[A-Z]", output_mode="content", multiline=True)))
     assert optimized(found).count("regexp_extract_all(") == 1
     assert sorted(tuple(r) for r in found.collect()) == [("a", 1, 1), ("a", 1, 2), ("a", 2, 2), ("a", 2, 3)]
+
+
+@pytest.mark.parametrize("context", [0, 1])
+def test_lines_are_split_and_matched_once_a_row(spark, context):
+    c = corpus(spark, [("a", 1, "hit\nhit\n\n\nhit"), ("b", 2, ""), ("c", 3, "none")])
+    found = search.matching_lines(c, Search("^h.t$", output_mode="content", context=context))
+    assert optimized(found).count("split(") == 1
+    rows = sorted((r.rel, r.line_no, r.line, r.is_match, r.block) for r in found.collect())
+    hits = [("a", 1, "hit", True, 1), ("a", 2, "hit", True, 1), ("a", 5, "hit", True, 2)]
+    assert rows == (hits if not context else [*hits[:2], ("a", 3, "", False, 1), ("a", 4, "", False, 1), ("a", 5, "hit", True, 1)])
