@@ -2,7 +2,7 @@
 
 import pytest
 
-from corpusloom.operators.outline import bare_code, outline
+from corpusloom.operators.outline import bare_code, outline, symbols
 
 RUST = r'''//! fn not_code() {}
 /* outer /* fn inner() { */ still a comment { */
@@ -338,3 +338,10 @@ def test_blanked_code_keeps_its_lines(language):
     # what is cut short is no error
     for k in range(0, len(source), 7):
         assert len(bare_code(source[:k], language)) == k
+
+
+def test_files_are_dealt_to_tasks_by_path(spark):
+    files = spark.createDataFrame([(f"{k}.go", f"func F{k}() {{}}\n") for k in range(600)], "rel string, text string").coalesce(1)
+    found = symbols(files)
+    assert "RepartitionByExpression [rel" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.name for r in found.collect()) == sorted(f"F{k}" for k in range(600))
