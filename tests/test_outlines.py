@@ -1,8 +1,11 @@
 """Outlines of files with what is hard about each language: (label, name, depth, first line, last line) of all symbols, in order."""
 
+import gc
+import tracemalloc
+
 import pytest
 
-from corpusloom.operators.outline import bare_code, outline, symbols
+from corpusloom.operators.outline import bare_code, outline, python_symbols, symbols
 
 RUST = r'''//! fn not_code() {}
 /* outer /* fn inner() { */ still a comment { */
@@ -345,3 +348,25 @@ def test_files_are_dealt_to_tasks_by_path(spark):
     found = symbols(files)
     assert "RepartitionByExpression [rel" in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r.name for r in found.collect()) == sorted(f"F{k}" for k in range(600))
+
+
+def test_names_do_not_stay_in_memory():
+    gc.collect()
+    tracemalloc.start()
+    for k in range(3000):
+        assert python_symbols(f"def name_of_{k}(argument_{k}):\n    return argument_{k}.field_{k}\n")[0].name == f"name_of_{k}"
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 100_000
+
+
+@pytest.mark.parametrize(
+    "source, names",
+    [
+        ("class \\\n  Ab:\n  async \\\n  def foo(self): pass\n", ["Ab", "foo"]), ("x = '\\N{DASH}'\nclass Cd:\n  x = '\\xZZ'\n", ["Cd"]), ("x = '\\N{EM DASH}'\nif x:\n  def aaa(): pass\n", ["aaa"]),
+        ("def ﬁx(): pass\ndef éab(): pass\n", ["fix", "éab"]), ("match xx:\n  case yy:\n    def in_case(): pass\n", ["in_case"]), ("x = rb'q', f'{ab!r:>{cd}}'\r\nclass Ef[TT]: pass\r\n", ["Ef"]), ("type Gh = int\ndef aa[TT](): pass\n", ["aa"]),
+    ],
+)
+def test_names_are_those_of_the_source(source, names):
+    assert [s.name for s in python_symbols(source)] == names
