@@ -1,3 +1,6 @@
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +152,13 @@ def test_more_file_types(name, good, bad):
 def test_every_file_type_has_globs_that_are_sound():
     for name, found in globs.TYPES.items():
         assert found and all(globs.as_regex(g, anywhere=True) for g in found), name
+
+
+def test_few_texts_of_a_batch_are_python_objects_at_a_time():
+    batch = pa.array([b"\xff\xfe" + f"{k} ".encode("utf-16-le") * 2000 for k in range(3000)] + [None, b"", b"\xff"], pa.binary())
+    tracemalloc.start()
+    out = decode.decode_array(batch)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 3003 and out[2999]["text"].as_py() == "2999 " * 2000 and [x["kind"].as_py() for x in out[-3:]] == ["rejected", "text", "rejected"]
+    assert most < 10_000_000 and decode.decode_array(batch[:0]).type == out.type
